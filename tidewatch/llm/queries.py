@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extract, line_dedup, minhash, packing, quality, secrets, simhash, toxicity
+from . import decontamination, html_extract, language_model, line_dedup, minhash, packing, quality, secrets, simhash, toxicity
 from .oracle import ORACLE_SQL
 
 
@@ -36,6 +36,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.digest(_read(spark, sf_dir, "pages"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.digest(_read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -48,6 +52,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.digest(decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_line_dedup, op4_secret_scan, op5_document_fingerprints, op6_html_extraction, op8_toxicity_chain, op9_best_fit_packing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_line_dedup, op4_secret_scan, op5_document_fingerprints, op6_html_extraction, op7_language_model, op8_toxicity_chain, op9_best_fit_packing, op10_benchmark_decontamination)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
