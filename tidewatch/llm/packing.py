@@ -9,6 +9,7 @@ sequences than its tokens do.  Pieces of sequences that stay below ``WELL_FILLED
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .words import as_bytes
 
 LENGTH = 2048
 #: Pieces of a shard, about.
@@ -28,14 +30,29 @@ EPOCHS = 2
 POPULATION = 6
 GENERATIONS = 6
 WELL_FILLED = 0.97
-#: Distinct white-space-free chunks whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Distinct chunks between white space in a generation; a worker remembers two generations.
+REMEMBERED = 500_000
+
+
+#: A word with ASCII punctuation behind it, an apostrophe apart: two units of the tokenizer whenever the word is all letters.
+_TAIL = re.compile(rb"(.+?)([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: printable ones as they are, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 class Tokens:
     """Ids of texts, by the tokenizer itself for each new chunk between white space and from memory afterwards.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in turn.
+    The tokenizer drops white space and never joins across it, nor from a letter to punctuation, and it lower-cases, so a text's
+    ids are those of its chunks in turn.  Chunks not met for a whole generation are forgotten.
     """
 
     def __init__(self, path: str):
@@ -44,22 +61,54 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers, and id 0 at the end."""
-        chunks = [b"" if t is None or t != t else t.encode("utf-8", "surrogatepass") for t in texts]
-        split = [c.split() for c in chunks]
-        new = set().union(*split) - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = set().union(*split)
-        order = list(new)
-        for i in range(0, len(order), 5000):
-            part = order[i : i + 5000]
+        self.before: dict[bytes, bytes] = {}
+
+    def _encode(self, chunks: list[bytes]) -> None:
+        """New chunks.  A word of Latin letters is one unit of the tokenizer's model, which is asked directly; the rest goes all the way."""
+        rest, model = [], self.tokenizer.model
+        for c in chunks:
+            word = "".join([x.lower() for x in c.decode("utf-8", "surrogatepass")])
+            if word.isalpha() and max(word) < "\u0180":
+                got = model.tokenize(word if word.isascii() else "".join([_LETTERS[b] for b in word.encode()]))
+                self.known[c] = np.array([t.id for t in got], "<u4").tobytes()
+            else:
+                rest.append(c)
+        chunks = rest
+        for i in range(0, len(chunks), 5000):
+            part = chunks[i : i + 5000]
             got = self.tokenizer.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in part], add_special_tokens=False)
             for c, e in zip(part, got, strict=True):
                 self.known[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([self.known[c] for c in words]) + b"\0\0\0\0" for words in split]
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        split: dict[bytes, tuple[bytes, bytes]] = {}
+        new: set[bytes] = set()
+        for c in chunks:
+            if (v := self.before.get(c)) is not None:
+                self.known[c] = v
+            elif (m := _TAIL.fullmatch(c)) and m[1].decode("utf-8", "surrogatepass").lower().isalpha():
+                split[c] = m.groups()
+                new.update(x for x in m.groups() if x not in self.known)
+            else:
+                new.add(c)
+        for x in new & self.before.keys():
+            self.known[x] = self.before[x]
+        self._encode(list(new - self.known.keys()))
+        for c, (word, tail) in split.items():
+            self.known[c] = self.known[word] + self.known[tail]
+
+    def __call__(self, texts: list) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers, and id 0 at the end."""
+        split = [as_bytes(t).split() for t in texts]
+        self._learn(set().union(*split) - self.known.keys())
+        known = self.known
+        # A generation may end while it learns: what a text needs is then brought along.
+        missing = set().union(*split) - known.keys() if self.before else set()
+        for c in missing:
+            known[c] = self.before[c]
+        return [b"".join([known[c] for c in words]) + b"\0\0\0\0" for words in split]
 
 
 _tokens: dict[str, Tokens] = {}
@@ -70,7 +119,9 @@ def _pieces(path: str, length: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the other cores have tasks of their own
-        tokens = _tokens.setdefault(path, Tokens(path))
+        if path not in _tokens:
+            _tokens[path] = Tokens(path)
+        tokens = _tokens[path]
         for pdf in batches:
             ids, texts = list(pdf["id"]), list(pdf["text"])
             for a in range(0, len(texts), 500):
