@@ -32,6 +32,8 @@ _SHAPE[48:58] = 48
 
 def _shape_hashes(starts: np.ndarray, ends: np.ndarray, a: np.ndarray) -> np.ndarray:
     """Hash of each word with its runs of one class cut to one character."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     s = _SHAPE[a]
     keep = np.concatenate(([True], s[1:] != s[:-1]))
     pos = np.concatenate(([0], np.cumsum(keep)))
@@ -39,12 +41,9 @@ def _shape_hashes(starts: np.ndarray, ends: np.ndarray, a: np.ndarray) -> np.nda
     first, last = pos[starts], pos[ends]
     k = np.arange(len(v), dtype=np.uint64)
     # Position-dependent sum: multiply by odd powers relative to the word's start.
-    rel = k - np.repeat(first, last - first).astype(np.uint64) if len(v) == (last - first).sum() else None
-    if rel is None:  # separators between words leave runs of their own
-        own = np.zeros(len(v) + 1, np.int64)
-        np.add.at(own, first, 1)
-        word = np.cumsum(own[:-1]) - 1
-        rel = k - first[np.maximum(word, 0)].astype(np.uint64)
+    own = np.zeros(len(v) + 1, np.int64)
+    np.add.at(own, first, 1)
+    rel = k - first[np.maximum(np.cumsum(own[:-1]) - 1, 0)].astype(np.uint64)
     c = np.concatenate(([np.uint64(0)], np.cumsum(v * (mix(rel + np.uint64(7)) | np.uint64(1)))))
     return mix(c[last] - c[first])
 
