@@ -27,6 +27,11 @@ def c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once for each row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank(x) -> Column:
     """Null or the empty string."""
     x = c(x)

@@ -41,6 +41,8 @@ def _from_map(m: Column) -> dict[str, Column]:
 
 def from_map(df: DataFrame, m: Column, raw: Column, kind: str) -> DataFrame:
     """Canonical events of string maps; a null map makes the raw text the message."""
+    df = df.select(m.alias("__m"), raw.alias("__raw"))  # the map is parsed once
+    m, raw = F.col("__m"), F.col("__raw")
     c = _from_map(m)
     c["message"] = F.coalesce(c["message"], F.when(m.isNull(), raw))
     c["timestamp"], c["received_at"] = parse_timestamp(c["timestamp"]), parse_timestamp(c["received_at"])
@@ -76,8 +78,8 @@ def read_events_api(df: DataFrame, column: str = "value") -> DataFrame:
 def read_hec(df: DataFrame, column: str = "value") -> DataFrame:
     """HEC envelopes, several to a body where they follow each other."""
     x = F.col(column)
-    parts = df.select(F.explode(F.split(x, r"(?<=\})\s*(?=\{\s*\")")).alias("body"))
     b = F.col("body")
+    parts = df.select(F.explode(F.split(x, r"(?<=\})\s*(?=\{\s*\")")).alias("body"))
     get = lambda k: F.get_json_object(b, f"$.{k}")
     event = get("event")
     m = F.from_json(F.when(event.startswith("{"), event), "map<string,string>")
