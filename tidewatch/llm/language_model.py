@@ -30,8 +30,8 @@ INPUTS = 1_000
 CLASSES = 64
 SMALL = 64
 HIDDEN = 24
-#: Tokens of a window in training, lanes in training and in scoring.
-WINDOW, LANES, SCORE_LANES = 16, 64, 256
+#: Tokens of a window in training; lanes of the start-up model, of training and of scoring.
+WINDOW, FIRST_LANES, LANES, SCORE_LANES = 16, 64, 256, 256
 #: Tokens that the common starting point is trained on, in one task; from there every task learns from all of its texts.
 WARM_UP = 150_000
 #: Words that a counting task holds before it hands them on.
@@ -103,11 +103,12 @@ class Network:
 
     def step(self, x: np.ndarray, h: np.ndarray):
         k = HIDDEN
-        rz = x[:, : 2 * k] + h @ self.p["u"]
-        np.negative(rz, out=rz)
-        np.exp(np.clip(rz, -30, 30, out=rz), out=rz)
-        rz += 1
-        np.reciprocal(rz, out=rz)
+        rz = h @ self.p["u"]
+        rz += x[:, : 2 * k]
+        rz *= 0.5
+        np.tanh(rz, out=rz)  # the logistic function by its relation to tanh
+        rz *= 0.5
+        rz += 0.5
         r, z = rz[:, :k], rz[:, k:]
         n = np.tanh(x[:, 2 * k :] + (r * h) @ self.p["un"])
         return n + z * (h - n), r, z, n
@@ -117,7 +118,8 @@ class Network:
         x = self.p["e"][self.v.input[tokens]]
         hs, parts = np.empty((*tokens.shape, HIDDEN), np.float32), []
         for t in range(len(tokens)):
-            h = h * ~fresh[t][:, None]
+            if fresh[t].any():
+                h = h * ~fresh[t][:, None]
             hs[t] = h
             h, r, z, n = self.step(x[t], h)
             if keep:
@@ -169,19 +171,30 @@ class Network:
             g["ww"][i:j], g["bw"][i:j] = q.T @ flat_h[a], q.sum(axis=0)
             dh_out[a] += q @ self.p["ww"][i:j]
         dh_out = dh_out.reshape(hs.shape)
-        dx = np.zeros((*tokens.shape, 3 * k), np.float32)
+        # All that needs no gradient is worked out for the whole window at once; the loop back in time does the rest.
+        r, z, n = (np.stack(x) for x in zip(*parts, strict=True))
+        to_n, to_r, to_z = (1 - z) * (1 - n * n), hs * r * (1 - r), (hs - n) * z * (1 - z)
+        dx = np.empty((*tokens.shape, 3 * k), np.float32)
         dh = np.zeros_like(h0)
         for t in range(len(tokens) - 1, -1, -1):
-            r, z, n = parts[t]
-            h = hs[t]
-            dn = dh * (1 - z) * (1 - n * n)
+            d = dx[t]
+            dn = np.multiply(dh, to_n[t], out=d[:, 2 * k :])
             drh = dn @ self.p["un"].T
-            drz = np.concatenate((drh * h * r * (1 - r), dh * (h - n) * z * (1 - z)), axis=1)
-            g["un"] += (r * h).T @ dn
-            g["u"] += h.T @ drz
-            dx[t, :, : 2 * k], dx[t, :, 2 * k :] = drz, dn
-            dh = (dh * z + drh * r + drz @ self.p["u"].T + dh_out[t]) * ~fresh[t][:, None]
-        np.add.at(g["e"], v.input[tok], dx.reshape(-1, 3 * k))
+            np.multiply(drh, to_r[t], out=d[:, :k])
+            np.multiply(dh, to_z[t], out=d[:, k : 2 * k])
+            dh = dh * z[t]
+            dh += drh * r[t]
+            dh += d[:, : 2 * k] @ self.p["u"].T
+            dh += dh_out[t]
+            if fresh[t].any():
+                dh = dh * ~fresh[t][:, None]
+        flat_dx = dx.reshape(-1, 3 * k)
+        g["un"] = (r * hs).reshape(-1, k).T @ flat_dx[:, 2 * k :]
+        g["u"] = flat_h.T @ flat_dx[:, : 2 * k]
+        order = np.argsort(v.input[tok], kind="stable")
+        at = v.input[tok][order]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        g["e"][at[first]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], first)
         return np.concatenate([g[n].ravel() for n in self.shapes]), after
 
 
@@ -198,7 +211,8 @@ def lanes(lengths: list[int], n: int) -> list[list[int]]:
 
 def _grid(texts: list[np.ndarray], n: int):
     """(tokens, fresh, live, text) of shape (steps, lanes): the texts of each lane end to end, padded at its end."""
-    dealt = lanes([len(t) for t in texts], n)
+    # The longest lane first: the live ones of a step are then the first so many, and no work goes into padding.
+    dealt = sorted(lanes([len(t) for t in texts], n), key=lambda lane: -sum(len(texts[t]) for t in lane))
     steps = max((sum(len(texts[t]) for t in lane) for lane in dealt), default=0)
     tokens = np.zeros((steps, len(dealt)), np.int32)
     fresh, live = np.zeros(tokens.shape, bool), np.zeros(tokens.shape, bool)
@@ -213,14 +227,16 @@ def _grid(texts: list[np.ndarray], n: int):
     return tokens, fresh, live, who
 
 
-def learn(net: Network, texts: list[np.ndarray], rate: float = 0.01) -> None:
+def learn(net: Network, texts: list[np.ndarray], rate: float, n: int = LANES) -> None:
     """One pass of Adam over texts by windows; the state, not the gradient, crosses from window to window."""
-    tokens, fresh, live, _ = _grid(texts, LANES)
+    tokens, fresh, live, _ = _grid(texts, n)
     h = np.zeros((tokens.shape[1], HIDDEN), np.float32)
     m, s = np.zeros_like(net.flat), np.zeros_like(net.flat)
     for i, t in enumerate(range(0, len(tokens), WINDOW), 1):
         pace = rate * (1 - 0.9 * t / len(tokens))
-        g, h = net.gradient(tokens[t : t + WINDOW], fresh[t : t + WINDOW], live[t : t + WINDOW], h)
+        k = int(live[t].sum())
+        part = slice(t, t + WINDOW), slice(0, k)
+        g, h = net.gradient(tokens[part], fresh[part], live[part], h[:k])
         g *= min(1.0, 1.0 / (float(np.sqrt(g @ g)) + 1e-6))
         m += 0.1 * (g - m)
         s += 0.01 * (g * g - s)
@@ -233,9 +249,11 @@ def score_texts(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(len(texts))
     h = np.zeros((tokens.shape[1], HIDDEN), np.float32)
     for t in range(0, len(tokens), 32):
-        on = live[t : t + 32]
-        hs, h, _ = net.states(tokens[t : t + 32], fresh[t : t + 32], h)
-        out += np.bincount(who[t : t + 32][on], net.log_p(hs[on], tokens[t : t + 32][on]), minlength=len(texts))
+        k = int(live[t].sum())
+        part = slice(t, t + 32), slice(0, k)
+        on = live[part]
+        hs, h, _ = net.states(tokens[part], fresh[part], h[:k])
+        out += np.bincount(who[part][on], net.log_p(hs[on], tokens[part][on]), minlength=len(texts))
     return out
 
 
@@ -267,7 +285,7 @@ def _texts(v: Vocabulary, pdf: pd.DataFrame) -> list[np.ndarray]:
 def train(documents: DataFrame, vocabulary, scratch: Scratch) -> np.ndarray:
     """Weights from all texts of ``documents``.
 
-    A bounded start-up model is trained in one task on the texts with the smallest hashes; from it each task learns from all of
+    A start-up model is trained in one task on a few hundred texts picked by their hash, whatever the corpus; from it each task learns from all of
     its own texts, and the results are averaged by the tokens behind them, sixteen at a time until few are left.
     """
 
@@ -281,10 +299,12 @@ def train(documents: DataFrame, vocabulary, scratch: Scratch) -> np.ndarray:
             if size >= WARM_UP:
                 break
         if texts:
-            learn(net, texts, rate=0.02)
+            learn(net, texts, 0.02, FIRST_LANES)
         return pd.DataFrame({"w": [net.flat.tobytes()], "n": [size]})
 
-    few = documents.orderBy(F.xxhash64("text")).limit(WARM_UP // 300)
+    texts = int(vocabulary.value.count[i]) if (i := vocabulary.value.id.get(b"")) is not None else 0
+    share = min(1_000_000, -(-1_000_000 * (WARM_UP // 300) // max(1, texts)))
+    few = documents.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
     first = few.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(start, "w binary, n long").first()
     begin = documents.sparkSession.sparkContext.broadcast(first.w if first else None)
     if first is None:
@@ -297,8 +317,7 @@ def train(documents: DataFrame, vocabulary, scratch: Scratch) -> np.ndarray:
         for pdf in batches:
             texts = _texts(vocabulary.value, pdf)
             size += sum(map(len, texts))
-            for i in range(0, len(texts), 2500):  # bounds the lanes held at once
-                learn(net, texts[i : i + 2500], rate=0.003)
+            learn(net, texts, 0.004)
             part = int(pdf["part"].iloc[0])
         if size:
             yield pd.DataFrame({"w": [net.flat.tobytes()], "n": [size], "part": [part]})
@@ -338,22 +357,20 @@ def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", tex
         net = Network(v, weights.value)
         log_c = np.append(np.log10(v.count + 0.5), 0.0)
         for pdf in batches:
-            for a in range(0, len(pdf), 5000):
-                part = pdf.iloc[a : a + 5000]
-                words = [as_bytes(t).split() for t in part["text"]]
-                texts = [v.ids(w) for w in words]
-                rare = [Counter(w for w, i in zip(ws, ids.tolist(), strict=False) if i == v.n) for ws, ids in zip(words, texts, strict=True)]
-                yield pd.DataFrame(
-                    {
-                        "row": part["row"].to_numpy(),
-                        "id": part["id"].to_numpy(),
-                        "n_tokens": [len(t) for t in texts],
-                        "n_top": [int((v.count[t[t < v.n]] > 0).sum()) for t in texts],
-                        "base": [float(log_c[t].sum()) for t in texts],
-                        "net": score_texts(net, texts),
-                        "rare": [[{"w": w.decode("utf-8", "surrogatepass"), "n": n} for w, n in r.items()] for r in rare],
-                    }
-                )
+            words = [as_bytes(t).split() for t in pdf["text"]]
+            texts = [v.ids(w) for w in words]
+            rare = [Counter([ws[i] for i in np.flatnonzero(ids[:-1] == v.n)]) for ws, ids in zip(words, texts, strict=True)]
+            yield pd.DataFrame(
+                {
+                    "row": pdf["row"].to_numpy(),
+                    "id": pdf["id"].to_numpy(),
+                    "n_tokens": [len(t) for t in texts],
+                    "n_top": [int((v.count[t[t < v.n]] > 0).sum()) for t in texts],
+                    "base": [float(log_c[t].sum()) for t in texts],
+                    "net": score_texts(net, texts),
+                    "rare": [[{"w": w.decode("utf-8", "surrogatepass"), "n": n} for w, n in r.items()] for r in rare],
+                }
+            )
 
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
