@@ -371,3 +371,18 @@ def scenario_scores(steps: DataFrame, coverage_share: Column, now, base: float =
 def what_next(steps: DataFrame) -> DataFrame:
     pick = lambda s: F.sort_array(F.collect_list(F.when(F.col("status") == s, F.col("technique"))))
     return steps.groupBy("run_id").agg(pick("expected").alias("expected"), pick("unknown").alias("unknown"))
+
+
+def technique_parent(technique) -> Column:
+    """T1059.001 -> T1059, in upper case and with its T."""
+    t = F.upper(F.trim(F.col(technique) if isinstance(technique, str) else technique))
+    return F.substring_index(F.when(t.startswith("T"), t).otherwise(F.concat(F.lit("T"), t)), ".", 1)
+
+
+def technique_names(df: DataFrame, catalog: DataFrame, column: str = "technique") -> DataFrame:
+    """``df`` with technique_name and tactic_name from ``catalog`` (technique, name, tactic_name); a sub-technique without an entry takes its parent's."""
+    dim = catalog.groupBy(F.upper("technique").alias("__t")).agg(F.min(F.struct("name", "tactic_name")).alias("__n"))
+    own = df.join(dim, F.upper(column) == F.col("__t"), "left").drop("__t").withColumnRenamed("__n", "__own")
+    out = own.join(dim, technique_parent(column) == F.col("__t"), "left").drop("__t")
+    n = F.coalesce("__own", "__n")
+    return out.withColumn("technique_name", n["name"]).withColumn("tactic_name", n["tactic_name"]).drop("__own", "__n")

@@ -113,3 +113,15 @@ def decayed_risk(ledger: DataFrame, now: Column) -> DataFrame:
     for k, v in HALF_LIFE_HOURS.items():
         life = F.when(F.col("source_type") == k, float(v)).otherwise(life)
     return ledger.groupBy("entity_type", "entity_value").agg(F.sum(F.col("points") * F.pow(F.lit(0.5), hours / life)).alias("score"))
+
+
+def entity_detail(entities: DataFrame, edges: DataFrame, ledger: DataFrame, findings: DataFrame, kind: str, value: str) -> DataFrame:
+    """One row for an entity: its counts, score, open findings, and how many neighbours it has within two steps."""
+    from .graph import bfs
+
+    node = entities.where((F.col("type") == kind) & (F.col("value") == value))
+    root = node.select(F.concat_ws(":", "type", "value").alias("node"))
+    near = bfs(edges, root, 2).where("depth > 0").agg(F.count_if(F.col("depth") == 1).alias("neighbors"), F.count(F.lit(1)).alias("within_two"))
+    own = with_open(entity_risk(ledger.where((F.col("entity_type") == kind) & (F.col("entity_value") == value))), findings)
+    keys = own.select(F.col("entity_type").alias("type"), F.col("entity_value").alias("value"), "score", "contributions", "open_findings")
+    return node.join(keys, ["type", "value"], "left").fillna(0, ["score", "contributions", "open_findings"]).crossJoin(F.broadcast(near))  # one row each

@@ -161,6 +161,9 @@ MAPPING = [
 _MAP = "mp AS (SELECT id, host, \"user\", timestamp, outcome, 'T1110' AS technique, 'credential_access' AS tactic, 0.8::DOUBLE AS confidence, 'm1' AS rule FROM ev WHERE source = 'error' UNION ALL SELECT id, host, \"user\", timestamp, outcome, 'T1078', 'initial_access', 0.6, 'm3' FROM ev WHERE source = 'signup' UNION ALL SELECT id, host, \"user\", timestamp, outcome, 'T1041', 'exfiltration', 0.4, 'm4' FROM ev WHERE json_extract_string(attributes, '$.k') LIKE '9%')"
 q("D14_attack_map", f"WITH {_MAP} SELECT * FROM mp")(lambda e: d.attack_map(e, MAPPING))
 q("D15_technique_events", f"WITH {_MAP} SELECT id FROM mp WHERE technique = 'T1110' ORDER BY timestamp DESC, id LIMIT 40")(lambda e: d.technique_events(d.attack_map(e, MAPPING), "T1110", 40).select("id"))
+q("X37_technique_names", f"WITH {_MAP} SELECT id, technique || '.001' AS technique, technique AS parent, CASE technique WHEN 'T1110' THEN 'Brute Force' WHEN 'T1078' THEN 'Valid Accounts' END AS technique_name FROM mp")(
+    lambda e: d.technique_names(d.attack_map(e, MAPPING).select("id", F.concat("technique", F.lit(".001")).alias("technique")), e.sparkSession.createDataFrame([("T1110", "Brute Force", "Credential Access"), ("t1078", "Valid Accounts", "Initial Access")], "technique string, name string, tactic_name string"))
+    .select("id", "technique", d.technique_parent("technique").alias("parent"), "technique_name"))
 SCENARIO = {"id": "web_compromise", "trigger": "T1110", "techniques": ["T1110", "T1078", "T1041", "T1059"]}
 _RUNS = f"{_MAP}, rn AS (SELECT 'web_compromise:' || host AS run_id, 'web_compromise' AS scenario, host, min(timestamp) AS started_at FROM mp WHERE technique = 'T1110' AND timestamp >= {_N} - INTERVAL 6 HOUR GROUP BY host)"
 q("D16_scenario_runs", f"WITH {_RUNS} SELECT * FROM rn")(lambda e: d.scenario_runs(d.attack_map(e, MAPPING), SCENARIO, _now(e)))
@@ -328,6 +331,18 @@ graph("G16_snapshot", _BFS)(lambda e, n, a_: g.snapshot(e, _root(e, "host:h3"),
 graph("G18_node_what_next", f"WITH {_LK} SELECT DISTINCT 'edge' AS kind, dst AS what FROM lk WHERE src = 'host:h2'")(lambda e, n, a_: g.node_what_next(e, e.sparkSession.createDataFrame([], "host string, status string, technique string"), "host:h2"))
 graph("G19_graph_brief", f"WITH {_CS} SELECT src, dst, relation FROM lk WHERE 'host:h4' IN (src, dst) ORDER BY src, dst, relation LIMIT 25")(lambda e, n, a_: g.graph_brief(e, g_comp(e, n, a_), ["h4"]).select("src", "dst", "relation"))
 graph("G20_entity_neighbors", f"WITH {_LK}, b AS (SELECT src, dst FROM lk UNION ALL SELECT dst, src FROM lk) SELECT y.dst AS node, count(*) AS paths FROM b x JOIN b y ON x.dst = y.src WHERE x.src = 'host:h3' GROUP BY 1")(lambda e, n, a_: g.entity_neighbors(e, "host:h3"))
+
+
+@query("R12_entity_detail", "WITH RECURSIVE " + ",\n".join((*_GV, k.META)) + f""", {_LK}, {_LED}, {_FI}, {_OPEN}, b AS (SELECT src, dst FROM lk UNION SELECT dst, src FROM lk), w(node, depth) AS (SELECT 'host:h3', 0 UNION SELECT b.dst, w.depth + 1 FROM w JOIN b ON b.src = w.node WHERE w.depth < 2),
+ n AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1) SELECT ent.value, ent.count, (SELECT sum(points) FROM led WHERE entity_type = 'host' AND entity_value = 'h3') AS score, coalesce((SELECT open_findings FROM op WHERE entity_type = 'host' AND entity_value = 'h3'), 0) AS open_findings,
+ (SELECT count(*) FROM n WHERE depth = 1) AS neighbors, (SELECT count(*) FROM n WHERE depth > 0) AS within_two FROM ent WHERE type = 'host' AND value = 'h3'""")
+def _detail(spark, sf):
+    e = k.events(spark, sf)
+    ledger = _ledger(e, k.assets(spark, sf), k.entity_meta(spark, sf))
+    out = r.entity_detail(g.entities_from_events(e), g.relationships_from_events(e), ledger, _findings(e), "host", "h3")
+    return out.select("value", "count", "score", "open_findings", "neighbors", "within_two")
+
+
 graph("L5_union_edges", "SELECT to_value AS value, relation FROM edges WHERE from_value = 'h1' UNION SELECT from_value, relation FROM edges WHERE to_value = 'h1'")(lambda e, n, a_: s.union_edges(e.where("from_value = 'h1'").select(F.col("to_value").alias("value"), "relation"), e.where("to_value = 'h1'").select(F.col("from_value").alias("value"), "relation")))
 graph("L6_degree", "SELECT type, value, count(*) AS degree FROM (SELECT from_type AS type, from_value AS value FROM edges UNION ALL SELECT to_type, to_value FROM edges) GROUP BY 1, 2")(lambda e, n, a_: s.union_all_degree(e))
 
