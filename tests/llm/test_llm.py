@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, html_extract, language_model, line_dedup, minhash, packing, quality, secrets, simhash, toxicity
+from tidewatch.llm import decontamination, html_extract, language_model, line_dedup, minhash, packing, prefix_join, quality, secrets, simhash, toxicity
 from tidewatch.llm.words import shingles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keys string, h1 string"
@@ -118,6 +118,33 @@ def test_lines_match_brute_force(spark):
     assert [r.text for r in line_dedup.dedup_lines(frame(spark, [base[0]] * 2, [None, None])).collect()] == [base[0]] * 2
 
 
+def test_lines_linked_beyond_the_star(spark):
+    """Pairs of near-equal lines that share a template with all others, which are less alike: no bucket has one fit centre."""
+    rng = random.Random(12)
+    template = prose(rng, 30)
+    lines = []
+    for i in range(60):
+        own = [f"own{i}x{j}" for j in range(8)]
+        lines += [" ".join(template + own + [f"end{i}{c}"]) for c in "ab"]
+    order = rng.sample(range(len(lines)), len(lines))
+    out = line_dedup.dedup_lines(frame(spark, [lines[i] for i in order])).collect()
+    left = sorted(order[r.doc_id] // 2 for r in out if not r.n_removed)
+    assert left == list(range(60))
+
+
+def test_candidate_pairs_hold_all_links(spark):
+    rng = random.Random(13)
+    sets = []
+    for _ in range(40):
+        own = rng.sample(range(1000, 9000), rng.choice((1, 3, 12)))
+        base = list(range(rng.choice((0, 20, 60)))) + own
+        sets += [sorted({*base, *rng.sample(range(9000, 9900), rng.randrange(4))}) for _ in range(4)]
+    rows = [(i, i // 2, s) for i, s in enumerate(sets)]
+    got = {(r.a, r.b) for r in prefix_join.candidate_pairs(spark.createDataFrame(rows, "id long, label long, s array<long>"), 80).collect()}
+    near = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if i // 2 != j // 2 and 100 * len({*a} & {*b}) >= 80 * len({*a} | {*b})}
+    assert near and near <= got and all(a // 2 != b // 2 for a, b in got)
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = line_dedup.digest(frame(spark, ["a b c " * 20, "a b c " * 20]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
