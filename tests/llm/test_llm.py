@@ -132,6 +132,16 @@ def test_lines_linked_beyond_the_star(spark):
     assert left == list(range(60))
 
 
+def test_lines_are_compared_whole(spark):
+    """Long words count beyond their first characters, in lines without spaces too."""
+    rng = random.Random(14)
+    tails = ["".join(rng.choice("abcdefghij0123456789") for _ in range(70)) for _ in range(5)]
+    urls = ["https://example.org/" + t for t in tails]
+    words = [" ".join(f"identifier{t[i : i + 10]}" for i in range(0, 50, 10)) for t in tails]
+    near = [urls[0] + "?", "x" + urls[1], words[2][:-1]]
+    assert [r.n_removed for r in line_dedup.dedup_lines(frame(spark, urls + words + near)).orderBy("doc_id").collect()] == [0] * 10 + [1] * 3
+
+
 def test_candidate_pairs_hold_all_links(spark):
     rng = random.Random(13)
     sets = []
