@@ -72,6 +72,21 @@ def test_minhash_matches_brute_force(spark, copies):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_minhash_links_beyond_the_stars(spark):
+    """Pairs that share a template with all others, which are less alike: common buckets hold more pairs than there are centres, of which one round makes few."""
+    rng = random.Random(15)
+    template = [f"t{i}" for i in range(200)]
+    texts = []
+    for i in range(150):
+        own = [f"own{i}x{j}" for j in range(9)]
+        texts += [" ".join(template + own + [f"end{i}{c}{j}" for j in range(22)]) for c in "ab"]
+    rng.shuffle(texts)
+    got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, texts), n_words=4, rounds=1).collect()}
+    _, comp = brute_components(texts, 4)
+    assert len(set(comp)) == 150
+    assert [got[i].component_id for i in range(len(texts))] == comp
+
+
 def test_minhash_edges(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     same = " ".join(f"w{i}" for i in range(30))

@@ -4,7 +4,8 @@ Each distinct shingle is hashed once; the hash picks a bin and the smallest valu
 empty bin takes the value of a filled one chosen by its own fixed random order of bins, so that equal sets densify alike.
 Bands of the signature are buckets.  In a bucket only the edges of a star are candidates, so pairs grow with the members and
 not with their square; every candidate is confirmed on the full shingle sets.  Where the members of a bucket still lie in
-different components afterwards, the next round takes another centre for that bucket and tries those members again.
+different components afterwards, the next round takes another centre for that bucket and tries those members again.  Documents
+of buckets that are split even after the last round are compared by an exact prefix-filter join: no pair in a bucket is given up.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .prefix_join import candidate_pairs
 from .scratch import Scratch
 from .words import as_bytes, mix, shingles, slices, word_hashes
 
 #: 26 bands of 5 rows: a pair at 0.8 shares a bucket with probability 1 - 3e-5, one at 0.5 with 0.56.
 BANDS, ROWS = 26, 5
-#: Star rounds.  The first links each bucket to its smallest document, later ones only buckets that are still split.
+#: Star rounds.  The first links each bucket to its smallest document, later ones only buckets that are still split; the rest is joined exactly.
 ROUNDS = 3
 
 _BINS = BANDS * ROWS
@@ -113,30 +115,34 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     sets = None
     links = known.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     tried, near = None, None
-    for k in range(rounds):
+    rest = buckets
+    for k in range(rounds + 1):
         if k == 0:
-            centre = buckets.groupBy("key").agg(F.min_by(F.struct("id", "n"), "id").alias("c"))
-            members = buckets
+            centre = rest.groupBy("key").agg(F.min_by(F.struct("id", "n"), "id").alias("c"))
+            members = rest
         else:
-            label = connected_components(near, scratch) if near is not None else None
-            members = buckets.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-            split = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-            members = scratch.save(members.join(split, "key"))
+            members = _split(rest, near, scratch)
+            if members.isEmpty():
+                break
             centre = members.groupBy("key").agg(F.min_by(F.struct("id", "n", "label"), F.xxhash64("key", "id", F.lit(k))).alias("c"))
-        pairs = members.join(centre, "key").where(f"id != c.id and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
-        if k:
-            pairs = pairs.where("label != c.label")
-        pairs = pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs)
-        if pairs.isEmpty():
-            break
+        if k < rounds:
+            spread = members.join(centre, "key").where("id != c.id")
+            pairs = spread.where(f"100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
+            if k:
+                pairs = pairs.where("label != c.label")
+            pairs = pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+            # A centre is through with its bucket: what is left of it are the pairs of the others.
+            rest = spread.select("key", "id", "n")
         if sets is None:
-            # Sets of the documents that share a bucket with another one of like size, for this round and the next.
+            # Sets of the documents that share a bucket with another one, for all rounds.
             need = buckets.select("id").distinct()
             texts = docs.join(need, "id", "left_semi")
             sets = scratch.save(texts.mapInPandas(_sets(n_words), "id long, s array<long>").dropDuplicates(["id"]))
+        if k == rounds:
+            pairs = candidate_pairs(members.select("id", "label").distinct().join(sets, "id"), percent)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = scratch.save(pairs)
         found = scratch.save(_verified(pairs, sets, percent))
         near = found if near is None else scratch.save(near.unionByName(found))
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -152,6 +158,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
+def _split(members: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, id, n, label) of the buckets whose members (key, id, n) lie in different components of ``near``."""
+    label = connected_components(near, scratch)
+    members = members.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    split = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return scratch.save(members.join(split, "key"))
+
+
 def _shared(reps: DataFrame) -> DataFrame:
     """Bucket keys with more than one document."""
     members = reps.select("id", F.explode("keys").alias("key"))
