@@ -230,6 +230,13 @@ def test_secrets(spark):
     assert secrets.novel_spans(plain, [], secrets.Novelty()) == []
 
 
+def test_secrets_behind_their_names():
+    value = "Zq8x/T1vKpL0mWc7RjY2hUo9dNs4eBg"
+    for name in ("AWS_SECRET_ACCESS_KEY=", "db_pwd=", "private_key=", "auth="):
+        assert secrets.novel_spans(name + value, [], secrets.Novelty()) == [(len(name), 3, len(name + value))]
+    assert secrets.novel_spans("colour=" + value, [], secrets.Novelty()) == []
+
+
 def test_simhash(spark):
     rng = random.Random(5)
     texts = [" ".join(prose(rng, rng.choice((5, 80, 300)))) for _ in range(30)] + ["", None, "é" * 7]

@@ -26,6 +26,8 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Where a candidate of its own may start, and its least length.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~$.-]{16,}", re.ASCII)
 _CONTEXT = re.compile(r"secret|passw|passphrase|token|credential|api.?key|access.?key|private|auth|bearer|signature|salt|pwd", re.IGNORECASE | re.ASCII)
+#: Names with their "=" at the front of a candidate: what follows is the value.
+_NAME = re.compile(r"(?:[A-Za-z_~$.-][\w~$.-]*=(?!=))+", re.ASCII)
 #: Characters before a candidate in which a sensitive word counts, and characters on both sides that prime the compressor.
 SENSITIVE, AROUND = 48, 256
 #: Least marginal bytes for each character: random base64 costs about 0.75, random hex 0.5, words under 0.4.
@@ -79,7 +81,10 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty)
     out = []
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
-        s = m.group()
+        name = _NAME.match(text, a, b)
+        if name and b - name.end() >= 16:
+            a = name.end()
+        s = text[a:b]
         if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or any(x < b and a < y for x, _, y in taken):
             continue
         if not _CONTEXT.search(text, max(0, a - SENSITIVE), a) or _entropy(s) < ENTROPY:
