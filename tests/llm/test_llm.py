@@ -440,6 +440,37 @@ def test_crossover_keeps_each_piece_once():
     assert len(island.best()[0]) <= before
 
 
+def test_evolution_saves_sequences():
+    """Pieces of which two or three fill a sequence: there best-fit decreasing is far from the bound, and crossovers find better packings."""
+    import numpy as np
+
+    saved = 0
+    for seed in range(3):
+        sizes = np.random.default_rng(seed).integers(600, 900, 300)
+        island = packing.Island(sizes, 2048, seed)
+        island.settle(None)
+        before = len(island.best()[0])
+        island.evolve(packing.GENERATIONS)
+        bins, room = island.best()
+        assert sorted(p for b in bins for p in b) == list(range(300)) and min(room) >= 0
+        saved += before - len(bins)
+    assert saved >= 3
+
+
+def test_tokens_of_odd_words():
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, own = Tokenizer.from_file(path), packing.Tokens(path)
+    texts = ["İstanbul ÑANDÚ. ß×÷ ſtraße ŉ", "it's we'll 'tis o'clock!!", "don't,stop;now: a.b", "e\u0301t\u0301e \u00a0x\u2003y \u0085", "日本語 テキスト 12,5 ½", "a" * 5000 + " ...", "", "<|endoftext|> x", "\x00a \x1cb"]
+    want = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    t.encode_special_tokens = True
+    want[7] = [*t.encode(texts[7], add_special_tokens=False).ids, 0]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own(texts)] == want == [np.frombuffer(b, "<u4").tolist() for b in own(texts)]
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline as cp
 

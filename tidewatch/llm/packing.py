@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import as_bytes
+from .words import as_bytes, slices, word_hashes
 
 LENGTH = 2048
 #: Pieces of a shard, about.
@@ -28,26 +28,33 @@ SHARD = 4096
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 6
-GENERATIONS = 6
+GENERATIONS = 12
 WELL_FILLED = 0.97
 #: Distinct chunks between white space in a generation; a worker remembers two generations.
 REMEMBERED = 500_000
 
 
-#: A word with ASCII punctuation behind it, an apostrophe apart: two units of the tokenizer whenever the word is all letters.
-_TAIL = re.compile(rb"(.+?)([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+#: A chunk that is a word of plain Latin letters (ASCII, and U+00C0 to U+017F without the multiplication and division signs and the
+#: dotted capital I, whose small form is two characters) and punctuation behind it, an apostrophe apart: at most two units of the
+#: tokenizer.  Any other line is the third group.
+_PLAIN = re.compile(rb"^(?:((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+)([!-&(-/:-@\[-`{-~]*)|(.+))$", re.MULTILINE)
+#: Units in one text for the tokenizer.
+BULK = 2_000
 
 
 def _byte_letters() -> dict[int, str]:
-    """The letter that byte-level tokenizers write for each byte: printable ones as they are, the others from 256 on."""
+    """The letter that byte-level tokenizers write for each byte: printable ones as they are, the others from 256 on, and here a space for the space."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)} | {32: " "}
 
 
 _LETTERS = _byte_letters()
 
 
+_OTHER = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
+
+
 class Tokens:
     """Ids of texts, by the tokenizer itself for each new chunk between white space and from memory afterwards.
 
@@ -56,59 +63,102 @@ class Tokens:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # The same model for units that are normalised and split already.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _encode(self, chunks: list[bytes]) -> None:
-        """New chunks.  A word of Latin letters is one unit of the tokenizer's model, which is asked directly; the rest goes all the way."""
-        rest, model = [], self.tokenizer.model
-        for c in chunks:
-            word = "".join([x.lower() for x in c.decode("utf-8", "surrogatepass")])
-            if word.isalpha() and max(word) < "\u0180":
-                got = model.tokenize(word if word.isascii() else "".join([_LETTERS[b] for b in word.encode()]))
-                self.known[c] = np.array([t.id for t in got], "<u4").tobytes()
-            else:
-                rest.append(c)
-        chunks = rest
+    def _odd(self, chunks: list[bytes]) -> None:
+        """Chunks one by one."""
         for i in range(0, len(chunks), 5000):
             part = chunks[i : i + 5000]
             got = self.tokenizer.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in part], add_special_tokens=False)
             for c, e in zip(part, got, strict=True):
                 self.known[c] = np.array(e.ids, "<u4").tobytes()
 
+    def _units(self, units: list[bytes]) -> None:
+        """Words and runs of punctuation, each one unit: many are encoded as one text, which is cut where a token ends a word."""
+        parts = [units[i : i + BULK] for i in range(0, len(units), BULK)]
+        texts = [b" ".join(p).decode().lower().encode().decode("latin-1").translate(_LETTERS) for p in parts]
+        for part, e in zip(parts, self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(part):  # not a tokenizer of one end for each word
+                self._odd(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for u, end in zip(part, ends, strict=True):
+                self.known[u] = raw[at:end]
+                at = end
+
     def _learn(self, chunks: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known
-        split: dict[bytes, tuple[bytes, bytes]] = {}
-        new: set[bytes] = set()
-        for c in chunks:
-            if (v := self.before.get(c)) is not None:
-                self.known[c] = v
-            elif (m := _TAIL.fullmatch(c)) and m[1].decode("utf-8", "surrogatepass").lower().isalpha():
-                split[c] = m.groups()
-                new.update(x for x in m.groups() if x not in self.known)
+        for c in chunks & self.before.keys():
+            self.known[c] = self.before[c]
+        new = list(chunks - self.before.keys())
+        split, odd, units = [], [], set()
+        for c, (word, tail, other) in zip(new, _PLAIN.findall(b"\n".join(new)), strict=True):
+            if other:
+                odd.append(c)
+            elif tail:
+                split.append((c, word, tail))
+                units.add(word)
+                units.add(tail)
             else:
-                new.add(c)
-        for x in new & self.before.keys():
-            self.known[x] = self.before[x]
-        self._encode(list(new - self.known.keys()))
-        for c, (word, tail) in split.items():
-            self.known[c] = self.known[word] + self.known[tail]
+                units.add(c)
+        units -= self.known.keys()
+        for u in units & self.before.keys():
+            self.known[u] = self.before[u]
+        self._units(list(units - self.before.keys()))
+        self._odd(odd)
+        known = self.known
+        known.update([(c, known[word] + known[tail]) for c, word, tail in split])
 
     def __call__(self, texts: list) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers, and id 0 at the end."""
-        split = [as_bytes(t).split() for t in texts]
-        self._learn(set().union(*split) - self.known.keys())
-        known = self.known
-        # A generation may end while it learns: what a text needs is then brought along.
-        missing = set().union(*split) - known.keys() if self.before else set()
-        for c in missing:
-            known[c] = self.before[c]
-        return [b"".join([known[c] for c in words]) + b"\0\0\0\0" for words in split]
+        raw, out = [as_bytes(t) for t in texts], []
+        for i, j in slices(raw, 4 << 20):
+            out += self._slice(raw[i:j])
+        return out
+
+    def _slice(self, texts: list[bytes]) -> list[bytes]:
+        """A slice's words are told apart by their hashes, so that each distinct one is looked up once and the ids are dealt out in numpy."""
+        h, first, starts, ends, a = word_hashes(texts)
+        _, at, which = np.unique(h, return_index=True, return_inverse=True)
+        # Words with a hash in common have the same length and the same sum of other byte values, or the slice goes the plain way.
+        other = np.concatenate(([np.uint64(0)], np.cumsum(_OTHER[a])))
+        mark = other[ends] - other[starts]
+        if (mark != mark[at][which]).any() or (ends - starts != (ends - starts)[at][which]).any():
+            chunks, which = np.unique(np.array([w for t in texts for w in t.split()], object), return_inverse=True)
+            chunks = chunks.tolist()
+        else:
+            joined = a.tobytes()
+            chunks = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        ids = [*map(self.known.get, chunks)]
+        missing = [k for k, v in enumerate(ids) if v is None]
+        self._learn({chunks[k] for k in missing})
+        for k in missing:
+            ids[k] = self.known[chunks[k]]
+        ids.append(b"\0\0\0\0")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        begin = np.cumsum(size) - size
+        which = np.insert(which, first[1:], len(chunks))
+        n = size[which]
+        end = np.cumsum(n)
+        got = flat[np.repeat(begin[which] - end + n, n) + np.arange(end[-1])] if len(end) else flat[:0]
+        # The end of a text is the one-token word behind its last word.
+        cut = [0, *end[first[1:] + np.arange(len(texts))].tolist()]
+        return [got[p:q].tobytes() for p, q in zip(cut, cut[1:], strict=False)]
 
 
 _tokens: dict[str, Tokens] = {}
@@ -124,9 +174,9 @@ def _pieces(path: str, length: int):
         tokens = _tokens[path]
         for pdf in batches:
             ids, texts = list(pdf["id"]), list(pdf["text"])
-            for a in range(0, len(texts), 500):
+            for a in range(0, len(texts), 2000):
                 rows = []
-                for i, raw in zip(ids[a : a + 500], tokens(texts[a : a + 500]), strict=True):
+                for i, raw in zip(ids[a : a + 2000], tokens(texts[a : a + 2000]), strict=True):
                     for k in range(0, len(raw), 4 * length):
                         part = raw[k : k + 4 * length]
                         rows.append((i, k // (4 * length), k // 4, len(part) // 4, zlib.crc32(part)))
@@ -175,7 +225,7 @@ class Island:
         if elite is not None:
             self.people.append((elite, [self.capacity - int(self.sizes[b].sum()) for b in elite]))
         while len(self.people) < POPULATION and not self.done():
-            noise = 1 + 0.05 * len(self.people) * self.rng.random(len(self.sizes))
+            noise = 1 + 0.25 * len(self.people) * self.rng.random(len(self.sizes))
             bins, room = [], []
             best_fit(self.sizes, iter(np.argsort(-self.sizes * noise, kind="stable").tolist()), self.capacity, bins, room)
             self.people.append((bins, room))
