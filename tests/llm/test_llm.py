@@ -345,10 +345,17 @@ def test_language_model(spark, data):
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     edge = frame(spark, ["", None, "alpha beta", "alpha"], [1, 1, None, 4])
-    few = language_model.score(edge, edge, frequent=2).collect()
-    assert len(few) == 4 and all(r.score <= 0 for r in few) and sorted(r.n_tokens for r in few) == [1, 1, 2, 3]
-    none = language_model.score(edge, edge.limit(0)).collect()
-    assert all(r.train_tokens == 0 and r.n_known == 0 for r in none) and language_model.score(edge.limit(0), edge).count() == 0
+    for most in (0, 2):
+        few = language_model.score(edge, edge, most=most).collect()
+        assert len(few) == 4 and all(r.score <= 0 for r in few)
+        want = brute_log10(["", None, "alpha beta", "alpha"], ["", None, "alpha beta", "alpha"])
+        assert sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in few) == sorted((*w[:3], round(w[3], 6)) for w in want)
+    nothing = edge.where(F.xxhash64("doc_id") == 1)  # a filter that the planner cannot fold
+    none = language_model.score(edge.repartition(7), nothing).collect()
+    assert len(none) == 4 and all(r.train_tokens == 0 and r.n_known == 0 for r in none) and language_model.score(nothing, edge.repartition(7)).count() == 0
+    long = frame(spark, [" ".join(prose(random.Random(1), 150_000)), *["alpha1 beta2"] * 600, *[None] * 600])
+    got = sorted((r.doc_id, r.n_tokens, r.score) for r in language_model.score(long.repartition(2), long).collect())
+    assert [g[1] for g in got] == [150_001, *[3] * 600, *[1] * 600] and all(g[2] < 0 for g in got)
 
 
 def test_language_model_is_a_distribution():

@@ -3,8 +3,9 @@
 Tokens are words (bytes other than white space, A-Z lower-cased) and one end per text.  Counts over all training texts give the
 unigram baseline, the classes and the distribution inside large classes.  A word's probability is that of its class, which the
 network predicts, times that of the word in its class: predicted for classes of at most ``SMALL`` words, by counts for larger ones.
-Words beyond the ``FREQUENT`` most frequent are one class, whose words and one unseen word share it by count plus a half, so the
-whole is a distribution over the same words as the baseline.  Texts run through lanes; the state is carried from window to
+The vocabulary is the most frequent words that make up ``COVERED`` of all tokens, and classes and input vectors grow with it.  Words
+beyond it are one class, whose words and one unseen word share it by count plus a half, so the whole is a distribution over the
+same words as the baseline.  Texts run through lanes; the state is carried from window to
 window to the end of a text, so that a long text's likelihood is that of the complete text.
 """
 
@@ -21,19 +22,19 @@ from pyspark.sql import functions as F
 
 from .quality import held_out
 from .scratch import Scratch
-from .words import as_bytes
+from .words import as_bytes, distinct_words, slices
 
-#: Words that every task knows with their counts: a fixed number, however large the corpus.
-FREQUENT = 30_000
-#: Words with an input vector of their own; others share their class's.
-INPUTS = 1_000
-CLASSES = 64
+#: Share of the tokens that the vocabulary, which every task knows with its counts, makes up; and the words that it holds at most.
+COVERED, MOST = 0.85, 1_000_000
+#: Words of the vocabulary that a class may hold to be predicted word by word.
 SMALL = 64
 HIDDEN = 24
 #: Tokens of a window in training; lanes of the start-up model, of training and of scoring.
 WINDOW, FIRST_LANES, LANES, SCORE_LANES = 16, 64, 256, 256
-#: Tokens that the common starting point is trained on, in one task; from there every task learns from all of its texts.
-WARM_UP = 150_000
+#: Tokens, and texts at most, that the common starting point is trained on, in one task; from there every task learns from all of its texts.
+WARM_UP, FIRST_TEXTS = 150_000, 1_000
+#: Bytes of text whose lanes run at a time.
+TOGETHER = 32 << 20
 #: Words that a counting task holds before it hands them on.
 HELD = 500_000
 
@@ -42,16 +43,21 @@ class Vocabulary:
     """Ids of the frequent words, their classes by equal shares of the tokens, and what counts say inside each class."""
 
     def __init__(self, words: list[str], counts: list[int], total: int, distinct: int):
+        if "" not in words:  # the end of a text is always known by name
+            words, counts = [*words, ""], [*counts, 0]
         self.total, self.distinct = total, distinct
         self.denominator = total + 0.5 * (distinct + 1)
         self.id = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(words)}
+        self.end = self.id[b""]
         c = np.array(counts, np.float64).reshape(-1) + 0.5
         self.count = c - 0.5
         n = self.n = len(words)
-        share = np.cumsum(c) / self.denominator if n else c
-        cls = np.minimum((share * CLASSES).astype(int), CLASSES - 2) if n else np.zeros(0, int)
-        _, cls = np.unique(cls, return_inverse=True) if n else (None, cls)
-        self.tail = int(cls.max()) + 1 if n else 0  # the class of all other words
+        wanted = max(64, round(5 * n**0.25))
+        self.inputs = max(1_000, round(n ** (2 / 3)))  # words with an input vector of their own; others share their class's
+        share = np.cumsum(c) / self.denominator
+        cls = np.minimum((share * wanted).astype(int), wanted - 2)
+        _, cls = np.unique(cls, return_inverse=True)
+        self.tail = int(cls.max()) + 1  # the class of all other words
         self.classes = self.tail + 1
         self.cls = np.append(cls, self.tail).astype(np.int32)
         self.first = np.searchsorted(self.cls, np.arange(self.classes + 1)).astype(np.int64)
@@ -60,19 +66,27 @@ class Vocabulary:
         mass = np.array([c[self.first[k] : self.first[k + 1]].sum() for k in range(self.tail)])
         self.tail_mass = max(self.denominator - c.sum(), 0.5)
         # log p(word | class) by counts; for the tail only its denominator, since a word's count is found elsewhere.
-        self.inside = np.append(np.log(c / mass[cls]) if n else c, -math.log(self.tail_mass))
+        self.inside = np.append(np.log(c / mass[cls]), -math.log(self.tail_mass))
         self.inside[:-1][self.small[cls]] = 0.0
         self.predicted = int(self.first[np.flatnonzero(self.small)[-1] + 1]) if self.small.any() else 0
         self.small[: len(self.small)] &= self.first[1:] <= self.predicted
-        self.input = np.where(np.arange(n + 1) < INPUTS, np.arange(n + 1), INPUTS + self.cls).astype(np.int32)
-        self.input[n] = INPUTS + self.tail
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Ids of a text's words and its end; words outside the frequent ones have the id n."""
-        get, n = self.id.get, self.n
-        out = [get(w, n) for w in words]
-        out.append(get(b"", n))
-        return np.array(out, np.int32)
+        self.input = np.where(np.arange(n + 1) < self.inputs, np.arange(n + 1), self.inputs + self.cls).astype(np.int32)
+        self.input[n] = self.inputs + self.tail
+
+    def ids(self, texts: list[bytes]):
+        """(each text's ids with its end, the others' (text, word, count)); words outside the vocabulary have the id n."""
+        out, others = [], []
+        for a, b in slices(texts, 4 << 20):
+            words, which, first = distinct_words(texts[a:b])
+            known = np.fromiter((self.id.get(w, self.n) for w in words), np.int32, len(words))
+            which = which.astype(np.int64)
+            ids = np.insert(known[which] if len(words) else np.zeros(0, np.int32), first[1:], self.end)
+            out += np.split(ids, first[1:-1] + np.arange(1, b - a))
+            rare = np.flatnonzero(known[which] == self.n) if len(words) else which
+            text = np.searchsorted(first, rare, side="right") - 1
+            pair, count = np.unique(text * len(words) + which[rare], return_counts=True)
+            others += [(a + k // len(words), words[k % len(words)], c) for k, c in zip(pair.tolist(), count.tolist(), strict=True)]
+        return out, others
 
 
 class Network:
@@ -80,7 +94,7 @@ class Network:
 
     def __init__(self, v: Vocabulary, flat: np.ndarray | None = None):
         self.v, h = v, HIDDEN
-        self.shapes = {"e": (INPUTS + v.classes + 1, 3 * h), "u": (h, 2 * h), "un": (h, h), "wc": (h, v.classes), "bc": (v.classes,), "ww": (v.predicted, h), "bw": (v.predicted,)}
+        self.shapes = {"e": (v.inputs + v.classes + 1, 3 * h), "u": (h, 2 * h), "un": (h, h), "wc": (h, v.classes), "bc": (v.classes,), "ww": (v.predicted, h), "bw": (v.predicted,)}
         size = sum(int(np.prod(s)) for s in self.shapes.values())
         fresh = flat is None
         if fresh:
@@ -209,51 +223,65 @@ def lanes(lengths: list[int], n: int) -> list[list[int]]:
     return out
 
 
-def _grid(texts: list[np.ndarray], n: int):
-    """(tokens, fresh, live, text) of shape (steps, lanes): the texts of each lane end to end, padded at its end."""
-    # The longest lane first: the live ones of a step are then the first so many, and no work goes into padding.
-    dealt = sorted(lanes([len(t) for t in texts], n), key=lambda lane: -sum(len(texts[t]) for t in lane))
-    steps = max((sum(len(texts[t]) for t in lane) for lane in dealt), default=0)
-    tokens = np.zeros((steps, len(dealt)), np.int32)
-    fresh, live = np.zeros(tokens.shape, bool), np.zeros(tokens.shape, bool)
-    who = np.zeros(tokens.shape, np.int32)
-    for i, lane in enumerate(dealt):
-        at = 0
-        for t in lane:
-            m = len(texts[t])
-            tokens[at : at + m, i], who[at : at + m, i] = texts[t], t
-            live[at : at + m, i], fresh[at, i] = True, True
-            at += m
-    return tokens, fresh, live, who
-
-
-def learn(net: Network, texts: list[np.ndarray], rate: float, n: int = LANES) -> None:
-    """One pass of Adam over texts by windows; the state, not the gradient, crosses from window to window."""
-    tokens, fresh, live, _ = _grid(texts, n)
-    h = np.zeros((tokens.shape[1], HIDDEN), np.float32)
-    m, s = np.zeros_like(net.flat), np.zeros_like(net.flat)
-    for i, t in enumerate(range(0, len(tokens), WINDOW), 1):
-        pace = rate * (1 - 0.9 * t / len(tokens))
-        k = int(live[t].sum())
-        part = slice(t, t + WINDOW), slice(0, k)
-        g, h = net.gradient(tokens[part], fresh[part], live[part], h[:k])
+class Lanes:
+    """Texts dealt to lanes, end to end; windows of them are cut out as they are needed, so that a long text costs no padding."""
+
+    def __init__(self, texts: list[np.ndarray], n: int):
+        # The longest lane first: the live ones of a step are then the first so many.
+        dealt = sorted(lanes([len(t) for t in texts], n), key=lambda lane: -sum(len(texts[t]) for t in lane))
+        order = [t for lane in dealt for t in lane]
+        size = np.array([len(texts[t]) for t in order], np.int64)
+        self.token = np.concatenate([texts[t] for t in order]) if order else np.zeros(0, np.int32)
+        self.owner = np.repeat(np.array(order, np.int32), size)
+        self.begins = np.zeros(len(self.token), bool)
+        self.begins[np.cumsum(size) - size] = True
+        self.length = np.array([sum(len(texts[t]) for t in lane) for lane in dealt], np.int64)
+        self.offset = np.cumsum(self.length) - self.length
+        self.steps = int(self.length[0]) if order else 0
+
+    def window(self, t: int, size: int):
+        """(tokens, fresh, live, owner) of shape (steps, lanes) from step ``t`` on, for the lanes that reach it."""
+        k = int(np.searchsorted(-self.length, -t, side="left"))
+        step = t + np.arange(min(size, self.steps - t))[:, None]
+        live = step < self.length[:k]
+        at = np.where(live, self.offset[:k] + step, self.offset[:k])
+        return self.token[at], self.begins[at] & live, live, self.owner[at]
+
+
+class Adam:
+    """Updates of a network's parameters; its averages outlast a call of ``learn``."""
+
+    def __init__(self, net: Network):
+        self.net, self.i = net, 0
+        self.m, self.s = np.zeros_like(net.flat), np.zeros_like(net.flat)
+
+    def update(self, g: np.ndarray, pace: float) -> None:
+        self.i += 1
         g *= min(1.0, 1.0 / (float(np.sqrt(g @ g)) + 1e-6))
-        m += 0.1 * (g - m)
-        s += 0.01 * (g * g - s)
-        net.flat -= pace * (m / (1 - 0.9**i)) / (np.sqrt(s / (1 - 0.99**i)) + 1e-4)
+        self.m += 0.1 * (g - self.m)
+        self.s += 0.01 * (g * g - self.s)
+        self.net.flat -= pace * (self.m / (1 - 0.9**self.i)) / (np.sqrt(self.s / (1 - 0.99**self.i)) + 1e-4)
+
+
+def learn(adam: Adam, texts: list[np.ndarray], rate: float, n: int = LANES) -> None:
+    """One pass over texts by windows, at a falling pace; the state, not the gradient, crosses from window to window."""
+    dealt = Lanes(texts, n)
+    h = np.zeros((len(dealt.length), HIDDEN), np.float32)
+    for t in range(0, dealt.steps, WINDOW):
+        tokens, fresh, live, _ = dealt.window(t, WINDOW)
+        g, h = adam.net.gradient(tokens, fresh, live, h[: tokens.shape[1]])
+        adam.update(g, rate * (1 - 0.9 * t / dealt.steps))
 
 
 def score_texts(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     """Natural-log likelihood of each complete text."""
-    tokens, fresh, live, who = _grid(texts, SCORE_LANES)
+    dealt = Lanes(texts, SCORE_LANES)
     out = np.zeros(len(texts))
-    h = np.zeros((tokens.shape[1], HIDDEN), np.float32)
-    for t in range(0, len(tokens), 32):
-        k = int(live[t].sum())
-        part = slice(t, t + 32), slice(0, k)
-        on = live[part]
-        hs, h, _ = net.states(tokens[part], fresh[part], h[:k])
-        out += np.bincount(who[part][on], net.log_p(hs[on], tokens[part][on]), minlength=len(texts))
+    h = np.zeros((len(dealt.length), HIDDEN), np.float32)
+    for t in range(0, dealt.steps, 32):
+        tokens, fresh, on, who = dealt.window(t, 32)
+        hs, h, _ = net.states(tokens, fresh, h[: tokens.shape[1]])
+        out += np.bincount(who[on], net.log_p(hs[on], tokens[on]), minlength=len(texts))
     return out
 
 
@@ -272,53 +300,70 @@ def word_counts(documents: DataFrame, scratch: Scratch) -> DataFrame:
                 if len(held) > HELD:
                     yield out()
                     held.clear()
-            held[b""] += len(pdf)
-        yield out()
+            if len(pdf):
+                held[b""] += len(pdf)
+        if held:
+            yield out()
 
     return scratch.save(documents.select("text").mapInPandas(run, "w string, c long").groupBy("w").agg(F.sum("c").alias("c")))
 
 
-def _texts(v: Vocabulary, pdf: pd.DataFrame) -> list[np.ndarray]:
-    return [v.ids(as_bytes(t).split()) for t in pdf["text"]]
+def vocabulary_of(counts: DataFrame, total: int, distinct: int, covered: float, most: int) -> Vocabulary:
+    """The words that occur most often, as many as make up ``covered`` of the tokens but ``most`` at most, and the end.
+
+    Counts are first summed up by steps of an eighth of a doubling, a few hundred rows; words of the same step come together.
+    """
+    step = F.floor(8 * F.log2("c"))
+    have, words, least = 0, 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if have >= covered * total or words + r.n > most:
+            break
+        have, words, least = have + r.c, words + r.n, r.step
+    wanted = (F.col("w") == "") if least is None else (F.col("w") == "") | (step >= least)
+    top = sorted(((-r.c, r.w) for r in counts.where(wanted).collect()))
+    return Vocabulary([w for _, w in top], [-c for c, _ in top], total, distinct)
 
 
 def train(documents: DataFrame, vocabulary, scratch: Scratch) -> np.ndarray:
     """Weights from all texts of ``documents``.
 
-    A start-up model is trained in one task on a few hundred texts picked by their hash, whatever the corpus; from it each task learns from all of
-    its own texts, and the results are averaged by the tokens behind them, sixteen at a time until few are left.
+    A start-up model is trained in one task on a few hundred different texts picked by their hash, whatever the corpus; from it each task learns
+    from all of its own texts, and the results are averaged by the tokens behind them, sixteen at a time until few are left.  As ever with
+    stochastic gradients, the order and partitioning of the texts has its part in the weights.
     """
 
-    def start(pdf: pd.DataFrame) -> pd.DataFrame:
-        net = Network(vocabulary.value)
+    def start(batches):
+        net, texts, size = Network(vocabulary.value), [], 0
         net.start_from_counts()
-        texts, size = [], 0
-        for t in _texts(vocabulary.value, pdf):
-            texts.append(t)
-            size += len(t)
-            if size >= WARM_UP:
-                break
+        for pdf in batches:
+            for t in vocabulary.value.ids([as_bytes(t) for t in pdf["text"]])[0]:
+                if size < WARM_UP:
+                    texts.append(t)
+                    size += len(t)
         if texts:
-            learn(net, texts, 0.02, FIRST_LANES)
-        return pd.DataFrame({"w": [net.flat.tobytes()], "n": [size]})
-
-    texts = int(vocabulary.value.count[i]) if (i := vocabulary.value.id.get(b"")) is not None else 0
-    share = min(1_000_000, -(-1_000_000 * (WARM_UP // 300) // max(1, texts)))
-    few = documents.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
-    first = few.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(start, "w binary, n long").first()
-    begin = documents.sparkSession.sparkContext.broadcast(first.w if first else None)
+            learn(Adam(net), texts, 0.02, FIRST_LANES)
+            yield pd.DataFrame({"w": [net.flat.tobytes()]})
+
+    v = vocabulary.value
+    share = min(1_000_000, -(-2_000_000 * FIRST_TEXTS // max(1, int(v.count[v.end]))))
+    few = documents.where("text is not null").withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1_000_000)) < share)
+    first = few.dropDuplicates(["h"]).orderBy("h").limit(FIRST_TEXTS).select("text").mapInPandas(start, "w binary").first()
     if first is None:
-        net = Network(vocabulary.value)
+        net = Network(v)
         net.start_from_counts()
-        return net.flat
+        first = [net.flat.tobytes()]
+    begin = documents.sparkSession.sparkContext.broadcast(bytes(first[0]))
 
     def more(batches):
         net, size, part = Network(vocabulary.value, np.frombuffer(begin.value, np.float32)), 0, 0
+        adam = Adam(net)
         for pdf in batches:
-            texts = _texts(vocabulary.value, pdf)
-            size += sum(map(len, texts))
-            learn(net, texts, 0.004)
-            part = int(pdf["part"].iloc[0])
+            raw = [as_bytes(t) for t in pdf["text"]]
+            for a, b in slices(raw, TOGETHER):
+                texts, _ = net.v.ids(raw[a:b])
+                size += sum(map(len, texts))
+                learn(adam, texts, 0.004)
+                part = int(pdf["part"].iloc[0])
         if size:
             yield pd.DataFrame({"w": [net.flat.tobytes()], "n": [size], "part": [part]})
 
@@ -332,11 +377,13 @@ def train(documents: DataFrame, vocabulary, scratch: Scratch) -> np.ndarray:
     while (n := got.count()) > 16:
         got = scratch.save(got.groupBy(F.pmod(F.xxhash64("part"), F.lit(-(-n // 16))).alias("g")).applyInPandas(average, schema))
     parts = got.collect()
+    if not parts:
+        return np.frombuffer(begin.value, np.float32)
     total = sum(p.n for p in parts)
     return sum(np.frombuffer(p.w, np.float32) * (p.n / total) for p in parts).astype(np.float32)
 
 
-def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", covered: float = COVERED, most: int = MOST) -> DataFrame:
     """For each row of ``documents``: id, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     Counts and the network come from all rows of ``training``.  Null and empty texts are one end token.  Rows stand for themselves,
@@ -347,8 +394,7 @@ def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", tex
     known = training.select(F.col(text_col).alias("text"))
     counts = word_counts(known, scratch)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "w").limit(frequent).collect()
-    v = Vocabulary([r.w for r in top], [r.c for r in top], total, distinct)
+    v = vocabulary_of(counts, total, distinct, covered, most)
     vocabulary = spark.sparkContext.broadcast(v)
     weights = spark.sparkContext.broadcast(train(known, vocabulary, scratch))
 
@@ -357,20 +403,23 @@ def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", tex
         net = Network(v, weights.value)
         log_c = np.append(np.log10(v.count + 0.5), 0.0)
         for pdf in batches:
-            words = [as_bytes(t).split() for t in pdf["text"]]
-            texts = [v.ids(w) for w in words]
-            rare = [Counter([ws[i] for i in np.flatnonzero(ids[:-1] == v.n)]) for ws, ids in zip(words, texts, strict=True)]
-            yield pd.DataFrame(
-                {
-                    "row": pdf["row"].to_numpy(),
-                    "id": pdf["id"].to_numpy(),
-                    "n_tokens": [len(t) for t in texts],
-                    "n_top": [int((v.count[t[t < v.n]] > 0).sum()) for t in texts],
-                    "base": [float(log_c[t].sum()) for t in texts],
-                    "net": score_texts(net, texts),
-                    "rare": [[{"w": w.decode("utf-8", "surrogatepass"), "n": n} for w, n in r.items()] for r in rare],
-                }
-            )
+            raw = [as_bytes(t) for t in pdf["text"]]
+            for a, b in slices(raw, TOGETHER):
+                texts, others = v.ids(raw[a:b])
+                rare: list[list] = [[] for _ in texts]
+                for t, w, n in others:
+                    rare[t].append({"w": w.decode("utf-8", "surrogatepass"), "n": n})
+                yield pd.DataFrame(
+                    {
+                        "row": pdf["row"].to_numpy()[a:b],
+                        "id": pdf["id"].to_numpy()[a:b],
+                        "n_tokens": [len(t) for t in texts],
+                        "n_top": [int((v.count[t[t < v.n]] > 0).sum()) for t in texts],
+                        "base": [float(log_c[t].sum()) for t in texts],
+                        "net": score_texts(net, texts),
+                        "rare": rare,
+                    }
+                )
 
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]

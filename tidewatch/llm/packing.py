@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import as_bytes, slices, word_hashes
+from .words import as_bytes, distinct_words, slices
 
 LENGTH = 2048
 #: Pieces of a shard, about.
@@ -52,9 +52,6 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-_OTHER = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
-
-
 class Tokens:
     """Ids of texts, by the tokenizer itself for each new chunk between white space and from memory afterwards.
 
@@ -131,18 +128,8 @@ class Tokens:
         return out
 
     def _slice(self, texts: list[bytes]) -> list[bytes]:
-        """A slice's words are told apart by their hashes, so that each distinct one is looked up once and the ids are dealt out in numpy."""
-        h, first, starts, ends, a = word_hashes(texts)
-        _, at, which = np.unique(h, return_index=True, return_inverse=True)
-        # Words with a hash in common have the same length and the same sum of other byte values, or the slice goes the plain way.
-        other = np.concatenate(([np.uint64(0)], np.cumsum(_OTHER[a])))
-        mark = other[ends] - other[starts]
-        if (mark != mark[at][which]).any() or (ends - starts != (ends - starts)[at][which]).any():
-            chunks, which = np.unique(np.array([w for t in texts for w in t.split()], object), return_inverse=True)
-            chunks = chunks.tolist()
-        else:
-            joined = a.tobytes()
-            chunks = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        """Each distinct word of a slice is looked up once, and the ids are dealt out in numpy."""
+        chunks, which, first = distinct_words(texts)
         ids = [*map(self.known.get, chunks)]
         missing = [k for k, v in enumerate(ids) if v is None]
         self._learn({chunks[k] for k in missing})

@@ -66,6 +66,27 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return h, np.searchsorted(starts, at), starts, ends, a
 
 
+_OTHER = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
+
+
+def distinct_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, the number of each word of the texts among them, first word of each text and the total).
+
+    Words are told apart by their hashes.  Those with a hash in common have the same length and the same sum of other byte
+    values, or the words themselves are compared.
+    """
+    h, first, starts, ends, a = word_hashes(texts)
+    _, at, which = np.unique(h, return_index=True, return_inverse=True)
+    mark = np.concatenate(([np.uint64(0)], np.cumsum(_OTHER[a])))
+    mark = mark[ends] - mark[starts]
+    if (mark != mark[at][which]).any() or (ends - starts != (ends - starts)[at][which]).any():
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(w, len(number)) for t in texts for w in t.split()], np.int64)
+        return list(number), which, first
+    joined = a.tobytes()
+    return [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], which, first
+
+
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
     """Distinct n-word shingles of one text as 64-bit hashes; a shorter, not empty text is one shingle as a whole."""
     if not len(h):
