@@ -81,7 +81,7 @@ def test_minhash_links_beyond_the_stars(spark):
         own = [f"own{i}x{j}" for j in range(9)]
         texts += [" ".join(template + own + [f"end{i}{c}{j}" for j in range(22)]) for c in "ab"]
     rng.shuffle(texts)
-    got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, texts), n_words=4, rounds=1).collect()}
+    got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, texts), n_words=4).collect()}
     _, comp = brute_components(texts, 4)
     assert len(set(comp)) == 150
     assert [got[i].component_id for i in range(len(texts))] == comp

@@ -4,26 +4,28 @@ Each distinct shingle is hashed once; the hash picks a bin and the smallest valu
 empty bin takes the value of a filled one chosen by its own fixed random order of bins, so that equal sets densify alike.
 Bands of the signature are buckets.  In a bucket only the edges of a star are candidates, so pairs grow with the members and
 not with their square; every candidate is confirmed on the full shingle sets.  Where the members of a bucket still lie in
-different components afterwards, the next round takes another centre for that bucket and tries those members again.  Documents
-of buckets that are split even after the last round are compared by an exact prefix-filter join: no pair in a bucket is given up.
+different components afterwards, they get a finer signature: buckets of its pairs of bands separate groups that the first ones mix,
+and take one centre after another as long as that finds links.  Documents of fine buckets that are split even then are compared by
+an exact prefix-filter join: no pair in them is given up.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .prefix_join import candidate_pairs
 from .scratch import Scratch
+from .stars import link_buckets, split_buckets
 from .words import as_bytes, mix, shingles, slices, word_hashes
 
 #: 26 bands of 5 rows: a pair at 0.8 shares a bucket with probability 1 - 3e-5, one at 0.5 with 0.56.
 BANDS, ROWS = 26, 5
-#: Star rounds.  The first links each bucket to its smallest document, later ones only buckets that are still split; the rest is joined exactly.
-ROUNDS = 3
+#: The finer signature.  Documents meet if two of its bands agree: of pairs at 0.8 that is 99 in 100; a given two bands agree at 0.6 in 5 of 100.
+FINE_BANDS, FINE_ROWS = 10, 3
 
 _BINS = BANDS * ROWS
 _ORDER = np.argsort(np.random.default_rng(77).random((_BINS, _BINS)), axis=1)
@@ -85,15 +87,28 @@ def _sets(n_words: int):
     return run
 
 
+def _fine(batches):
+    """(k, key): a key for each two bands of a set's finer signature."""
+    i, j = np.triu_indices(FINE_BANDS, 1)
+    for pdf in batches:
+        keys = []
+        for s in pdf["s"]:
+            b = bands(signature(np.asarray(s, np.int64).view(np.uint64), FINE_BANDS * FINE_ROWS), FINE_ROWS).view(np.uint64)
+            keys.append(mix(mix(b[i]) + b[j]).view(np.int64))
+        yield pd.DataFrame({"k": np.repeat(pdf["id"].to_numpy(), len(i)), "key": np.concatenate(keys)}) if keys else pd.DataFrame({"k": [], "key": []}, dtype=np.int64)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough.  Each set goes to the pair's centre ``a``, where one row waits for it."""
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    inter = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).alias("t")).where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b")
+    """The pairs (k, c) whose full sets (id, n, s) are alike enough; those whose sizes rule it out are dropped before any set moves."""
+    size = sets.select("id", "n")
+    fit = pairs.join(size.toDF("k", "nk"), "k").join(size.toDF("c", "nc"), "c").where(f"100 * least(nk, nc) >= {percent} * greatest(nk, nc)").select("k", "c")
+    left = fit.join(sets.select(F.col("id").alias("k"), F.col("s").alias("sk")), "k")
+    both = left.join(sets.select(F.col("id").alias("c"), F.col("s").alias("sc")), "c")
+    inter = F.size(F.array_intersect("sk", "sc")).cast("long")
+    return both.select("k", "c", inter.alias("i"), (F.size("sk") + F.size("sc")).alias("t")).where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("k", "c")
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``documents``.
 
     Documents are linked if ``100 * intersection >= percent * union`` of their word-shingle sets; component_id is the smallest
@@ -107,47 +122,29 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     # Copies with the same set are one class, named by its smallest id; only that one goes on.
     linkable = rows.where("id is not null and n > 0")
-    classes = linkable.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    classes = scratch.save(linkable.groupBy("h1", "h2").agg(F.min("id").alias("rep")))
     known = scratch.save(linkable.select("id", "h1", "h2").join(classes, ["h1", "h2"]).select("id", "rep").distinct())
     reps = rows.join(known.where("id = rep").select("id").distinct(), "id", "left_semi")
-    buckets = scratch.save(reps.select("id", "n", F.explode("keys").alias("key")).join(_shared(reps), "key"))
-
-    sets = None
-    links = known.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    tried, near = None, None
-    rest = buckets
-    for k in range(rounds + 1):
-        if k == 0:
-            centre = rest.groupBy("key").agg(F.min_by(F.struct("id", "n"), "id").alias("c"))
-            members = rest
-        else:
-            members = _split(rest, near, scratch)
-            if members.isEmpty():
-                break
-            centre = members.groupBy("key").agg(F.min_by(F.struct("id", "n", "label"), F.xxhash64("key", "id", F.lit(k))).alias("c"))
-        if k < rounds:
-            spread = members.join(centre, "key").where("id != c.id")
-            pairs = spread.where(f"100 * least(n, c.n) >= {percent} * greatest(n, c.n)")
-            if k:
-                pairs = pairs.where("label != c.label")
-            pairs = pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
-            # A centre is through with its bucket: what is left of it are the pairs of the others.
-            rest = spread.select("key", "id", "n")
-        if sets is None:
-            # Sets of the documents that share a bucket with another one, for all rounds.
-            need = buckets.select("id").distinct()
-            texts = docs.join(need, "id", "left_semi")
-            sets = scratch.save(texts.mapInPandas(_sets(n_words), "id long, s array<long>").dropDuplicates(["id"]))
-        if k == rounds:
-            pairs = candidate_pairs(members.select("id", "label").distinct().join(sets, "id"), percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs)
-        found = scratch.save(_verified(pairs, sets, percent))
-        near = found if near is None else scratch.save(near.unionByName(found))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-    if near is not None:
-        links = links.unionByName(near)
+    single = reps.select(F.col("id").alias("k"), F.explode("keys").alias("key"))
+    centre = scratch.save(single.groupBy("key").agg(F.min("k").alias("c"), F.max("k").alias("hi")).where("c < hi").select("key", "c"))
+    buckets = scratch.save(single.join(centre, "key").select("key", "k", "c"))
+
+    # Sets of the documents that share a bucket with another one, for all that follows.
+    texts = docs.join(buckets.select(F.col("k").alias("id")).distinct(), "id", "left_semi")
+    sets = scratch.save(texts.mapInPandas(_sets(n_words), "id long, s array<long>").dropDuplicates(["id"]).withColumn("n", F.size("s")))
+
+    def confirm(pairs):
+        return _verified(pairs, sets, percent)
+
+    linked = scratch.save(confirm(buckets.where("k != c").select("k", "c").distinct()))
+    split = split_buckets(buckets.select("key", "k"), linked, scratch).select(F.col("k").alias("id")).distinct()
+    fine = scratch.save(sets.select("id", "s").join(split, "id").mapInPandas(_fine, "k long, key long"))
+    linked, rest = link_buckets(fine, linked, confirm, scratch)
+    # What still shares a bucket with documents of other components is resolved exactly.
+    left = split_buckets(rest, linked, scratch).select(F.col("k").alias("id"), "label").distinct()
+    exact = scratch.save(candidate_pairs(scratch.save(left.join(sets.select("id", "s"), "id")), percent))
+    linked = linked.unionByName(confirm(exact.select(F.col("b").alias("k"), F.col("a").alias("c"))))
+    links = known.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).unionByName(linked.select(F.col("c").alias("a"), F.col("k").alias("b")))
     component = connected_components(links, scratch)
     out = rows.select("id", "n").join(component.withColumnRenamed("node", "id"), "id", "left")
     return out.select(
@@ -158,18 +155,4 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
-def _split(members: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, id, n, label) of the buckets whose members (key, id, n) lie in different components of ``near``."""
-    label = connected_components(near, scratch)
-    members = members.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    split = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    return scratch.save(members.join(split, "key"))
-
-
-def _shared(reps: DataFrame) -> DataFrame:
-    """Bucket keys with more than one document."""
-    members = reps.select("id", F.explode("keys").alias("key"))
-    return members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-
-
 __all__ = ["bands", "near_duplicates", "signature"]
