@@ -33,8 +33,8 @@ HIDDEN = 24
 WINDOW, FIRST_LANES, LANES, SCORE_LANES = 16, 64, 256, 256
 #: Tokens, and texts at most, that the common starting point is trained on, in one task; from there every task learns from all of its texts.
 WARM_UP, FIRST_TEXTS = 150_000, 1_000
-#: Bytes of text whose lanes run at a time.
-TOGETHER = 32 << 20
+#: Bytes of text whose lanes run at a time, in training and in scoring.
+TOGETHER, SCORE_TOGETHER = 32 << 20, 8 << 20
 #: Words that a counting task holds before it hands them on.
 HELD = 500_000
 
@@ -73,15 +73,17 @@ class Vocabulary:
         self.input = np.where(np.arange(n + 1) < self.inputs, np.arange(n + 1), self.inputs + self.cls).astype(np.int32)
         self.input[n] = self.inputs + self.tail
 
-    def ids(self, texts: list[bytes]):
-        """(each text's ids with its end, the others' (text, word, count)); words outside the vocabulary have the id n."""
+    def ids(self, texts: list[bytes], named: bool = False):
+        """(each text's ids with its end, if ``named`` the others' (text, word, count)); words outside the vocabulary have the id n."""
         out, others = [], []
-        for a, b in slices(texts, 4 << 20):
+        for a, b in slices(texts):
             words, which, first = distinct_words(texts[a:b])
             known = np.fromiter((self.id.get(w, self.n) for w in words), np.int32, len(words))
             which = which.astype(np.int64)
             ids = np.insert(known[which] if len(words) else np.zeros(0, np.int32), first[1:], self.end)
             out += np.split(ids, first[1:-1] + np.arange(1, b - a))
+            if not named:
+                continue
             rare = np.flatnonzero(known[which] == self.n) if len(words) else which
             text = np.searchsorted(first, rare, side="right") - 1
             pair, count = np.unique(text * len(words) + which[rare], return_counts=True)
@@ -100,13 +102,18 @@ class Network:
         if fresh:
             flat = (np.random.default_rng(3).standard_normal(size) * 0.1).astype(np.float32)
         self.flat = flat.astype(np.float32).copy()
-        self.p, at = {}, 0
+        self.p = self.views(self.flat)
+        if fresh:  # no opinion yet on top of the counts
+            self.p["wc"][:], self.p["ww"][:] = 0, 0
+
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parts of a vector of all parameters."""
+        out, at = {}, 0
         for k, s in self.shapes.items():
             n = int(np.prod(s))
-            self.p[k] = self.flat[at : at + n].reshape(s)
+            out[k] = flat[at : at + n].reshape(s)
             at += n
-        if fresh:  # no opinion yet on top of the counts
-            self.p["wc"][:], self.p["ww"][:] = 0, 0
+        return out
 
     def start_from_counts(self) -> None:
         """Biases from counts, so that training begins at the unigram distribution."""
@@ -166,14 +173,16 @@ class Network:
         hs, after, parts = self.states(tokens, fresh, h0, keep=True)
         flat_h, tok, on = hs.reshape(-1, k), tokens.reshape(-1), live.reshape(-1)
         scale = np.float32(1 / max(1, on.sum()))
-        g = {n: np.zeros(s, np.float32) for n, s in self.shapes.items()}
-        logits = flat_h @ self.p["wc"] + self.p["bc"]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        cls = v.cls[tok]
-        p[np.arange(len(tok)), cls] -= 1
-        p *= (on * scale)[:, None]
-        g["wc"], g["bc"] = flat_h.T @ p, p.sum(axis=0)
+        grad = np.zeros_like(self.flat)
+        g = self.views(grad)
+        p = flat_h @ self.p["wc"]
+        p += self.p["bc"]
+        np.minimum(p, 60, out=p)  # far beyond what is met; keeps the exponential finite
+        np.exp(p, out=p)
+        cls, weight = v.cls[tok], on * scale
+        p *= (weight / p.sum(axis=1))[:, None]
+        p[np.arange(len(tok)), cls] -= weight
+        g["wc"][:], g["bc"][:] = flat_h.T @ p, p.sum(axis=0)
         dh_out = p @ self.p["wc"].T
         for a, c in self._by_class(np.where(on, cls, v.tail)):
             i, j = v.first[c], v.first[c + 1]
@@ -203,13 +212,13 @@ class Network:
             if fresh[t].any():
                 dh = dh * ~fresh[t][:, None]
         flat_dx = dx.reshape(-1, 3 * k)
-        g["un"] = (r * hs).reshape(-1, k).T @ flat_dx[:, 2 * k :]
-        g["u"] = flat_h.T @ flat_dx[:, : 2 * k]
+        g["un"][:] = (r * hs).reshape(-1, k).T @ flat_dx[:, 2 * k :]
+        g["u"][:] = flat_h.T @ flat_dx[:, : 2 * k]
         order = np.argsort(v.input[tok], kind="stable")
         at = v.input[tok][order]
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         g["e"][at[first]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], first)
-        return np.concatenate([g[n].ravel() for n in self.shapes]), after
+        return grad, after
 
 
 def lanes(lengths: list[int], n: int) -> list[list[int]]:
@@ -404,8 +413,8 @@ def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", tex
         log_c = np.append(np.log10(v.count + 0.5), 0.0)
         for pdf in batches:
             raw = [as_bytes(t) for t in pdf["text"]]
-            for a, b in slices(raw, TOGETHER):
-                texts, others = v.ids(raw[a:b])
+            for a, b in slices(raw, SCORE_TOGETHER):
+                texts, others = v.ids(raw[a:b], named=True)
                 rare: list[list] = [[] for _ in texts]
                 for t, w, n in others:
                     rare[t].append({"w": w.decode("utf-8", "surrogatepass"), "n": n})

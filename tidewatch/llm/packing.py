@@ -123,7 +123,7 @@ class Tokens:
     def __call__(self, texts: list) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers, and id 0 at the end."""
         raw, out = [as_bytes(t) for t in texts], []
-        for i, j in slices(raw, 4 << 20):
+        for i, j in slices(raw, 2 << 20):
             out += self._slice(raw[i:j])
         return out
 
