@@ -14,7 +14,7 @@ _SEVERITY = {
     "warning": ("warning", "warn", "3"), "err": ("err", "error", "4"), "critical": ("critical", "crit", "5", "fatal"),
     "alert": ("alert", "6"), "emergency": ("emergency", "emerg", "panic", "7"),
 }
-_SOC = {"critical": ("critical", "crit", "alert", "emergency", "emerg", "panic", "fatal"), "high": ("high", "err", "error"), "medium": ("medium", "warning", "warn")}
+_SOC = {"critical": ("critical", "emergency", "alert"), "high": ("high", "err", "error"), "low": ("low", "info", "debug", "")}
 BLOCKED = ("deny", "denied", "block", "blocked", "failure", "failed", "fail")
 TIME_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssXX",
@@ -143,9 +143,9 @@ def normalize_severity(s) -> Column:
 
 
 def soc_severity(s) -> Column:
-    """critical, high, medium or low."""
-    s = F.lower(F.trim(c(s)))
-    return reduce(lambda w, kv: w.when(s.isin(*kv[1]), kv[0]), _SOC.items(), F).otherwise("low")
+    """critical, high, medium or low; null and empty are low, any other name medium."""
+    s = F.coalesce(F.lower(F.trim(c(s))), F.lit(""))
+    return reduce(lambda w, kv: w.when(s.isin(*kv[1]), kv[0]), _SOC.items(), F).otherwise("medium")
 
 
 def severity_rank(s) -> Column:

@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.exprs import stable_id
 from .graph import access_relation, links
 
-# Words that suggest how critical an asset is, first come first.
-CRITICALITY_WORDS = (("critical", ("dc", "domain", "prod-db", "payment", "vault")), ("high", ("prod", "db", "sql", "mail", "vpn")), ("medium", ("web", "app", "api", "srv")), ("low", ("test", "dev", "lab")))
-# Weight of each expected source class for a kind of asset.
-EXPECTED = {"linux_server": {"auditd": 30, "sshd": 15, "journal": 30, "net.flow": 25}, "windows_server": {"windows.security": 40, "windows.sysmon": 30, "net.flow": 30}, "workstation": {"edr.process": 60, "net.flow": 40}}
+# Entity types and words in a name that suggest how critical an asset is, first come first.
+CRITICALITY_RULES = (
+    ("critical", ("identity_provider",), ("domain controller", "domain-controller", "payment", "card-", "core-banking")),
+    ("high", ("database",), ("database", "db-", "pg-", "postgres", "mysql", "oracle", "sql")),
+    ("high", ("server",), ("firewall", "router", "switch", "gateway", "loadbalancer", "load-balancer", "bastion", "jumpserver")),
+    ("low", (), ("ci-", "build", "test", "dev", "sandbox", "staging", "demo", "training")),
+)
+# Weight in percent of each expected source class on a platform.
+EXPECTED = {
+    "windows": {"os.windows.security": 28, "os.windows.sysmon": 27, "os.windows.powershell": 17, "os.windows.defender": 11, "os.windows.dns": 5, "net.flow": 12},
+    "linux": {"os.linux.auditd": 30, "os.linux.sshd": 15, "os.linux.sudo": 10, "os.linux.journal": 15, "net.flow": 15, "net.dns": 15},
+    "network": {"net.firewall": 40, "net.dns": 20, "net.flow": 20, "net.ids": 20},
+}
 #: STRIDE templates: where -> (category, severity, technique, mitigation).
 THREATS = {
     "exposed": (("spoofing", "high", "T1078", "M1032"), ("tampering", "medium", "T1190", "M1050"), ("denial_of_service", "medium", "T1499", "M1037"), ("elevation_of_privilege", "high", "T1068", "M1051")),
@@ -29,16 +38,25 @@ def observe_assets(events: DataFrame, prev: DataFrame | None = None) -> DataFram
     return j.select("host", F.coalesce("first_seen", "a").alias("first_seen"), F.greatest("last_seen", "b").alias("last_seen"), F.coalesce("status", F.lit("draft")).alias("status"))
 
 
-def suggest_criticality(name: Column) -> Column:
+def suggest_criticality(name: Column, entity_type: Column | None = None) -> Column:
+    """A level from the entity's type and words in its name; medium if nothing tells."""
     out, low = F, F.lower(name)
-    for level, words in CRITICALITY_WORDS:
-        hit = low.contains(words[0])
-        for w in words[1:]:
+    kind = F.lit("") if entity_type is None else F.coalesce(entity_type, F.lit(""))
+    for level, kinds, words in CRITICALITY_RULES:
+        hit = kind.isin(*kinds) if kinds else F.lit(False)
+        for w in words:
             hit = hit | low.contains(w)
         out = out.when(hit, level)
     return out.otherwise("medium")
 
 
+def platform(entity_type: Column, os: Column) -> Column:
+    """windows, linux or network, from the operating system's name and the entity's type; null if neither tells."""
+    low = F.lower(F.coalesce(os, F.lit("")))
+    linux = entity_type.isin("database", "application", "host", "server", "workstation", "container") | low.contains("linux")
+    return F.when(low.contains("windows"), "windows").when(entity_type == "network", "network").when(linux, "linux")
+
+
 def merge_inventory(prev: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """New rows over old ones, column by column where the new one says anything."""
     rest = [c for c in prev.columns if c not in key]
@@ -56,9 +74,9 @@ def coverage_rows(events: DataFrame, now: Column, prev: DataFrame | None = None,
 
 
 def coverage_pct(rows: DataFrame, kinds: DataFrame, now: Column) -> DataFrame:
-    """(host, pct, available, missing, stale, unexpected): weighted share of the classes that a host's kind should send.
+    """(host, pct, available, missing, stale, unexpected): weighted share of the classes that a host's platform should send.
 
-    ``rows`` (host, source_class, last_event), ``kinds`` (host, kind); a class not heard of for a day is stale but counts.
+    ``rows`` (host, source_class, last_event), ``kinds`` (host, kind: its ``platform``); a class not heard of for a day is stale but counts.
     """
     spark = rows.sparkSession
     want = spark.createDataFrame([(k, c, w) for k, cs in EXPECTED.items() for c, w in cs.items()], "kind string, source_class string, weight int")

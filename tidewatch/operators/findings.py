@@ -12,7 +12,7 @@ from ..functions.exprs import bucket_start, soc_severity
 from .stats import merge_capped
 
 OPEN = ("new", "open", "in_progress")
-DEFAULT_RISK = {"critical": 90, "high": 70, "medium": 40, "low": 10}
+DEFAULT_RISK = {"critical": 50, "high": 35, "medium": 20, "low": 10}
 SCHEMA = (
     "id string, dedup_key string, title string, severity string, status string, risk_score double, detection_id string, user string, host string, source_ip string, destination_ip string, mitre_tactic string, mitre_technique string, "
     "tags array<string>, event_ids array<string>, entities array<string>, match_count long, first_seen timestamp_ntz, last_seen timestamp_ntz"

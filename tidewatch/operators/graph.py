@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 
 # Relations that give access, and the write path's names for them.
-ACCESS = ("connects_to", "auth", "executes", "accesses", "logs_into", "controls", "admin_of", "trusts")
+ACCESS = ("authenticates", "auth", "login", "logon", "exec", "execs", "executes", "runs", "accesses", "reads", "writes", "transfers", "lateral_movement", "connects_to", "connects")
 WRITE_PATH = {"connected_to": "connects_to", "auth_from": "auth", "executed": "executes", "accessed": "accesses"}
 STEP_WEIGHT = {"observed": 1.0, "inferred": 0.6, "potential": 0.3, "blocked": 0.0}
 CRITICALITY_FACTOR = {"critical": 1.0, "high": 0.7, "medium": 0.4, "low": 0.2}

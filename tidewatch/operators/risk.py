@@ -10,10 +10,9 @@ from .joins import asset_enrich, identity_enrich
 from .stats import top_n_per_key
 
 # Fixed points.
-SEVERITY_POINTS = {"emergency": 50, "alert": 45, "critical": 35, "err": 20, "warning": 10, "notice": 5}
+SEVERITY_POINTS = {"emergency": 50, "critical": 50, "alert": 45, "err": 35, "warning": 20, "notice": 10, "info": 5}
 CRITICALITY_POINTS = {"critical": 10, "high": 6, "medium": 3, "low": 1}
-PRIVILEGE_POINTS = {"admin": 10, "elevated": 5}
-FINDING_POINTS = {"critical": 40, "high": 25, "medium": 10, "low": 3}
+PRIVILEGE_POINTS = {"admin": 10, "privileged": 5}
 INDICATOR_POINTS = {"critical": 25, "high": 15, "medium": 8, "low": 4}
 HALF_LIFE_HOURS = {"finding": 720, "event": 72, "ti": 2160, "anomaly": 24}
 LEDGER = ("entity_type", "entity_value", "source_type", "source_id", "description", "points", "event_id", "created_at")
@@ -46,10 +45,10 @@ def score_events(events: DataFrame, assets: DataFrame, meta: DataFrame) -> DataF
 
 
 def finding_contributions(findings: DataFrame) -> DataFrame:
-    """Points of new findings for each entity 'kind:value'; a process gets half."""
-    each = findings.select("id", "severity", "title", "first_seen", F.explode("entities").alias("ref"))
+    """The risk score of new findings for each entity 'kind:value'; a process gets half."""
+    each = findings.where("risk_score > 0").select("id", "risk_score", "title", "first_seen", F.explode("entities").alias("ref")).where("substring_index(ref, ':', 1) != ref and ref not like '%:'")
     kind, value = F.substring_index("ref", ":", 1), F.expr("substring(ref, instr(ref, ':') + 1)")
-    p = points(F.col("severity"), FINDING_POINTS)
+    p = F.col("risk_score")
     return each.select(kind.alias("entity_type"), value.alias("entity_value"), F.lit("finding").alias("source_type"), F.col("id").alias("source_id"), F.col("title").alias("description"), F.when(kind == "process", p / 2).otherwise(p).alias("points"), F.lit(None).cast("string").alias("event_id"), F.col("first_seen").alias("created_at"))
 
 

@@ -56,7 +56,20 @@ q("P8_bin", "SELECT id, time_bucket(INTERVAL 1 HOUR, timestamp, TIMESTAMP '1970-
 q("P10_truncate_message", "SELECT id, left(message, 12) AS message FROM ev")(lambda e: p.truncate_message(e, 12).select("id", "message"))
 
 
-@query("P9_redact", None)
+#: The kinds and expressions that the operator strikes out, one after another.
+_STRIKE = (
+    ("password", r"""(?i)\b(password|passwd|pwd|passphrase)\b(\s*[=:]\s*)?[^\s"'',;)]{4,}"""),
+    ("token", r"""(?i)\b(api[_-]?key|apikey|secret|access[_-]?token|auth[_-]?token|client[_-]?secret)\b(\s*[=:]\s*)?[^\s"'',;)]{8,}"""),
+    ("token", r"(?i)\b(bearer|basic)\s+[a-z0-9+/._=-]{16,}"),
+    ("token", r"\b(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA|ANVA)[0-9A-Z]{16}\b"),
+    ("cookie", r"(?i)\b(set-cookie|cookie)\s*:\s*[^\n;,]{4,}"),
+    ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
+)
+_STRUCK = ", ".join(f"t{i + 1} AS (SELECT doc_id, h || CASE WHEN regexp_matches(text, '{p}') THEN ['{label}'] ELSE [] END AS h, regexp_replace(text, '{p}', '[REDACTED:{label}]', 'g') AS text FROM t{i})" for i, (label, p) in enumerate(_STRIKE))
+_KINDS = " || ".join(f"CASE WHEN list_contains(h, '{kind}') THEN ['{kind}'] ELSE [] END" for kind in ("password", "token", "cookie", "ssn"))
+
+
+@query("P9_redact", f"WITH t0 AS (SELECT doc_id, []::VARCHAR[] AS h, text FROM documents), {_STRUCK} SELECT doc_id, array_to_string({_KINDS}, ',') AS redactions, md5(text) AS text_md5 FROM t{len(_STRIKE)}")
 def _redact(spark, d):
     out = p.redact(k.read(spark, d, "documents"), ["text"])
     return out.select("doc_id", F.array_join("redactions", ",").alias("redactions"), F.md5("text").alias("text_md5"))
@@ -95,7 +108,7 @@ q("A6_distinct_count", 'SELECT count(DISTINCT "user") AS dc_user, host FROM ev G
 q("A7_A8_values_list", "SELECT string_agg(DISTINCT source, ',' ORDER BY source) AS v, count(*) AS n, host FROM ev GROUP BY host")(lambda e: s.stats(e, [("values", "source"), ("list", "source")], ["host"]).select(F.array_join("values_source", ",").alias("v"), F.size("list_source").cast("bigint").alias("n"), "host"))
 q("A9_timechart", "SELECT time_bucket(INTERVAL 6 HOUR, timestamp, TIMESTAMP '1970-01-01') AS _time, count(*) AS count, source FROM ev GROUP BY ALL")(lambda e: s.timechart(e, ["count"], "6h", ["source"]))
 q("A10_eventstats", "SELECT id, host, count(*) OVER (PARTITION BY host) AS count, max(value) OVER (PARTITION BY host) AS max_value FROM ev")(lambda e: s.eventstats(e, ["count", ("max", "value")], ["host"]).select("id", "host", "count", "max_value"))
-q("A11_event_timeline", "SELECT time_bucket(INTERVAL 1 HOUR, timestamp, TIMESTAMP '1970-01-01') AS bucket, count(*) AS total, 0 AS critical, count(*) FILTER (severity = 'err') AS high, count(*) FILTER (severity = 'warning') AS medium, count(*) FILTER (severity NOT IN ('err', 'warning')) AS low FROM ev GROUP BY 1")(lambda e: s.event_timeline(e, 3600))
+q("A11_event_timeline", "SELECT time_bucket(INTERVAL 1 HOUR, timestamp, TIMESTAMP '1970-01-01') AS bucket, count(*) AS total, 0 AS critical, count(*) FILTER (severity = 'err') AS high, count(*) FILTER (severity IN ('warning', 'notice')) AS medium, count(*) FILTER (severity NOT IN ('err', 'warning', 'notice')) AS low FROM ev GROUP BY 1")(lambda e: s.event_timeline(e, 3600))
 q("A13_source_counts", "SELECT source, count(*) AS count FROM (SELECT source FROM ev ORDER BY timestamp DESC, id LIMIT 1000) GROUP BY 1")(lambda e: s.source_counts(e, 1000))
 q("A14_dashboard_summary", "SELECT count(*) AS total, count(DISTINCT source) AS sources, count(DISTINCT host) AS hosts, count(DISTINCT severity) AS severitys FROM ev")(s.dashboard_summary)
 q("A15_event_stats", f"SELECT 'total' AS kind, '' AS name, count(*) AS count FROM ev UNION ALL SELECT 'severity', severity, count(*) FROM ev GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM ev GROUP BY 2 UNION ALL SELECT 'last_24h', '', count(*) FROM ev WHERE timestamp >= {_N} - INTERVAL 24 HOUR")(lambda e: s.event_stats(e, _ntz(k.latest(e))))
@@ -117,6 +130,6 @@ q("L4_page", "SELECT id FROM ev ORDER BY timestamp DESC, id LIMIT 100 OFFSET 300
 q("L7_diff", f"SELECT host, CASE WHEN a THEN 'added' ELSE 'removed' END AS change FROM (SELECT host, bool_or(source = 'error') AS a, bool_or(source = 'signup' AND \"user\" LIKE '%1') AS b FROM ev GROUP BY 1) WHERE a <> b")(
     lambda e: s.diff(e.where((F.col("source") == "signup") & F.col("user").like("%1")).select("host").distinct(), e.where("source = 'error'").select("host").distinct(), ["host"]))
 q("L8_merge_capped", "SELECT host, 'h' || ',' || host AS merged FROM (SELECT DISTINCT host FROM ev)")(lambda e: e.select("host").distinct().select("host", F.array_join(s.merge_capped(F.array(F.lit("h"), "host"), F.array("host", F.lit("z")), 2), ",").alias("merged")))
-q("S12_severities", "SELECT DISTINCT severity, severity AS folded, CASE severity WHEN 'err' THEN 'high' WHEN 'warning' THEN 'medium' ELSE 'low' END AS soc, CASE severity WHEN 'info' THEN 1 WHEN 'notice' THEN 2 WHEN 'warning' THEN 3 ELSE 4 END AS rank FROM ev")(
+q("S12_severities", "SELECT DISTINCT severity, severity AS folded, CASE severity WHEN 'err' THEN 'high' WHEN 'warning' THEN 'medium' WHEN 'notice' THEN 'medium' ELSE 'low' END AS soc, CASE severity WHEN 'info' THEN 1 WHEN 'notice' THEN 2 WHEN 'warning' THEN 3 ELSE 4 END AS rank FROM ev")(
     lambda e: e.select("severity", X.normalize_severity("severity").alias("folded"), X.soc_severity("severity").alias("soc"), X.severity_rank("severity").alias("rank")).distinct())
 q("S13_parse_timestamp", "SELECT id, date_trunc('second', timestamp) AS a FROM ev")(lambda e: e.select("id", X.parse_timestamp(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz").alias("a")))

@@ -34,8 +34,8 @@ EV = """ev AS (SELECT event_id, event_id::VARCHAR AS id, ts AS timestamp, event_
 
 #: Assets, entity metadata, indicators and address ranges derived from customer, nation and supplier.
 ASSETS = """assets AS (SELECT 'host' AS entity_type, 'host:h' || c_custkey AS entity_ref, 'h' || c_custkey AS name, CASE c_custkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS criticality,
-  c_custkey % 5 = 0 AS internet_exposed, CASE WHEN c_custkey % 2 = 0 THEN 'dmz' ELSE 'corp' END AS environment, c_custkey AS k FROM customer WHERE c_custkey < 20)"""
-META = """meta AS (SELECT 'u' || c_custkey AS "user", CASE WHEN c_custkey % 7 = 0 THEN 'admin' WHEN c_custkey % 3 = 0 THEN 'elevated' ELSE 'standard' END AS privilege FROM customer)"""
+  c_custkey % 5 = 0 AS internet_exposed, CASE WHEN c_custkey % 2 = 0 THEN 'dmz' ELSE 'corp' END AS environment, c_custkey AS k FROM customer)"""
+META = """meta AS (SELECT 'u' || c_custkey AS "user", CASE WHEN c_custkey % 7 = 0 THEN 'admin' WHEN c_custkey % 3 = 0 THEN 'privileged' ELSE 'standard' END AS privilege FROM customer)"""
 INDICATORS = """ind AS (SELECT s_suppkey AS indicator_id, 'ip' AS type, '10.0.' || (s_suppkey % 8) || '.' || (s_suppkey % 50) AS value, CASE s_suppkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,
   (s_suppkey % 10 + 1) / 10.0::DOUBLE AS confidence, 'feed-' || (s_nationkey % 3) AS feed, 0.5 + (s_nationkey % 3) * 0.25::DOUBLE AS reliability FROM supplier)"""
 GEO = """geo AS (SELECT n_nationkey AS k, 167772160 + (n_nationkey % 8) * 65536 + (n_nationkey // 8) * 16 AS lo, 167772160 + (n_nationkey % 8) * 65536 + (n_nationkey // 8) * 16 + 15 AS hi, n_name AS country, (n_nationkey * 7 % 120 - 60)::DOUBLE AS lat, (n_nationkey * 31 % 300 - 150)::DOUBLE AS lon FROM nation)"""
@@ -43,7 +43,7 @@ GEO = """geo AS (SELECT n_nationkey AS k, 167772160 + (n_nationkey % 8) * 65536
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return read(spark, sf_dir, "customer").where(k < 20).select(
+    return read(spark, sf_dir, "customer").select(
         F.lit("host").alias("entity_type"), F.concat(F.lit("host:h"), k).alias("entity_ref"), F.concat(F.lit("h"), k).alias("name"),
         F.element_at(F.array(*map(F.lit, ("critical", "high", "medium", "low"))), (k % 4 + 1).cast("int")).alias("criticality"), (k % 5 == 0).alias("internet_exposed"),
         F.when(k % 2 == 0, "dmz").otherwise("corp").alias("environment"), k.alias("k"),
@@ -52,7 +52,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return read(spark, sf_dir, "customer").select(F.concat(F.lit("u"), k).alias("user"), F.when(k % 7 == 0, "admin").when(k % 3 == 0, "elevated").otherwise("standard").alias("privilege"))
+    return read(spark, sf_dir, "customer").select(F.concat(F.lit("u"), k).alias("user"), F.when(k % 7 == 0, "admin").when(k % 3 == 0, "privileged").otherwise("standard").alias("privilege"))
 
 
 def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:

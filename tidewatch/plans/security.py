@@ -192,8 +192,8 @@ def _findings(e):
     return fd.new_findings(groups, "brute", "Brute force", "high", "credential_access", "T1110")
 
 
-q("D20_findings_upsert", f"WITH {_FI} SELECT id, dedup_key, match_count * 2 AS match_count, last_seen FROM fi")(lambda e: fd.findings_upsert(_findings(e), _findings(e)).select("id", "dedup_key", "match_count", "last_seen"))
-q("D21_query_table", f"WITH {_FI} SELECT id, title, match_count FROM fi WHERE severity = 'high' AND (title ILIKE '%U1%' OR host ILIKE '%u1%') AND risk_score >= 50 ORDER BY match_count DESC, id LIMIT 20")(lambda e: fd.query_table(_findings(e), {"severity": "high"}, {"title,host": "U1"}, {"risk_score": (50, None)}, sort="-match_count", limit=20).select("id", "title", "match_count"))
+q("D20_findings_upsert", f"WITH {_FI} SELECT id, dedup_key, match_count * 2 AS match_count, last_seen, 35.0::DOUBLE AS risk_score FROM fi")(lambda e: fd.findings_upsert(_findings(e), _findings(e)).select("id", "dedup_key", "match_count", "last_seen", "risk_score"))
+q("D21_query_table", f"WITH {_FI} SELECT id, title, match_count FROM fi WHERE severity = 'high' AND (title ILIKE '%U1%' OR host ILIKE '%u1%') AND risk_score >= 30 ORDER BY match_count DESC, id LIMIT 20")(lambda e: fd.query_table(_findings(e), {"severity": "high"}, {"title,host": "U1"}, {"risk_score": (30, None)}, sort="-match_count", limit=20).select("id", "title", "match_count"))
 q("D22_primary_entities", 'SELECT host, arg_min("user", (timestamp, id)) AS "user", arg_min(source_ip, (timestamp, id)) AS source_ip, arg_min(destination_ip, (timestamp, id)) AS destination_ip FROM ev GROUP BY host')(lambda e: fd.primary_entities(e, ["host"], ["timestamp", "id"]))
 q("D23_apply_suppression", f"WITH {_FI} SELECT id FROM fi WHERE detection_id <> 'other'")(lambda e: fd.apply_suppression(_findings(e), e.select(F.lit("other").alias("detection_id"))).select("id"))
 _REL = "rl AS (SELECT DISTINCT f.id AS finding_id, o.id AS other_id, o.last_seen FROM fi f JOIN fi o ON f.id <> o.id AND (f.host = o.host OR f.\"user\" = o.\"user\" OR f.source_ip IN (o.source_ip, o.destination_ip) OR f.destination_ip IN (o.source_ip, o.destination_ip)) QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY o.last_seen DESC, o.id) <= 5)"
@@ -226,10 +226,10 @@ def _context(e, a_, m, n, x):
 
 
 # --- risk ------------------------------------------------------------------------------------------------------------------
-_PTS = "CASE severity WHEN 'err' THEN 20 WHEN 'warning' THEN 10 WHEN 'notice' THEN 5 ELSE 0 END"
+_PTS = "CASE severity WHEN 'err' THEN 35 WHEN 'warning' THEN 20 WHEN 'notice' THEN 10 WHEN 'info' THEN 5 ELSE 0 END"
 _LED = f"""led AS (SELECT * FROM (SELECT 'host' AS entity_type, host AS entity_value, id AS source_id, 'severity' AS description, {_PTS}::DOUBLE AS points, timestamp AS created_at FROM ev UNION ALL
   SELECT 'host', host, id, 'asset criticality', CASE criticality WHEN 'critical' THEN 10 WHEN 'high' THEN 6 WHEN 'medium' THEN 3 ELSE 1 END, timestamp FROM ev JOIN assets ON name = host UNION ALL
-  SELECT 'user', "user", id, 'privilege', CASE privilege WHEN 'admin' THEN 10 WHEN 'elevated' THEN 5 ELSE 0 END, timestamp FROM ev JOIN meta USING ("user")) WHERE points > 0)"""
+  SELECT 'user', "user", id, 'privilege', CASE privilege WHEN 'admin' THEN 10 WHEN 'privileged' THEN 5 ELSE 0 END, timestamp FROM ev JOIN meta USING ("user")) WHERE points > 0)"""
 
 
 def _ledger(e, a_, m):
@@ -237,7 +237,7 @@ def _ledger(e, a_, m):
 
 
 full("R1_score_events", f"WITH {_LED} SELECT entity_type, entity_value, source_id, description, points FROM led")(lambda e, a_, m, n, x: _ledger(e, a_, m).select("entity_type", "entity_value", "source_id", "description", "points"))
-full("R2_finding_contributions", f"WITH {_FI} SELECT id AS source_id, t AS entity_type, v AS entity_value, 25.0::DOUBLE AS points FROM (SELECT id, 'user' AS t, \"user\" AS v FROM fi UNION SELECT id, 'host', host FROM fi UNION SELECT id, 'ip', source_ip FROM fi UNION SELECT id, 'ip', destination_ip FROM fi)")(lambda e, a_, m, n, x: r.finding_contributions(_findings(e)).select("source_id", "entity_type", "entity_value", "points"))
+full("R2_finding_contributions", f"WITH {_FI} SELECT id AS source_id, t AS entity_type, v AS entity_value, 35.0::DOUBLE AS points FROM (SELECT id, 'user' AS t, \"user\" AS v FROM fi UNION SELECT id, 'host', host FROM fi UNION SELECT id, 'ip', source_ip FROM fi UNION SELECT id, 'ip', destination_ip FROM fi)")(lambda e, a_, m, n, x: r.finding_contributions(_findings(e)).select("source_id", "entity_type", "entity_value", "points"))
 full("R3_entity_risk", f"WITH {_LED} SELECT entity_type, entity_value, sum(points) AS score, count(*) AS contributions, max(created_at) AS updated_at FROM led GROUP BY 1, 2")(lambda e, a_, m, n, x: r.entity_risk(_ledger(e, a_, m)))
 _OPEN = "op AS (SELECT 'host' AS entity_type, host AS entity_value, count(*) AS open_findings FROM fi GROUP BY 2 UNION ALL SELECT 'user', \"user\", count(*) FROM fi GROUP BY 2 UNION ALL SELECT 'ip', source_ip, count(*) FROM fi GROUP BY 2)"
 full("R4_top_risk", f"WITH {_LED}, {_FI}, {_OPEN} SELECT entity_type, entity_value, sum(points) AS score, count(*) AS contributions, max(created_at) AS updated_at, coalesce(max(open_findings), 0) AS open_findings FROM led LEFT JOIN op USING (entity_type, entity_value) WHERE entity_type = 'host' GROUP BY 1, 2 ORDER BY score DESC, entity_value LIMIT 10")(lambda e, a_, m, n, x: r.top_risk(_ledger(e, a_, m), _findings(e), "host", 10))
@@ -308,7 +308,7 @@ def _chain(e: DataFrame) -> DataFrame:
     """Host to next host, as inferred trust."""
     h = e.where("from_type = 'host'").select("from_value").distinct()
     nxt = F.concat(F.lit("h"), F.expr("cast(substring(from_value, 2) as int) + 1").cast("string"))
-    return h.select(F.lit("host").alias("from_type"), "from_value", F.lit("host").alias("to_type"), nxt.alias("to_value"), F.lit("trusts").alias("relation"), F.lit("inferred").alias("status")).join(h.select(F.col("from_value").alias("to_value")), "to_value", "left_semi").select("from_type", "from_value", "to_type", "to_value", "relation", "status")
+    return h.select(F.lit("host").alias("from_type"), "from_value", F.lit("host").alias("to_type"), nxt.alias("to_value"), F.lit("lateral_movement").alias("relation"), F.lit("inferred").alias("status")).join(h.select(F.col("from_value").alias("to_value")), "to_value", "left_semi").select("from_type", "from_value", "to_type", "to_value", "relation", "status")
 
 
 _PP = f"{_HH}, cc AS (SELECT DISTINCT hh.dst AS node FROM hh JOIN assets s ON s.entity_ref = hh.src JOIN assets d ON d.entity_ref = hh.dst WHERE (s.internet_exposed AND NOT d.internet_exposed) OR s.environment <> d.environment)"
@@ -348,8 +348,12 @@ graph("L6_degree", "SELECT type, value, count(*) AS degree FROM (SELECT from_typ
 
 # --- assets and threat models ----------------------------------------------------------------------------------------------
 q("M1_observe_assets", "SELECT host, coalesce(min(timestamp) FILTER (source = 'view'), min(timestamp)) AS first_seen, max(timestamp) AS last_seen, 'draft' AS status FROM ev GROUP BY 1")(lambda e: a.observe_assets(e.where("source != 'view'"), a.observe_assets(e.where("source = 'view'"))))
-full("M2_suggest_criticality", "SELECT n AS name, CASE WHEN contains(n, 'vault') THEN 'critical' WHEN contains(n, 'db') THEN 'high' WHEN contains(n, 'web') THEN 'medium' ELSE 'low' END AS criticality FROM (SELECT name || ['-vault', '-db', '-web', '-lab'][k % 4 + 1] AS n FROM assets)")(
-    lambda e, a_, m, n, x: a_.select(F.concat("name", F.element_at(F.array(*map(F.lit, ("-vault", "-db", "-web", "-lab"))), (F.col("k") % 4 + 1).cast("int"))).alias("name")).select("name", a.suggest_criticality(F.col("name")).alias("criticality")))
+_NAMES = ("-payment", "-db-1", "-gateway", "-staging", "-web", "-sqltest", "-x")
+_NAMED = f"(SELECT name || {list(_NAMES)}[k % {len(_NAMES)} + 1] AS name, CASE k % 3 WHEN 0 THEN 'server' WHEN 1 THEN 'host' ELSE 'identity_provider' END AS kind FROM assets)"
+full("M2_suggest_criticality", f"SELECT name, kind, CASE WHEN kind = 'identity_provider' OR contains(name, 'payment') THEN 'critical' WHEN contains(name, 'db-') OR contains(name, 'sql') OR contains(name, 'gateway') OR kind = 'server' THEN 'high' WHEN contains(name, 'staging') THEN 'low' ELSE 'medium' END AS criticality FROM {_NAMED}")(
+    lambda e, a_, m, n, x: a_.select(
+        F.concat("name", F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("k") % len(_NAMES) + 1).cast("int"))).alias("name"), F.when(F.col("k") % 3 == 0, "server").when(F.col("k") % 3 == 1, "host").otherwise("identity_provider").alias("kind")
+    ).select("name", "kind", a.suggest_criticality(F.col("name"), F.col("kind")).alias("criticality")))
 full("M4_merge_inventory", "SELECT entity_ref, CASE WHEN k % 2 = 0 THEN 'patched' ELSE criticality END AS version FROM assets")(lambda e, a_, m, n, x: a.merge_inventory(a_.select("entity_ref", F.col("criticality").alias("version")), a_.select("entity_ref", F.when(F.col("k") % 2 == 0, "patched").alias("version")), ["entity_ref"]))
 graph("M5_tm_nodes", f"WITH {_LK} SELECT entity_ref AS node, 'asset' AS kind, 'observed' AS basis FROM assets UNION ALL SELECT 'entry:' || entity_ref, 'entry_point', 'inferred' FROM assets WHERE internet_exposed UNION ALL SELECT DISTINCT 'zone:' || environment, 'boundary', 'assumed' FROM assets UNION ALL SELECT node, 'external', 'observed' FROM (SELECT src AS node FROM lk UNION SELECT dst FROM lk) WHERE node NOT IN (SELECT entity_ref FROM assets)")(lambda e, n, a_: a.tm_nodes(a_, e))
 _TE = f"{_LK}, te AS (SELECT 'entry:' || entity_ref AS src, entity_ref AS dst, 'exposes' AS relation FROM assets WHERE internet_exposed UNION SELECT entity_ref, 'zone:' || environment, 'resides_in' FROM assets UNION SELECT src, dst, relation FROM lk)"
@@ -360,13 +364,13 @@ graph("M9_tm_drift", "SELECT 'new_risk' AS change, 2 * count(*) AS n FROM assets
 
 
 def _classes(e):
-    c = F.when(F.col("source") == "view", "auditd").when(F.col("source") == "click", "sshd").when(F.col("source") == "error", "web.access").otherwise("journal")
-    return e.withColumn("source_class", c).where(~((F.col("host") == "h1") & (F.col("source_class") == "journal")))
+    c = F.when(F.col("source") == "view", "os.linux.auditd").when(F.col("source") == "click", "os.linux.sshd").when(F.col("source") == "error", "web.access").otherwise("os.linux.journal")
+    return e.withColumn("source_class", c).where(~((F.col("host") == "h1") & (F.col("source_class") == "os.linux.journal")))
 
 
-q("A22_coverage_rows", f"WITH c AS (SELECT host, CASE source WHEN 'view' THEN 'auditd' WHEN 'click' THEN 'sshd' WHEN 'error' THEN 'web.access' ELSE 'journal' END AS source_class, timestamp FROM ev) SELECT host, source_class, max(timestamp) AS last_event, count(*) AS event_count_30d FROM c WHERE timestamp >= {_N} - INTERVAL 30 DAY AND NOT (host = 'h1' AND source_class = 'journal') GROUP BY 1, 2")(lambda e: a.coverage_rows(_classes(e), _now(e)))
-q("A21_coverage_pct", "SELECT DISTINCT host, CASE WHEN host = 'h1' THEN 45.0 ELSE 75.0 END::DOUBLE AS pct, CASE WHEN host = 'h1' THEN 'journal,net.flow' ELSE 'net.flow' END AS missing, 'web.access' AS unexpected FROM ev")(
-    lambda e: a.coverage_pct(a.coverage_rows(_classes(e), _now(e)), e.select("host", F.lit("linux_server").alias("kind")).distinct(), _now(e)).select("host", F.col("pct").cast("double").alias("pct"), F.array_join("missing", ",").alias("missing"), F.array_join("unexpected", ",").alias("unexpected")))
+q("A22_coverage_rows", f"WITH c AS (SELECT host, CASE source WHEN 'view' THEN 'os.linux.auditd' WHEN 'click' THEN 'os.linux.sshd' WHEN 'error' THEN 'web.access' ELSE 'os.linux.journal' END AS source_class, timestamp FROM ev) SELECT host, source_class, max(timestamp) AS last_event, count(*) AS event_count_30d FROM c WHERE timestamp >= {_N} - INTERVAL 30 DAY AND NOT (host = 'h1' AND source_class = 'os.linux.journal') GROUP BY 1, 2")(lambda e: a.coverage_rows(_classes(e), _now(e)))
+q("A21_coverage_pct", "SELECT DISTINCT host, CASE host WHEN 'h1' THEN 45.0 WHEN 'h2' THEN 0 WHEN 'h3' THEN 0 ELSE 60.0 END::DOUBLE AS pct, CASE host WHEN 'h1' THEN 'net.dns,net.flow,os.linux.journal,os.linux.sudo' WHEN 'h2' THEN 'net.flow,os.windows.defender,os.windows.dns,os.windows.powershell,os.windows.security,os.windows.sysmon' WHEN 'h3' THEN 'net.dns,net.firewall,net.flow,net.ids' ELSE 'net.dns,net.flow,os.linux.sudo' END AS missing, CASE WHEN host IN ('h2', 'h3') THEN 'os.linux.auditd,os.linux.journal,os.linux.sshd,web.access' ELSE 'web.access' END AS unexpected FROM ev")(
+    lambda e: a.coverage_pct(a.coverage_rows(_classes(e), _now(e)), e.select("host", a.platform(F.when(F.col("host") == "h3", "network").otherwise("host"), F.when(F.col("host") == "h2", "Windows Server").otherwise("")).alias("kind")).distinct(), _now(e)).select("host", F.col("pct").cast("double").alias("pct"), F.array_join("missing", ",").alias("missing"), F.array_join("unexpected", ",").alias("unexpected")))
 full("U1_enrich_chain", 'SELECT id, criticality, privilege FROM ev LEFT JOIN assets ON name = host LEFT JOIN meta USING ("user")')(lambda e, a_, m, n, x: a.enrich_chain(e, [lambda v: j.asset_enrich(v, a_), lambda v: j.identity_enrich(v, m)]).select("id", "criticality", "privilege"))
 
 # --- sources: lines made of the events, read back ---------------------------------------------------------------------------
@@ -387,7 +391,7 @@ def _otlp(e):
 _S3164 = lambda: F.concat(F.lit("<"), F.when(F.col("severity") == "err", 11).otherwise(14), F.lit(">"), F.date_format("timestamp", "MMM d HH:mm:ss"), F.lit(" "), F.col("host"), F.lit(" app["), F.col("event_id"), F.lit("]: "), F.col("message"))
 q("S5_syslog3164", "SELECT host, 'app' AS process, CASE severity WHEN 'err' THEN 'err' ELSE 'info' END AS severity, message, date_trunc('second', timestamp) AS timestamp, id AS pid FROM ev")(lambda e: ps.parse(e.select(_S3164().alias("value")), "syslog3164", year=2024).select("host", "process", "severity", "message", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), F.col("attributes")["pid"].alias("pid")))
 q("S6_syslog5424", "SELECT host, id AS pid, 'notice' AS severity, message, source AS kind FROM ev")(lambda e: ps.parse(e.select(F.concat(F.lit("<165>1 2024-01-01T00:00:00Z "), "host", F.lit(" app "), "id", F.lit(' ID47 [ex@1 kind="'), "source", F.lit('" q="a]b"] '), "message").alias("value")), "syslog5424").select("host", F.col("attributes")["pid"].alias("pid"), "severity", "message", F.col("attributes")["sd.ex@1.kind"].alias("kind")))
-q("S7_cef", "SELECT source_ip, destination_ip, \"user\", message, 'err' AS severity, source || ' | x' AS note FROM ev")(lambda e: ps.parse(e.select(F.concat(F.lit("CEF:0|V|P|1.0|100|"), "message", F.lit("|7|src="), "source_ip", F.lit(" dst="), "destination_ip", F.lit(" suser="), "user", F.lit(" note="), "source", F.lit(r" \| x")).alias("value")), "cef").select("source_ip", "destination_ip", "user", "message", "severity", F.col("attributes")["note"].alias("note")))
+q("S7_cef", "SELECT source_ip, destination_ip, \"user\", message, CASE WHEN event_id % 11 >= 8 THEN 'critical' WHEN event_id % 11 >= 6 THEN 'err' WHEN event_id % 11 >= 4 THEN 'warning' WHEN event_id % 11 >= 1 THEN 'notice' ELSE 'debug' END AS severity, source || ' | x' AS note FROM ev")(lambda e: ps.parse(e.select(F.concat(F.lit("CEF:0|V|P|1.0|100|"), "message", F.lit("|"), F.col("id").cast("long") % 11, F.lit("|src="), "source_ip", F.lit(" dst="), "destination_ip", F.lit(" suser="), "user", F.lit(" note="), "source", F.lit(r" \| x")).alias("value")), "cef").select("source_ip", "destination_ip", "user", "message", "severity", F.col("attributes")["note"].alias("note")))
 q("S8_leef", "SELECT host, \"user\", 'critical' AS severity, source || '!' AS note FROM ev")(lambda e: ps.parse(e.select(F.concat(F.lit("LEEF:2.0 eventid=1!hostname="), "host", F.lit("!username="), "user", F.lit("!severity=critical!note="), "source", F.lit(r"\!")).alias("value")), "leef").select("host", "user", "severity", F.col("attributes")["note"].alias("note")))
 q("S9_gelf", "SELECT host, message, source AS kind FROM ev")(lambda e: ps.parse(e.select(F.to_json(F.struct(F.lit("1.1").alias("version"), "host", F.col("message").alias("short_message"), F.col("source").alias("_kind"))).alias("value")), "gelf").select("host", "message", F.col("attributes")["kind"].alias("kind")))
 q("S10_auto", "SELECT CASE event_id % 3 WHEN 0 THEN 'syslog3164' WHEN 1 THEN 'cef' ELSE 'plain' END AS format, count(*) AS n FROM ev GROUP BY 1")(lambda e: ps.parse(e.select(F.when(F.col("event_id") % 3 == 0, _S3164()).when(F.col("event_id") % 3 == 1, F.concat(F.lit("CEF:0|V|P|1.0|100|x|7|src="), "source_ip")).otherwise(F.col("message")).alias("value")), "auto", year=2024).groupBy("format").agg(F.count(F.lit(1)).alias("n")))

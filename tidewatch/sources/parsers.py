@@ -125,7 +125,7 @@ def cef(x: Column) -> Column:
     def event(part: Column, m: Column) -> Column:
         h = [_unescaped(F.get(part, F.lit(i))) for i in range(7)]
         n = F.trim(h[6]).try_cast("int")
-        band = F.when(n.isNull(), normalize_severity(h[6])).when(n <= 1, "debug").when(n <= 2, "info").when(n <= 4, "notice").when(n <= 5, "warning").when(n <= 7, "err").otherwise("critical")
+        band = F.when(n.isNull(), normalize_severity(h[6])).when(n < 1, "debug").when(n < 4, "notice").when(n < 6, "warning").when(n < 8, "err").otherwise("critical")
         promoted = ("rt", "src", "dst", "spt", "dpt", "suser", "dvchost", "dhost")
         attributes = F.map_concat(F.map_filter(m, lambda k, _: ~k.isin(*promoted, "device_vendor", "device_product", "device_version", "signature_id")), _strings(device_vendor=h[1], device_product=h[2], device_version=h[3], signature_id=h[4]))
         rt = _of(m, "rt")
