@@ -288,6 +288,18 @@ def test_html():
     assert [html_extract.main_text(x) for x in (None, "", "<p", "<div>" * 5000)] == ["", "", "<p", ""]
 
 
+def test_broken_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<a " * 20000, "<!" * 30000, '<a "' * 20001, "<p>" * 20000 + "x", "<div><" * 10000):
+        html_extract.main_text(page)
+    text = "é token=abcdef12 secret Zq8x+T1vKpL0mWc7RjY2h " * 8000
+    base = secrets.base_spans(text)
+    assert len(base) == 8000 and all(text[a:b].startswith("Zq8x") for a, _, b in secrets.novel_spans(text, base, secrets.Novelty()))
+    assert time.perf_counter() - began < 20
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "z"), (None, None, None, None), (2, "u", "", "z")], "page_id long, url string, html string, text string")
     rows = {r.page_id: r for r in html_extract.digest(df).collect()}

@@ -32,7 +32,8 @@ _BOILERPLATE = re.compile(
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.DOTALL)
+# Possessive, and ending at the next "<" outside quotes: an unclosed tag is text, and costs no second look at the rest of the page.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
@@ -135,11 +136,7 @@ def _measure(root: Node) -> list[Node]:
 def main_node(root: Node) -> tuple[Node, float]:
     """The subtree with the largest density sum, and the threshold along its path to the body."""
     order = _measure(root)
-    marked = [x for x in order if x.tag in ("article", "main") and x.chars]
     best = max(order, key=lambda x: x.sum)
-    if marked:
-        # The page says where its article is: the densest such element, whatever its paragraphs are like.
-        best = max(marked, key=lambda x: (x.chars - x.link_chars, x.tag == "article"))
     threshold, up = best.density, best.parent
     while up is not None:
         threshold = min(threshold, up.density)
@@ -167,7 +164,7 @@ def main_text(page: str | None) -> str:
             blocks.append([])
         elif isinstance(x, str):
             blocks[-1].append(x)
-        elif x.dropped or _linked(x) and x is not best or x is not best and x.parent is best and x.density < threshold * 0.1 and x.link_chars > 0.5 * x.chars:
+        elif x.dropped or _linked(x) and x is not best or x is not best and x.parent is best and x.density < threshold and x.link_chars > 0.5 * x.chars:
             if x.tag in BLOCKS:
                 blocks.append([])
         else:

@@ -75,8 +75,8 @@ def features(texts: list[bytes], bits: int = linear.BITS) -> tuple[np.ndarray, n
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, shards: int = SHARDS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights learned from at most ``max_labelled`` rows of ``labels`` (id, 0 or 1).
 
-    Rows without an id or a label are left out and repeated ones count once.  The ids chosen are a set of proven size, so they
-    go to every task and the texts are never shuffled; each shard's model is trained in a task of its own and only the
+    Rows without an id or a label are left out and repeated ones count once; of documents that share an id the smallest text counts.  The ids chosen are a set of proven size, so they
+    go to every task and only their texts are shuffled; each shard's model is trained in a task of its own and only the
     weight vectors, a fixed size each, reach the driver.  Without labelled texts all weights are zero and every score is 0.5.
     """
     chosen = (
@@ -86,6 +86,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         .orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     )
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text"))  # of rows that share an id, one
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")

@@ -79,13 +79,22 @@ class Novelty:
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Incompressible strings in a sensitive context that do not overlap a span in ``taken``."""
     out = []
+    covered: list[list[int]] = []  # what the spans cover, without overlaps
+    for x, _, y in sorted(taken):
+        if covered and x < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], y)
+        else:
+            covered.append([x, y])
+    at = 0
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
         name = _NAME.match(text, a, b)
         if name and b - name.end() >= 16:
             a = name.end()
         s = text[a:b]
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or any(x < b and a < y for x, _, y in taken):
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        if at < len(covered) and covered[at][0] < b or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
             continue
         if not _CONTEXT.search(text, max(0, a - SENSITIVE), a) or _entropy(s) < ENTROPY:
             continue

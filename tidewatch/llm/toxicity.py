@@ -130,13 +130,14 @@ def fit(documents: DataFrame, labels: DataFrame, categories: dict[str, str], id_
     """A chain over ``categories`` (name -> SQL for its 0/1 label over ``labels``), in their order.
 
     At most ``max_labelled`` labelled rows (smallest hash of the id) are learned from; rows without an id or with a null label
-    are left out, repeated ids count once.  Each fold's model and the full one are trained in tasks of their own, and only weight
+    are left out, repeated ids count once, with the smallest text.  Each fold's model and the full one are trained in tasks of their own, and only weight
     vectors of a fixed size reach the driver.  Without labelled texts every probability is 0.5.
     """
     names, size = list(categories), 1 << bits
     ys = [F.max(F.expr(e).cast("int")).alias(f"y{k}") for k, e in enumerate(categories.values())]
     chosen = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*ys).dropna().orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", *[f"y{k}" for k in range(len(names))]).agg(F.min("text").alias("text"))  # of rows that share an id, one
     rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(folds)))
     spark = documents.sparkSession
     full: list[np.ndarray] = []
