@@ -150,10 +150,12 @@ class Network:
     def log_p(self, hs: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """log p of each token given the state before it (the tail's words up to their own count)."""
         v = self.v
-        logits = hs @ self.p["wc"] + self.p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
+        logits = hs @ self.p["wc"]
+        logits += self.p["bc"]
+        np.minimum(logits, 60, out=logits)  # as in training
         cls = v.cls[tokens]
-        out = logits[np.arange(len(tokens)), cls] - np.log(np.exp(logits).sum(axis=1)) + v.inside[tokens]
+        out = logits[np.arange(len(tokens)), cls] + v.inside[tokens]
+        out -= np.log(np.exp(logits, out=logits).sum(axis=1))
         for a, k in self._by_class(cls):
             i, j = v.first[k], v.first[k + 1]
             g = hs[a] @ self.p["ww"][i:j].T + self.p["bw"][i:j]
