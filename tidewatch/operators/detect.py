@@ -267,42 +267,53 @@ def has(*words: str) -> Column:
     return reduce(and_, [F.array_contains(t, w) for w in words])
 
 
-def _failed() -> Column:
-    return (F.col("event_type") == "authentication") & (F.col("outcome") == "failure")
+def hunts(df: DataFrame) -> dict[str, tuple[Column, list[str], int, str, str, str | None]]:
+    """name -> (test, keys, least count, window, severity, techniques).  Fields that are no columns are read from the attributes."""
 
+    def eq(name, *values):
+        return F.coalesce(field(df, name).isin(*values), F.lit(False))
 
-def _text(*parts: str) -> Column:
-    x = F.lower(F.concat_ws(" ", "message", "attributes"))
-    return reduce(or_, [x.contains(p) for p in parts])
+    def text(*patterns, name="message"):
+        return F.coalesce(reduce(or_, [field(df, name).ilike(x) for x in patterns]), F.lit(False))
 
+    def source(*types):
+        return eq("source_type", *types)
 
-#: name -> (test, keys, least count, severity, technique).  Windows are tumbling hours.
-def hunts() -> dict[str, tuple[Column, list[str], int, str, str]]:
+    failed, written = eq("outcome", "failure"), eq("action", "create", "modify")
+    not_found = F.coalesce(field(df, "status_code").try_cast("double") >= 404, F.lit(False))
+    # The catalog's source types, patterns, keys, counts, windows, severities and techniques.
     return {
-        "brute_force": (_failed(), ["user"], 5, "high", "T1110"),
-        "linux_ssh_brute_force": (_failed(), ["source_ip", "user"], 5, "high", "T1110.001"),
-        "ssh_burst": (F.col("event_type") == "authentication", ["source_ip"], 10, "medium", "T1021.004"),
-        "intrusion": (_failed(), ["host"], 10, "high", "T1078"),
-        "cron_persistence": (_text("crontab", "cron.d"), ["host"], 1, "medium", "T1053.003"),
-        "launch_agent_persistence": (_text("launchagents", "launchdaemons"), ["host"], 1, "medium", "T1543.001"),
-        "scheduled_task_persistence": (_text("schtasks", "scheduled task"), ["host"], 1, "medium", "T1053.005"),
-        "beaconing": (F.col("destination_ip").isNotNull(), ["host", "destination_ip"], 20, "medium", "T1071"),
-        "port_scanning": (F.col("destination_ip").isNotNull(), ["source_ip"], 15, "medium", "T1046"),
-        "web_exploitation": (_text("../", "union select", "<script", "/etc/passwd"), ["source_ip"], 1, "high", "T1190"),
-        "lsass_access": (_text("lsass"), ["host"], 1, "critical", "T1003.001"),
-        "rdp_lateral": (_text("3389", "rdp"), ["source_ip", "host"], 3, "medium", "T1021.001"),
-        "suspicious_powershell": (_text("powershell", "-enc", "frombase64string"), ["host", "user"], 1, "high", "T1059.001"),
+        "brute_force_login": (eq("event_type", "authentication") & failed, ["source_ip", "user"], 5, "5m", "high", "T1110"),
+        "intrusion_attempt": (eq("event_type", "intrusion_attempt"), [], 1, "1h", "critical", None),
+        "linux_cron_persistence": (source("os.linux.auditd") & text("/etc/cron%", name="file_path") & written, ["host", "user"], 1, "15m", "high", "T1053.003"),
+        "linux_ssh_brute_force": (source("os.linux.sshd") & failed, ["source_ip", "user"], 10, "10m", "medium", "T1110.001,T1021.004"),
+        "macos_launchagent_persistence": (source("os.darwin.unified") & text("%/Library/LaunchAgents%", name="file_path") & written, ["host", "user"], 1, "15m", "high", "T1543.001"),
+        "net_beaconing": (source("net.firewall.generic") & eq("outcome", "success"), ["host", "destination_ip"], 60, "1h", "high", "T1071"),
+        "net_port_scanning": (source("net.firewall.generic") & failed, ["source_ip"], 100, "10m", "medium", "T1595.001"),
+        "web_exploitation": (source("web.nginx.access") & text("%../%", "%union+select%", "%/etc/passwd%", "%%00%", "%<script%>", "%cmd.exe%"), ["source_ip", "host"], 1, "15m", "high", "T1190"),
+        "web_scanning": (source("web.nginx.access") & not_found, ["source_ip"], 50, "10m", "medium", "T1595"),
+        "win_lsass_access": (source("os.windows.sysmon") & text("%lsass.exe%", "%comsvcs.dll%") & text("%0x1010%"), ["host", "process"], 1, "15m", "critical", "T1003.001"),
+        "win_rdp_lateral_movement": (source("os.windows.security") & eq("event_type", "authentication") & text("%4624%") & text("%10%"), ["user", "source_ip"], 3, "1h", "high", "T1021.001"),
+        "win_scheduled_task_persistence": (source("os.windows.security") & eq("event_type", "admin") & text("%4698%", "%Task Scheduler%", "%schtasks%"), ["host", "user"], 1, "15m", "high", "T1053.005"),
+        "win_suspicious_powershell": (
+            source("os.windows.powershell") & eq("process", "powershell.exe") & text("%-enc%", "%-EncodedCommand%", "%-NonInteractive%", "%IEX%", "%FromBase64String%", "%DownloadString%"),
+            ["host", "user"], 1, "15m", "high", "T1059.001,T1105",
+        ),
     }
 
 
 def hunting_catalog(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(rule, severity, technique, window_start, group_key, n) of all hunts, in one scan and one aggregation."""
+    """(rule, severity, technique, window_start, group_key, n) of all hunts in tumbling windows, in one scan and one aggregation.
+
+    Techniques are joined by commas, null for a hunt without one; a hunt without keys has the one group 'global'.
+    """
     hits = []
-    for name, (test, keys, count, severity, technique) in hunts().items():
+    for name, (test, keys, count, window, severity, technique) in hunts(df).items():
         if names is None or name in names:
-            group = F.concat_ws("|", *[F.coalesce(F.col(k), F.lit("")) for k in keys])
-            hits.append(F.when(test, F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.lit(technique).alias("technique"), F.lit(count).alias("least"), group.alias("group_key"))))
-    each = df.select(bucket_start("timestamp", 3600).alias("window_start"), F.explode(F.array_compact(F.array(*hits))).alias("h")).select("window_start", "h.*")
+            group = F.concat_ws("|", *[F.coalesce(field(df, k), F.lit("")) for k in keys]) if keys else F.lit("global")
+            start = bucket_start("timestamp", span_seconds(window))
+            hits.append(F.when(test, F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.lit(technique).cast("string").alias("technique"), F.lit(count).alias("least"), start.alias("window_start"), group.alias("group_key"))))
+    each = df.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).select("h.*")
     return each.groupBy("rule", "severity", "technique", "least", "window_start", "group_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("least")).drop("least")
 
 

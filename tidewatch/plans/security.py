@@ -148,10 +148,45 @@ RULES = [
     {"id": "r2", "level": "low", "tags": ["attack.discovery"], "detection": {"a": {"source|startswith": "pur"}, "b": {"host|endswith": "7"}, "c": {"severity": ["notice", "err"]}, "condition": "2 of them and not (b)"}},
 ]
 q("D12_sigma_rules", "SELECT id, 'r1' AS rule_id, 'high' AS severity, 'credential_access' AS tactic, 'T1110' AS technique FROM ev WHERE outcome = 'failure' AND (message LIKE '%user=u1%' OR message LIKE '%user=u2%') UNION ALL SELECT id, 'r2', 'low', 'discovery', NULL FROM ev WHERE (source LIKE 'pur%')::INT + (host LIKE '%7')::INT + (severity IN ('notice', 'err'))::INT >= 2 AND NOT host LIKE '%7'")(lambda e: d.sigma_rules(e, RULES))
-q("D13_hunting_catalog", f"""SELECT 'brute_force' AS rule, 'high' AS severity, 'T1110' AS technique, date_trunc('hour', timestamp) AS window_start, "user" AS group_key, count(*) AS n FROM ev WHERE {_F} GROUP BY ALL HAVING count(*) >= 5 UNION ALL
- SELECT 'linux_ssh_brute_force', 'high', 'T1110.001', date_trunc('hour', timestamp), source_ip || '|' || "user", count(*) FROM ev WHERE {_F} GROUP BY ALL HAVING count(*) >= 5 UNION ALL SELECT 'ssh_burst', 'medium', 'T1021.004', date_trunc('hour', timestamp), source_ip, count(*) FROM ev WHERE event_type = 'authentication' GROUP BY ALL HAVING count(*) >= 10 UNION ALL
- SELECT 'intrusion', 'high', 'T1078', date_trunc('hour', timestamp), host, count(*) FROM ev WHERE {_F} GROUP BY ALL HAVING count(*) >= 10 UNION ALL SELECT 'beaconing', 'medium', 'T1071', date_trunc('hour', timestamp), host || '|' || destination_ip, count(*) FROM ev GROUP BY ALL HAVING count(*) >= 20 UNION ALL
- SELECT 'port_scanning', 'medium', 'T1046', date_trunc('hour', timestamp), source_ip, count(*) FROM ev GROUP BY ALL HAVING count(*) >= 15 UNION ALL SELECT 'rdp_lateral', 'medium', 'T1021.001', date_trunc('hour', timestamp), source_ip || '|' || host, count(*) FROM ev WHERE contains(lower(message || ' ' || attributes), '3389') OR contains(lower(message || ' ' || attributes), 'rdp') GROUP BY ALL HAVING count(*) >= 3""")(d.hunting_catalog)
+# Events dressed as the sources that the hunts read, by expressions that Spark and DuckDB share; all of a month fall into one window.
+_DRESS = {
+    "timestamp": "CAST(date_trunc('month', timestamp) AS {ntz})",
+    "source_type": "CASE event_id % 9 WHEN 0 THEN 'os.linux.auditd' WHEN 1 THEN 'os.linux.sshd' WHEN 2 THEN 'os.darwin.unified' WHEN 3 THEN 'net.firewall.generic' WHEN 4 THEN 'web.nginx.access' "
+    "WHEN 5 THEN 'os.windows.sysmon' WHEN 6 THEN 'os.windows.security' WHEN 7 THEN 'os.windows.powershell' ELSE 'app' END",
+    "event_type": "CASE event_id % 7 WHEN 0 THEN 'authentication' WHEN 1 THEN 'authentication' WHEN 2 THEN 'admin' WHEN 3 THEN 'intrusion_attempt' ELSE 'network' END",
+    "user": "concat('u', event_id % 5)",
+    "source_ip": "CASE event_id % 11 WHEN 0 THEN '10.0.0.1' ELSE '10.0.0.2' END",
+    "destination_ip": "CASE event_id % 23 WHEN 0 THEN '10.9.0.1' ELSE '10.9.0.2' END",
+    "host": "CASE event_id % 13 WHEN 0 THEN 'h1' ELSE 'h2' END",
+    "process": "CASE event_id % 17 WHEN 0 THEN 'cmd.exe' ELSE 'powershell.exe' END",
+    "file_path": "CASE event_id % 4 WHEN 0 THEN '/etc/cron.d/job' WHEN 1 THEN '/home/a/Library/LaunchAgents/a.plist' ELSE '/var/etc/cron.d' END",
+    "action": "CASE event_id % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'modify' ELSE 'read' END",
+    "status_code": "CASE event_id % 8 WHEN 0 THEN '200' WHEN 1 THEN '403' WHEN 2 THEN 'none' ELSE '404' END",
+    "message": "CASE event_id % 10 WHEN 0 THEN 'GET /../x' WHEN 1 THEN 'LSASS.exe 0x1010' WHEN 2 THEN 'comsvcs.dll 0x1410' WHEN 3 THEN 'logon 4624 type 10' WHEN 4 THEN 'SCHTASKS created' WHEN 5 THEN 'run -enc AA' "
+    "WHEN 6 THEN 'GET /index' WHEN 7 THEN 'IEX x' WHEN 8 THEN 'GET <script src>' ELSE 'UNION+select' END",
+}
+_dressed = lambda e: e.withColumns({c: F.expr(x.format(ntz="timestamp_ntz")) for c, x in _DRESS.items()})
+_HUNTS = (
+    ("brute_force_login", "high", "'T1110'", "event_type = 'authentication' AND outcome = 'failure'", "source_ip || '|' || \"user\"", 5, "5 minutes"),
+    ("intrusion_attempt", "critical", "NULL", "event_type = 'intrusion_attempt'", "'global'", 1, "1 hour"),
+    ("linux_cron_persistence", "high", "'T1053.003'", "source_type = 'os.linux.auditd' AND file_path LIKE '/etc/cron%' AND action IN ('create', 'modify')", "host || '|' || \"user\"", 1, "15 minutes"),
+    ("linux_ssh_brute_force", "medium", "'T1110.001,T1021.004'", "source_type = 'os.linux.sshd' AND outcome = 'failure'", "source_ip || '|' || \"user\"", 10, "10 minutes"),
+    ("macos_launchagent_persistence", "high", "'T1543.001'", "source_type = 'os.darwin.unified' AND file_path LIKE '%/Library/LaunchAgents%' AND action IN ('create', 'modify')", "host || '|' || \"user\"", 1, "15 minutes"),
+    ("net_beaconing", "high", "'T1071'", "source_type = 'net.firewall.generic' AND outcome = 'success'", "host || '|' || destination_ip", 60, "1 hour"),
+    ("net_port_scanning", "medium", "'T1595.001'", "source_type = 'net.firewall.generic' AND outcome = 'failure'", "source_ip", 100, "10 minutes"),
+    ("web_exploitation", "high", "'T1190'", "source_type = 'web.nginx.access' AND (contains(message, '../') OR message ILIKE '%union+select%' OR contains(message, '00') OR message LIKE '%<script%>')", "source_ip || '|' || host", 1, "15 minutes"),
+    ("web_scanning", "medium", "'T1595'", "source_type = 'web.nginx.access' AND TRY_CAST(status_code AS DOUBLE) >= 404", "source_ip", 50, "10 minutes"),
+    ("win_lsass_access", "critical", "'T1003.001'", "source_type = 'os.windows.sysmon' AND message ILIKE '%lsass.exe%' AND contains(message, '0x1010')", "host || '|' || process", 1, "15 minutes"),
+    ("win_rdp_lateral_movement", "high", "'T1021.001'", "source_type = 'os.windows.security' AND event_type = 'authentication' AND contains(message, '4624') AND contains(message, '10')", "\"user\" || '|' || source_ip", 3, "1 hour"),
+    ("win_scheduled_task_persistence", "high", "'T1053.005'", "source_type = 'os.windows.security' AND event_type = 'admin' AND message ILIKE '%schtasks%'", "host || '|' || \"user\"", 1, "15 minutes"),
+    ("win_suspicious_powershell", "high", "'T1059.001,T1105'", "source_type = 'os.windows.powershell' AND process = 'powershell.exe' AND (contains(message, '-enc') OR contains(message, 'IEX'))", "host || '|' || \"user\"", 1, "15 minutes"),
+)
+_HUNT_SQL = " UNION ALL ".join(
+    f"SELECT '{r}' AS rule, '{sev}' AS severity, {t} AS technique, time_bucket(INTERVAL '{w}', timestamp, TIMESTAMP '1970-01-01') AS window_start, {key} AS group_key, count(*) AS n FROM hv WHERE {test} GROUP BY ALL HAVING count(*) >= {least}"
+    for r, sev, t, test, key, least, w in _HUNTS
+)
+_DRESS_SQL = ", ".join(f"{x.format(ntz='TIMESTAMP')} AS \"{c}\"" for c, x in _DRESS.items())
+q("D13_hunting_catalog", f", hv AS (SELECT {_DRESS_SQL}, outcome FROM ev) {_HUNT_SQL}")(lambda e: d.hunting_catalog(_dressed(e)))
 MAPPING = [
     {"id": "m1", "technique": "T1110", "tactic": "credential_access", "confidence": 0.8, "when": {"event_type": "authentication", "outcome": "failure"}},
     {"id": "m2", "technique": "T1110", "tactic": "credential_access", "confidence": 0.5, "when": {"contains": "error"}},
@@ -432,11 +467,17 @@ def stream(name: str, sql: str | None = None):
 
 
 _ntz = lambda df, *cs: df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cs})
-stream("T1_stream_sequence")(lambda x: st.stream_sequence(x, "user", _STEPS(), "2d", late="40 days").select("key", "start", "end", F.array_join("ids", ",").alias("ids")))
+# Windows and sessions that the watermark, ten minutes behind the newest event, has closed.
+_CLOSED = "(SELECT max(timestamp) - INTERVAL 10 MINUTE FROM ev)"
+stream("T1_stream_sequence", _SEQ)(lambda x: _ntz(st.stream_sequence(x, "user", _STEPS(), "2d", late="40 days").withColumn("ids", F.array_join("ids", ",")), "start", "end"))
 stream("T2_stream_correlation")(lambda x: st.stream_correlation(x, "user", _TESTS(), "24h", late="40 days"))
-stream("T3_stream_threshold")(lambda x: st.stream_threshold(x, _failed(), 3, "1d", ["host"]))
-stream("T4_stream_sessions")(lambda x: st.stream_sessions(x, "user", "6h"))
-stream("T5_stream_timechart")(lambda x: st.stream_timechart(x, "6h", ["source"]))
+stream("T3_stream_threshold", f"""SELECT * FROM (SELECT time_bucket(INTERVAL 1 DAY, timestamp, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL 1 DAY, timestamp, TIMESTAMP '1970-01-01') + INTERVAL 1 DAY AS window_end, host, count(*) AS n
+ FROM ev WHERE {_F} GROUP BY ALL HAVING count(*) >= 3) WHERE window_end <= {_CLOSED.replace("FROM ev", f"FROM ev WHERE {_F}")}""")(lambda x: _ntz(st.stream_threshold(x, _failed(), 3, "1d", ["host"]), "window_start", "window_end"))
+stream("T4_stream_sessions", f""", g AS (SELECT "user", timestamp, (timestamp > lag(timestamp) OVER w + INTERVAL 6 HOUR)::INT AS new FROM ev WINDOW w AS (PARTITION BY "user" ORDER BY timestamp)),
+ s AS (SELECT "user", timestamp, sum(coalesce(new, 0)) OVER (PARTITION BY "user" ORDER BY timestamp) AS session FROM g)
+ SELECT "user", min(timestamp) AS start, max(timestamp) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY "user", session HAVING max(timestamp) + INTERVAL 6 HOUR <= {_CLOSED}""")(lambda x: _ntz(st.stream_sessions(x, "user", "6h"), "start", "end"))
+stream("T5_stream_timechart", f"SELECT time_bucket(INTERVAL 6 HOUR, timestamp, TIMESTAMP '1970-01-01') AS _time, source, count(*) AS count FROM ev GROUP BY 1, 2 HAVING time_bucket(INTERVAL 6 HOUR, timestamp, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR <= {_CLOSED}")(
+    lambda x: _ntz(st.stream_timechart(x, "6h", ["source"]), "_time"))
 stream("T6_stream_attack_map", f"WITH {_MAP} SELECT id, technique, rule FROM mp")(lambda x: st.stream_enrich(x, lambda v: d.attack_map(v, MAPPING)).select("id", "technique", "rule"))
 stream("T8_stream_dedup", "SELECT id FROM ev")(lambda x: st.stream_dedup(x, "40 days").select("id"))
 stream("T10_stream_novelty", "SELECT \"user\" || '>' || destination_ip AS key, min(timestamp)::TIMESTAMP AS first_seen FROM ev GROUP BY 1")(lambda x: _ntz(st.stream_novelty(x, "user", "destination_ip").select("key", "first_seen"), "first_seen"))

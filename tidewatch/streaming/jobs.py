@@ -1,10 +1,12 @@
 """Structured Streaming forms of the detections: event time, watermarks and managed state.
 
-Streams carry ``timestamp`` as a timestamp.  A batch run with ``run_available`` gives the rows that the batch operators give.
+Streams carry ``timestamp`` as a timestamp.  A run with ``run_available`` gives the rows
+that the batch operators give, of windows and sessions those that the watermark has closed: later ones are still open when the input ends.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -60,8 +62,12 @@ def _time(us: int):
     return pd.Timestamp(us, unit="us")
 
 
-def stream_sequence(sdf: DataFrame, key: str, steps: list[tuple[str, Column]], window, max_gap=None, late="10 minutes", held: int = 20) -> DataFrame:
-    """(key, start, end, ids): chains of steps.  The last ``held`` step events of a key are kept and put in order of time anew with each batch."""
+def stream_sequence(sdf: DataFrame, key: str, steps: list[tuple[str, Column]], window, max_gap=None, late="10 minutes") -> DataFrame:
+    """(key, start, end, ids): chains of steps, emitted as soon as they are complete.
+
+    A key's state is the open chain up to the watermark and every step event after it: none of those is given up, and all are put in
+    order of time anew with each batch.
+    """
     w = span_seconds(window) * 1_000_000
     gap = span_seconds(max_gap) * 1_000_000 if max_gap else None
     step = F.lit(None).cast("int")
@@ -69,39 +75,52 @@ def stream_sequence(sdf: DataFrame, key: str, steps: list[tuple[str, Column]], w
         step = F.when(test, i).otherwise(step)
     n = len(steps)
 
+    def advance(chain, last, t, i, s):
+        if last is not None and t - last > w:
+            chain = []
+        if s == len(chain) and (not chain or gap is None or t - chain[-1][0] <= gap):
+            chain = [*chain, (t, i)]
+        return chain, t
+
     def run(key, pdfs, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        buffer = list(zip(*state.get, strict=True)) if state.exists else []
-        done = []
-        for row in _rows(pdfs, ["step"]):
-            buffer = sorted([*buffer, row])[-held:]
-            chain, last = [], None
-            for t, i, s in buffer:
-                if last is not None and t - last > w:
-                    chain = []
-                last = t
-                if s == len(chain) and (not chain or gap is None or t - chain[-1][0] <= gap):
-                    chain.append((t, i))
-                if len(chain) == n:
-                    done.append((key[0], _time(chain[0][0]), _time(chain[-1][0]), [x[1] for x in chain]))
-                    buffer = []
-                    break
-        if buffer:
-            state.update(tuple(list(x) for x in zip(*buffer, strict=True)))
-            state.setTimeoutTimestamp(max(buffer[-1][0] // 1000 + w // 1000, state.getCurrentWatermarkMs() + 1))
+        chain, last, held = [], None, []
+        if state.exists:
+            ct, ci, last, t, i, s = state.get
+            chain, held = list(zip(ct, ci, strict=True)), list(zip(t, i, s, strict=True))
+        done, mark = [], state.getCurrentWatermarkMs() * 1000
+        # Events before the watermark are settled: nothing can come before them any more.
+        rows, settled, open_chain, open_last = sorted([*held, *_rows(pdfs, ["step"])]), (chain, last), chain, last
+        kept = []
+        for row in rows:
+            open_chain, open_last = advance(open_chain, open_last, *row)
+            kept.append(row)
+            if len(open_chain) == n:
+                done.append((key[0], _time(open_chain[0][0]), _time(open_chain[-1][0]), [x[1] for x in open_chain]))
+                open_chain, kept, settled = [], [], ([], open_last)
+            elif row[0] < mark:
+                kept, settled = [], (open_chain, open_last)
+        newest = max([x for x in (settled[1], kept[-1][0] if kept else None) if x is not None], default=None)
+        if settled[0] or kept:
+            state.update(([x[0] for x in settled[0]], [x[1] for x in settled[0]], settled[1], *([x[c] for x in kept] for c in range(3))))
+            state.setTimeoutTimestamp(max(newest // 1000 + w // 1000, state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
         if done:
             yield pd.DataFrame(done, columns=["key", "start", "end", "ids"])
 
     rows = sdf.withColumn("step", step).where("step is not null")
-    return _stateful(rows, key, ["step"], run, "key string, start timestamp, end timestamp, ids array<string>", "t array<long>, id array<string>, step array<int>", late)
+    state = "chain_t array<long>, chain_id array<string>, last long, t array<long>, id array<string>, step array<int>"
+    return _stateful(rows, key, ["step"], run, "key string, start timestamp, end timestamp, ids array<string>", state, late)
+
 
+def stream_correlation(sdf: DataFrame, key: str, tests: dict[str, tuple[Column, int]], window, require: str = "all", min_match: int | None = None, late="10 minutes") -> DataFrame:
+    """(key, timestamp, id, matched): enough conditions within the trailing window; the key starts over after each.
 
-def stream_correlation(sdf: DataFrame, key: str, tests: dict[str, tuple[Column, int]], window, require: str = "all", min_match: int | None = None, late="10 minutes", held: int = 500) -> DataFrame:
-    """(key, timestamp, id, matched): enough conditions within the trailing window; the key starts over after each."""
+    A key's state is every event of the trailing window, however many.
+    """
     w = span_seconds(window) * 1_000_000
     names = list(tests)
     need = len(names) if require == "all" else (min_match or len(names) - 1)
@@ -114,17 +133,22 @@ def stream_correlation(sdf: DataFrame, key: str, tests: dict[str, tuple[Column,
         if state.hasTimedOut:
             state.remove()
             return
-        buffer = list(zip(*state.get, strict=True)) if state.exists else []
-        done = []
-        for t, i, b in _rows(pdfs, ["bits"]):
-            buffer = [x for x in sorted([*buffer, (t, b)]) if x[0] >= t - w][-held:]
-            matched = sum(sum(x[1] >> c & 1 for x in buffer) >= least[c] for c in range(len(names)))
-            if matched >= need:
+        held = [(t, "", b, False) for t, b in zip(*state.get, strict=True)] if state.exists else []
+        done, window_rows, counts = [], deque(), [0] * len(names)
+        for t, i, b, new in sorted([*held, *((*r, True) for r in _rows(pdfs, ["bits"]))]):
+            window_rows.append((t, b))
+            counts = [c + (b >> x & 1) for x, c in enumerate(counts)]
+            while window_rows[0][0] < t - w:
+                gone = window_rows.popleft()[1]
+                counts = [c - (gone >> x & 1) for x, c in enumerate(counts)]
+            matched = sum(c >= m for c, m in zip(counts, least, strict=True))
+            if new and matched >= need:
                 done.append((key[0], _time(t), i, matched))
-                buffer = []
-        if buffer:
-            state.update(tuple(list(x) for x in zip(*buffer, strict=True)))
-            state.setTimeoutTimestamp(max(buffer[-1][0] // 1000 + w // 1000, state.getCurrentWatermarkMs() + 1))
+                window_rows.clear()
+                counts = [0] * len(names)
+        if window_rows:
+            state.update(tuple(list(x) for x in zip(*window_rows, strict=True)))
+            state.setTimeoutTimestamp(max(window_rows[-1][0] // 1000 + w // 1000, state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
         if done:
