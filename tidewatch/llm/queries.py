@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extract, language_model, line_dedup, minhash, packing, quality, secrets, simhash, simhash_dedup, toxicity
+from . import conversations, decontamination, html_extract, language_model, line_dedup, minhash, packing, quality, secrets, simhash, simhash_dedup, spelling, toxicity
 from .oracle import ORACLE_SQL
 
 
@@ -52,6 +52,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.digest(decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(_read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(_read(spark, sf_dir, "conversations"))
+
+
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -60,7 +68,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_quality_classifier, op3_line_dedup, op4_secret_scan, op5_document_fingerprints, op6_html_extraction,
-        op7_language_model, op8_toxicity_chain, op9_best_fit_packing, op10_benchmark_decontamination, op13_simhash_near_dedup,
+        op7_language_model, op8_toxicity_chain, op9_best_fit_packing, op10_benchmark_decontamination, op11_spelling_variants, op12_conversation_repair, op13_simhash_near_dedup,
     )
 }
 
