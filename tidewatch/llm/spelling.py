@@ -72,8 +72,9 @@ def near_words(vocab: DataFrame, scratch: Scratch, symbols: int = SYMBOLS) -> Da
     words = scratch.save(vocab.withColumn("r", reduced(F.col("word"), symbols)).withColumn("key", F.xxhash64("r")))
     keys = scratch.save(words.groupBy("key").agg(F.min("r").alias("r")))
     # Two reduced words whose hashes meet are one key; both lists of words are then compared.
-    around = words.select("key", "r").distinct().select("key", F.explode(_neighbourhood("r", symbols)).alias("s")).select("key", F.xxhash64("s").alias("other_key")).distinct()
-    pairs = around.join(keys.select(F.col("key").alias("other_key")).hint("shuffle_hash"), "other_key")
+    around = words.select("key", "r").distinct().select("key", F.explode(_neighbourhood("r", symbols)).alias("s")).select("key", F.xxhash64("s").alias("other_key"))
+    # Most of a neighbourhood is no word at all; only what is one is told apart, should hashes have met.
+    pairs = around.join(keys.select(F.col("key").alias("other_key")).hint("shuffle_hash"), "other_key").distinct()
     left = scratch.save(pairs).join(words.select("key", "word", "n"), "key")
     both = left.join(words.select(F.col("key").alias("other_key"), F.col("word").alias("other"), F.col("n").alias("other_n")), "other_key")
     return both.where("word != other and levenshtein(word, other, 1) = 1").select("word", "n", "other", "other_n")
