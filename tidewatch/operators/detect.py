@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bucket_start, haversine_km, span_seconds
 from .filters import field, tokens
-from .stats import rolling_condition_counts
+from .ordered import previous, time_window
+from .sequences import pending_sequences, sequence_rule  # noqa: F401  part of this module's detections
 
 
 def micros(x="timestamp") -> Column:
@@ -45,47 +46,16 @@ def row_rule(result: DataFrame, threshold: float, measure: str, keys: list[str]
     return out
 
 
-def sequence_rule(df: DataFrame, key: str, steps: list[tuple[str, Column]], window, max_gap=None) -> DataFrame:
-    """(key, start, end, ids): completed chains of steps in order of time.
-
-    An event counts as the first step that it meets.  Quiet for longer than ``window`` starts over; an event further than
-    ``max_gap`` from the chain's last is passed by; a complete chain is emitted and the next begins.
-    """
-    w, gap = span_seconds(window) * 1_000_000, span_seconds(max_gap) * 1_000_000 if max_gap else None
-    step = reduce(lambda a, ik: a.when(ik[1][1], ik[0]), enumerate(steps), F)
-    e = df.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col(key).alias("key"), step.alias("step"), micros().alias("t"), "id").where("step is not null")
-    by_time = Window.partitionBy("key").orderBy("t", "id")
-    e = e.withColumn("new", (F.col("t") - F.lag("t").over(by_time) > w).cast("int")).withColumn("session", F.sum(F.coalesce("new", F.lit(0))).over(by_time))
-    folded = e.groupBy("key", "session").agg(F.array_sort(F.collect_list(F.struct("t", "id", "step"))).alias("x"))
-    n = len(steps)
-    near = f"and (acc.next = 0 or x.t - acc.last <= {gap})" if gap is not None else ""
-    fold = f"""aggregate(x, named_struct('next', 0, 'last', 0L, 'chain', cast(array() as array<struct<t:bigint,id:string>>), 'done', cast(array() as array<array<struct<t:bigint,id:string>>>)),
-      (acc, x) -> if(x.step = acc.next {near},
-        if(acc.next = {n - 1}, named_struct('next', 0, 'last', x.t, 'chain', cast(array() as array<struct<t:bigint,id:string>>), 'done', array_append(acc.done, array_append(acc.chain, named_struct('t', x.t, 'id', x.id)))),
-           named_struct('next', acc.next + 1, 'last', x.t, 'chain', array_append(acc.chain, named_struct('t', x.t, 'id', x.id)), 'done', acc.done)), acc))"""
-    out = folded.select("key", F.explode(F.expr(fold)["done"]).alias("c"))
-    return out.select("key", F.timestamp_micros(F.col("c")[0]["t"]).cast("timestamp_ntz").alias("start"), F.timestamp_micros(F.element_at("c", -1)["t"]).cast("timestamp_ntz").alias("end"), F.transform("c", lambda v: v["id"]).alias("ids"))
-
-
-def pending_sequences(df: DataFrame, key: str, steps: list[tuple[str, Column]], window, now) -> DataFrame:
-    """Keys that met the first step within the window before ``now`` and not yet the last one after it."""
-    lo = now - F.expr(f"interval {span_seconds(window)} seconds")
-    recent = df.where(F.col(key).isNotNull() & (F.col("timestamp") >= lo))
-    at = [F.max(F.when(t, F.col("timestamp"))).alias(f"s{i}") for i, (_, t) in enumerate(steps)]
-    out = recent.groupBy(F.col(key).alias("key")).agg(*at)
-    last = f"s{len(steps) - 1}"
-    return out.where(F.col("s0").isNotNull() & (F.col(last).isNull() | (F.col(last) < F.col("s0")))).select("key", F.col("s0").alias("since"))
-
-
 def correlation_rule(df: DataFrame, key: str, tests: dict[str, tuple[Column, int]], window, require: str = "all", min_match: int | None = None, base: float = 0.7) -> DataFrame:
     """(key, timestamp, id, matched, confidence): where enough conditions hold over the trailing window, once per episode."""
     names = list(tests)
     need = len(names) if require == "all" else (min_match or len(names) - 1)
-    e = rolling_condition_counts(df.where(F.col(key).isNotNull()), key, {f"n_{k}": t for k, (t, _) in tests.items()}, window)
+    length = span_seconds(window) * 1_000_000
+    counts = {f"n_{k}": F.sum(F.when(t, 1).otherwise(0)) for k, (t, _) in tests.items()}
+    e = time_window(df.where(F.col(key).isNotNull()), [key], micros(), length, counts)
     matched = reduce(lambda a, b: a + b, [(F.col(f"n_{k}") >= tests[k][1]).cast("int") for k in names])
-    e = e.withColumn("matched", matched).withColumn("on", F.col("matched") >= need)
-    w = Window.partitionBy(key).orderBy("timestamp", "id")
-    e = e.withColumn("before", F.coalesce(F.lag("on").over(w), F.lit(False)))
+    e = e.select(key, "timestamp", "id", "__block", matched.alias("matched")).withColumn("on", F.col("matched") >= need)
+    e = previous(e, [key], ["timestamp", "id"], "on", "before").withColumn("before", F.coalesce("before", F.lit(False)))
     confidence = F.least(F.lit(0.95), F.lit(base) + 0.05 * (F.col("matched") - need))
     return e.where("on and not before").select(F.col(key).alias("key"), "timestamp", "id", "matched", F.round(confidence, 4).alias("confidence"))
 

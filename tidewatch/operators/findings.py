@@ -65,6 +65,29 @@ def findings_upsert(prev: DataFrame, new: DataFrame) -> DataFrame:
     return j.select(*out)
 
 
+def merged_findings(findings: DataFrame) -> DataFrame:
+    """One finding per dedup key of several detections at once, combined as ``findings_upsert`` combines them, the earliest first."""
+    order = F.struct("first_seen", "last_seen", "match_count", "id")
+    lists = {"event_ids": 200, "entities": 50, "tags": 50}
+    out = []
+    for c in COLUMNS:
+        x = F.col(c)
+        if c == "dedup_key":
+            continue
+        if c in lists:
+            v = F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), x.alias("x")))), lambda p: p["x"]))), 1, lists[c])
+        elif c == "match_count":
+            v = F.sum(x)
+        elif c in ("risk_score", "last_seen"):
+            v = F.max(x)
+        elif c == "first_seen":
+            v = F.min(x)
+        else:
+            v = F.min_by(x, F.when(F.nullif(x, F.lit("")).isNotNull(), order))
+        out.append(v.alias(c))
+    return findings.groupBy("dedup_key").agg(*out).select(*COLUMNS)
+
+
 def primary_entities(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first non-empty user, host and addresses of each group, in order."""
     firsts = [F.min_by(x, F.when(F.nullif(F.col(x), F.lit("")).isNotNull(), F.struct(*order))).alias(x) for x in ("user", "host", "source_ip", "destination_ip") if x not in key]

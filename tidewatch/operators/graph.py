@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..scratch import saved
 
 # Relations that give access, and the write path's names for them.
 ACCESS = ("authenticates", "auth", "login", "logon", "exec", "execs", "executes", "runs", "accesses", "reads", "writes", "transfers", "lateral_movement", "connects_to", "connects")
@@ -18,11 +16,8 @@ CRITICALITY_FACTOR = {"critical": 1.0, "high": 0.7, "medium": 0.4, "low": 0.2}
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: one per level keeps lineage short."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix=f"graph-{uuid.uuid4().hex[:6]}-"))
-    return df.checkpoint()
+    """A written table in the shared folder: one per level keeps lineage short."""
+    return saved(df, "graph")
 
 
 def entities_from_events(events: DataFrame) -> DataFrame:

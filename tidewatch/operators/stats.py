@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bucket_start, soc_severity, span_seconds
+from . import ordered
 from .filters import field
 
 
@@ -59,14 +60,41 @@ def eventstats(df: DataFrame, aggs, by: list[str] = ()) -> DataFrame:
 
 
 def streamstats(df: DataFrame, aggs, by: list[str], order: list[str], window: int = 0) -> DataFrame:
-    """Running aggregates in row order; with ``window`` over the last so many rows."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(window - 1) if window else Window.unboundedPreceding, 0)
+    """Running aggregates in row order; with ``window`` over the last so many rows.
+
+    Without keys the rows are dealt out in ranges of the order, and ranges are carried on by their aggregates; only dc, values and list,
+    which cannot be merged, then put all rows in order in one task.
+    """
+    named = []
     for a in aggs:
         fn, name, alias = ((a,) if isinstance(a, str) else tuple(a)) + (None,) * (3 - (1 if isinstance(a, str) else len(a)))
-        df = df.withColumn(alias or (fn if not name else f"{fn}_{name}"), aggregate(df, fn, name or "*").over(w))
+        named.append((fn, name or "*", alias or (fn if not name else f"{fn}_{name}")))
+    if not by and all(fn in (*ordered.MERGED, "avg", "mean") for fn, *_ in named):
+        return _in_ranges(df, named, order, window)
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(window - 1) if window else Window.unboundedPreceding, 0)
+    for fn, name, alias in named:
+        df = df.withColumn(alias, aggregate(df, fn, name).over(w))
     return df
 
 
+def _in_ranges(df: DataFrame, named: list[tuple[str, str, str]], order: list[str], window: int) -> DataFrame:
+    """``streamstats`` without keys; an average is a sum and a count."""
+    parts, out = {}, {}
+    for fn, name, alias in named:
+        x = F.lit(1) if name == "*" else field(df, name)
+        if fn in ("sum", "avg", "mean"):
+            x = x.try_cast("double") if dict(df.dtypes).get(name, "string") == "string" else x
+        if fn in ("avg", "mean"):
+            parts |= {f"{alias}__sum": ("sum", x), f"{alias}__count": ("count", x)}
+            out[alias] = F.col(f"{alias}__sum") / F.nullif(F.col(f"{alias}__count"), F.lit(0))
+        else:
+            parts[alias] = (fn, x)
+            out[alias] = F.col(alias)
+    placed = ordered.positioned(df, order)
+    done = ordered.last_rows(placed, parts, window) if window else ordered.running(placed, parts)
+    return done.select(*df.columns, *[c.alias(a) for a, c in out.items()])
+
+
 def dedup(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key: a min-aggregation, so that a hot key never meets in one sort."""
     names = df.columns
@@ -83,10 +111,13 @@ def top_n_per_key(df: DataFrame, keys: list[str], order: list, n: int) -> DataFr
 
 
 def rolling_condition_counts(df: DataFrame, key: str, tests: dict[str, Column], window) -> DataFrame:
-    """For each event, how many events of the key in the time window behind it (itself included) meet each test."""
-    seconds = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(seconds).rangeBetween(-span_seconds(window) * 1_000_000, 0)
-    return df.withColumns({name: F.sum(F.when(t, 1).otherwise(0)).over(w) for name, t in tests.items()})
+    """For each event, how many events of the key in the time window behind it (itself included) meet each test.
+
+    A key's time is cut into blocks with a halo of one window, so that a hot key is spread over tasks (``ordered.time_window``).
+    """
+    counts = {name: F.sum(F.when(t, 1).otherwise(0)) for name, t in tests.items()}
+    out = ordered.time_window(df, [key], F.unix_micros(F.col("timestamp").cast("timestamp")), span_seconds(window) * 1_000_000, counts)
+    return out.drop("__block", "__t")
 
 
 def sort_(df: DataFrame, *keys: str) -> DataFrame:

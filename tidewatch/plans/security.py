@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +15,9 @@ from ..operators import intel as i
 from ..operators import joins as j
 from ..operators import risk as r
 from ..operators import stats as s
+from ..scratch import new_folder
 from ..sources import events as src
 from ..sources import parsers as ps
-from ..streaming import jobs as st
 from . import canonical as k
 from .registry import events_query as q
 from .registry import query
@@ -437,61 +435,8 @@ q("S18_event_to_map", "SELECT id, host, json_extract_string(attributes, '$.k') A
 q("S19_source_class", "SELECT id, 'generic' AS source_class FROM ev")(lambda e: e.select("id", src.source_class(e).alias("source_class")))
 
 
-# --- streams: all that is there, as one availableNow run --------------------------------------------------------------------
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("S16_write_events", "SELECT id, host FROM ev")
 def _write(spark, sf):
-    path = _folder(spark) + "/events"
+    path = new_folder(spark, "events")
     src.write_events(k.events(spark, sf), path)
     return spark.read.parquet(path).select("id", "host")
-
-
-def stream(name: str, sql: str | None = None):
-    def add(f):
-        def run(spark, sf):
-            e = k.events(spark, sf)
-            folder = _folder(spark)
-            # A folder of canonical events, as a landing zone would hold them.
-            e.withColumn("timestamp", F.col("timestamp").cast("timestamp")).write.parquet(folder + "/in")
-            sdf = spark.readStream.schema(spark.read.parquet(folder + "/in").schema).parquet(folder + "/in")
-            return st.run_available(f(sdf), folder + "/out", folder + "/checkpoint")
-
-        query(name, sql)(run)
-        return f
-
-    return add
-
-
-_ntz = lambda df, *cs: df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cs})
-# Windows and sessions that the watermark, ten minutes behind the newest event, has closed.
-_CLOSED = "(SELECT max(timestamp) - INTERVAL 10 MINUTE FROM ev)"
-stream("T1_stream_sequence", _SEQ)(lambda x: _ntz(st.stream_sequence(x, "user", _STEPS(), "2d", late="40 days").withColumn("ids", F.array_join("ids", ",")), "start", "end"))
-stream("T2_stream_correlation")(lambda x: st.stream_correlation(x, "user", _TESTS(), "24h", late="40 days"))
-stream("T3_stream_threshold", f"""SELECT * FROM (SELECT time_bucket(INTERVAL 1 DAY, timestamp, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL 1 DAY, timestamp, TIMESTAMP '1970-01-01') + INTERVAL 1 DAY AS window_end, host, count(*) AS n
- FROM ev WHERE {_F} GROUP BY ALL HAVING count(*) >= 3) WHERE window_end <= {_CLOSED.replace("FROM ev", f"FROM ev WHERE {_F}")}""")(lambda x: _ntz(st.stream_threshold(x, _failed(), 3, "1d", ["host"]), "window_start", "window_end"))
-stream("T4_stream_sessions", f""", g AS (SELECT "user", timestamp, (timestamp > lag(timestamp) OVER w + INTERVAL 6 HOUR)::INT AS new FROM ev WINDOW w AS (PARTITION BY "user" ORDER BY timestamp)),
- s AS (SELECT "user", timestamp, sum(coalesce(new, 0)) OVER (PARTITION BY "user" ORDER BY timestamp) AS session FROM g)
- SELECT "user", min(timestamp) AS start, max(timestamp) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY "user", session HAVING max(timestamp) + INTERVAL 6 HOUR <= {_CLOSED}""")(lambda x: _ntz(st.stream_sessions(x, "user", "6h"), "start", "end"))
-stream("T5_stream_timechart", f"SELECT time_bucket(INTERVAL 6 HOUR, timestamp, TIMESTAMP '1970-01-01') AS _time, source, count(*) AS count FROM ev GROUP BY 1, 2 HAVING time_bucket(INTERVAL 6 HOUR, timestamp, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR <= {_CLOSED}")(
-    lambda x: _ntz(st.stream_timechart(x, "6h", ["source"]), "_time"))
-stream("T6_stream_attack_map", f"WITH {_MAP} SELECT id, technique, rule FROM mp")(lambda x: st.stream_enrich(x, lambda v: d.attack_map(v, MAPPING)).select("id", "technique", "rule"))
-stream("T8_stream_dedup", "SELECT id FROM ev")(lambda x: st.stream_dedup(x, "40 days").select("id"))
-stream("T10_stream_novelty", "SELECT \"user\" || '>' || destination_ip AS key, min(timestamp)::TIMESTAMP AS first_seen FROM ev GROUP BY 1")(lambda x: _ntz(st.stream_novelty(x, "user", "destination_ip").select("key", "first_seen"), "first_seen"))
-
-
-@query("T7_stream_findings", f"WITH d AS (SELECT host AS group_key, count(*) AS n FROM ev WHERE {_F} GROUP BY 1) SELECT 'hostfail|' || group_key AS dedup_key, n AS match_count FROM d")
-def _stream_findings(spark, sf):
-    folder = _folder(spark)
-    groups = k.events(spark, sf).where(_failed()).select("host", "timestamp").groupBy(F.col("host").alias("group_key")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
-    groups.write.parquet(folder + "/in")
-    sdf = spark.readStream.schema(groups.schema).parquet(folder + "/in")
-    st.stream_findings(sdf, folder + "/findings", "hostfail", "Failures", "medium", folder + "/checkpoint").awaitTermination()
-    return spark.read.parquet(folder + "/findings/v0").select("dedup_key", "match_count")
-
-
-q("T9_late_events", "WITH r AS (SELECT *, timestamp + INTERVAL 1 HOUR * (event_id % 3) AS received_at FROM ev), b AS (SELECT received_at, max(timestamp) AS m FROM r GROUP BY 1), w AS (SELECT received_at, max(m) OVER (ORDER BY received_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM b) SELECT id FROM r JOIN w USING (received_at) WHERE timestamp < mark - INTERVAL 30 MINUTE")(
-    lambda e: st.late_events(e.withColumn("received_at", F.col("timestamp") + F.make_dt_interval(hours=(F.col("event_id") % 3).cast("int"))), "30 minutes").select("id"))

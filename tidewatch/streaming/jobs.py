@@ -6,16 +6,16 @@ that the batch operators give, of windows and sessions those that the watermark
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.exprs import span_seconds
 from ..operators import findings as fd
+from ..operators.ordered import positioned, running
+from ..scratch import exists, removed
+from .keyed import stream_correlation, stream_novelty, stream_sequence, with_timers  # noqa: F401  streams of this module too
 
 
 def stream_threshold(sdf: DataFrame, test: Column, count: int, window, by: list[str], slide=None, late="10 minutes") -> DataFrame:
@@ -46,140 +46,54 @@ def stream_enrich(sdf: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> D
     return sdf
 
 
-def _stateful(sdf: DataFrame, key: str, columns: list[str], run, out: str, state: str, late: str) -> DataFrame:
-    rows = sdf.where(F.col(key).isNotNull() & (F.col(key) != "")).select(F.col(key).alias("key"), "timestamp", "id", *columns).withWatermark("timestamp", late)
-    return rows.groupBy("key").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+#: Buckets of finding snapshots: a batch rewrites only those that its findings fall into.
+FINDING_BUCKETS = 16
 
 
-def _rows(pdfs: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
-    got = []
-    for p in pdfs:
-        got += list(zip(p["timestamp"].astype("datetime64[us]").astype("int64"), p["id"], *[p[c] for c in columns], strict=True))
-    return sorted(got)
+def _manifest(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """bucket -> the batch that wrote its current version, after batch ``number``; nothing before the first."""
+    if number < 0:
+        return {}
+    return {r.bucket: r.version for r in spark.read.schema("bucket int, version long").parquet(f"{path}/manifest/{number}").collect()}
 
 
-def _time(us: int):
-    return pd.Timestamp(us, unit="us")
+def upsert_findings(batch: DataFrame, number: int, path: str, rule_id: str, name: str, severity: str, buckets: int = FINDING_BUCKETS) -> None:
+    """Merges a batch of detection groups into the finding snapshots under ``path``.
 
-
-def stream_sequence(sdf: DataFrame, key: str, steps: list[tuple[str, Column]], window, max_gap=None, late="10 minutes") -> DataFrame:
-    """(key, start, end, ids): chains of steps, emitted as soon as they are complete.
-
-    A key's state is the open chain up to the watermark and every step event after it: none of those is given up, and all are put in
-    order of time anew with each batch.
+    Findings lie in buckets of their dedup key.  A batch reads and rewrites the buckets that it touches, as a version of its own, and then
+    writes the manifest that names each bucket's version.  It starts from the manifest of the batch before it, so that a batch that is
+    played again gives the same; versions that neither manifest names are deleted.
     """
-    w = span_seconds(window) * 1_000_000
-    gap = span_seconds(max_gap) * 1_000_000 if max_gap else None
-    step = F.lit(None).cast("int")
-    for i, (_, test) in reversed(list(enumerate(steps))):
-        step = F.when(test, i).otherwise(step)
-    n = len(steps)
-
-    def advance(chain, last, t, i, s):
-        if last is not None and t - last > w:
-            chain = []
-        if s == len(chain) and (not chain or gap is None or t - chain[-1][0] <= gap):
-            chain = [*chain, (t, i)]
-        return chain, t
-
-    def run(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        chain, last, held = [], None, []
-        if state.exists:
-            ct, ci, last, t, i, s = state.get
-            chain, held = list(zip(ct, ci, strict=True)), list(zip(t, i, s, strict=True))
-        done, mark = [], state.getCurrentWatermarkMs() * 1000
-        # Events before the watermark are settled: nothing can come before them any more.
-        rows, settled, open_chain, open_last = sorted([*held, *_rows(pdfs, ["step"])]), (chain, last), chain, last
-        kept = []
-        for row in rows:
-            open_chain, open_last = advance(open_chain, open_last, *row)
-            kept.append(row)
-            if len(open_chain) == n:
-                done.append((key[0], _time(open_chain[0][0]), _time(open_chain[-1][0]), [x[1] for x in open_chain]))
-                open_chain, kept, settled = [], [], ([], open_last)
-            elif row[0] < mark:
-                kept, settled = [], (open_chain, open_last)
-        newest = max([x for x in (settled[1], kept[-1][0] if kept else None) if x is not None], default=None)
-        if settled[0] or kept:
-            state.update(([x[0] for x in settled[0]], [x[1] for x in settled[0]], settled[1], *([x[c] for x in kept] for c in range(3))))
-            state.setTimeoutTimestamp(max(newest // 1000 + w // 1000, state.getCurrentWatermarkMs()) + 1)
-        elif state.exists:
-            state.remove()
-        if done:
-            yield pd.DataFrame(done, columns=["key", "start", "end", "ids"])
-
-    rows = sdf.withColumn("step", step).where("step is not null")
-    state = "chain_t array<long>, chain_id array<string>, last long, t array<long>, id array<string>, step array<int>"
-    return _stateful(rows, key, ["step"], run, "key string, start timestamp, end timestamp, ids array<string>", state, late)
-
-
-def stream_correlation(sdf: DataFrame, key: str, tests: dict[str, tuple[Column, int]], window, require: str = "all", min_match: int | None = None, late="10 minutes") -> DataFrame:
-    """(key, timestamp, id, matched): enough conditions within the trailing window; the key starts over after each.
-
-    A key's state is every event of the trailing window, however many.
-    """
-    w = span_seconds(window) * 1_000_000
-    names = list(tests)
-    need = len(names) if require == "all" else (min_match or len(names) - 1)
-    least = [tests[k][1] for k in names]
-    bits = F.lit(0)
-    for i, k in enumerate(names):
-        bits = bits + F.when(tests[k][0], 1 << i).otherwise(0)
-
-    def run(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = [(t, "", b, False) for t, b in zip(*state.get, strict=True)] if state.exists else []
-        done, window_rows, counts = [], deque(), [0] * len(names)
-        for t, i, b, new in sorted([*held, *((*r, True) for r in _rows(pdfs, ["bits"]))]):
-            window_rows.append((t, b))
-            counts = [c + (b >> x & 1) for x, c in enumerate(counts)]
-            while window_rows[0][0] < t - w:
-                gone = window_rows.popleft()[1]
-                counts = [c - (gone >> x & 1) for x, c in enumerate(counts)]
-            matched = sum(c >= m for c, m in zip(counts, least, strict=True))
-            if new and matched >= need:
-                done.append((key[0], _time(t), i, matched))
-                window_rows.clear()
-                counts = [0] * len(names)
-        if window_rows:
-            state.update(tuple(list(x) for x in zip(*window_rows, strict=True)))
-            state.setTimeoutTimestamp(max(window_rows[-1][0] // 1000 + w // 1000, state.getCurrentWatermarkMs()) + 1)
-        elif state.exists:
-            state.remove()
-        if done:
-            yield pd.DataFrame(done, columns=["key", "timestamp", "id", "matched"])
-
-    rows = sdf.withColumn("bits", bits).where("bits > 0")
-    return _stateful(rows, key, ["bits"], run, "key string, timestamp timestamp, id string, matched int", "t array<long>, bits array<int>", late)
-
-
-def stream_novelty(sdf: DataFrame, entity: str, value: str, late="10 minutes") -> DataFrame:
-    """(key, first_seen, id): the first event of each pair of entity and value."""
-
-    def run(key, pdfs, state: GroupState):
-        rows = _rows(pdfs, [])
-        if not state.exists and rows:
-            state.update((rows[0][0],))
-            yield pd.DataFrame([(key[0], _time(rows[0][0]), rows[0][1])], columns=["key", "first_seen", "id"])
-
-    pair = sdf.withColumn("pair", F.concat_ws(">", entity, value))
-    rows = pair.select(F.col("pair").alias("key"), "timestamp", "id").withWatermark("timestamp", late)
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, first_seen timestamp, id string", "t long", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_findings(groups: DataFrame, path: str, rule_id: str, name: str, severity: str, checkpoint: str):
-    """A query that upserts each batch of detection groups into finding snapshots under ``path``: one folder per batch, the newest is current."""
+    spark = batch.sparkSession
+    bucket = F.pmod(F.xxhash64("dedup_key"), F.lit(buckets)).cast("int")
+    # Several groups of a batch may be one finding: they are merged as findings of batches of their own would be.
+    new = fd.merged_findings(fd.new_findings(batch, rule_id, name, severity)).withColumn("bucket", bucket).persist()
+    before = _manifest(spark, path, number - 1)
+    touched = {r.bucket for r in new.select("bucket").distinct().collect()}
+    old = [f"{path}/v{v}/bucket={b}" for b, v in before.items() if b in touched]
+    kept = spark.read.schema(fd.SCHEMA).parquet(*old) if old else spark.createDataFrame([], fd.SCHEMA)
+    fd.findings_upsert(kept, new).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v{number}")
+    now = before | dict.fromkeys(touched, number)
+    spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{number}")
+    new.unpersist()
+    oldest = f"{path}/manifest/{number - 2}"
+    if number > 1 and exists(spark, oldest):  # it is gone where this batch is played again
+        for v in set(_manifest(spark, path, number - 2).values()) - set(now.values()) - set(before.values()):
+            removed(spark, f"{path}/v{v}")
+        removed(spark, oldest)
+
+
+def current_findings(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The findings as batch ``number`` left them."""
+    at = _manifest(spark, path, number)
+    return spark.read.schema(fd.SCHEMA).parquet(*[f"{path}/v{v}/bucket={b}" for b, v in at.items()]) if at else spark.createDataFrame([], fd.SCHEMA)
+
+
+def stream_findings(groups: DataFrame, path: str, rule_id: str, name: str, severity: str, checkpoint: str, buckets: int = FINDING_BUCKETS):
+    """A query that upserts each batch of detection groups into finding snapshots under ``path`` (``upsert_findings``)."""
 
     def upsert(batch: DataFrame, number: int) -> None:
-        new = fd.new_findings(batch, rule_id, name, severity)
-        if number:
-            new = fd.findings_upsert(batch.sparkSession.read.parquet(f"{path}/v{number - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        upsert_findings(batch, number, path, rule_id, name, severity, buckets)
 
     return groups.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -188,15 +102,13 @@ def late_events(df: DataFrame, late="10 minutes", column: str = "timestamp") ->
     """Events older than the newest one received before them by more than ``late``: what a watermark would drop, by arrival."""
     seconds = int(late.split()[0]) * {"second": 1, "minute": 60, "hour": 3600}[late.split()[1].rstrip("s")]
     high = df.groupBy("received_at").agg(F.max(column).alias("m"))
-    from pyspark.sql import Window
-
-    # One row per arrival time, so the running maximum is over batches and not over events.
-    w = Window.orderBy("received_at").rowsBetween(Window.unboundedPreceding, -1)
-    mark = high.withColumn("mark", F.max("m").over(w)).select("received_at", "mark")
+    # One row per arrival time: the running maximum is over batches and not over events, and over ranges of them.
+    mark = running(positioned(high, ["received_at"]), {"mark": ("max", F.col("m"))}, before=True).select("received_at", "mark")
     return df.join(mark, "received_at").where(F.col(column) < F.col("mark") - F.expr(f"interval {seconds} seconds")).drop("mark")
 
 
 def run_available(sdf: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Runs a stream over all that is there, into Parquet under ``path``, and reads it."""
-    sdf.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    with with_timers(sdf.sparkSession):
+        sdf.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return sdf.sparkSession.read.schema(sdf.schema).parquet(path)
