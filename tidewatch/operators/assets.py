@@ -1,13 +1,10 @@
-"""Assets, telemetry coverage and threat models."""
+"""Assets and telemetry coverage."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import stable_id
-from .graph import access_relation, links
-
 # Entity types and words in a name that suggest how critical an asset is, first come first.
 CRITICALITY_RULES = (
     ("critical", ("identity_provider",), ("domain controller", "domain-controller", "payment", "card-", "core-banking")),
@@ -21,13 +18,6 @@ EXPECTED = {
     "linux": {"os.linux.auditd": 30, "os.linux.sshd": 15, "os.linux.sudo": 10, "os.linux.journal": 15, "net.flow": 15, "net.dns": 15},
     "network": {"net.firewall": 40, "net.dns": 20, "net.flow": 20, "net.ids": 20},
 }
-#: STRIDE templates: where -> (category, severity, technique, mitigation).
-THREATS = {
-    "exposed": (("spoofing", "high", "T1078", "M1032"), ("tampering", "medium", "T1190", "M1050"), ("denial_of_service", "medium", "T1499", "M1037"), ("elevation_of_privilege", "high", "T1068", "M1051")),
-    "data_store": (("information_disclosure", "high", "T1005", "M1041"), ("tampering", "high", "T1565", "M1029")),
-    "flow": (("information_disclosure", "medium", "T1040", "M1041"),),
-}
-
 
 def observe_assets(events: DataFrame, prev: DataFrame | None = None) -> DataFrame:
     """(host, first_seen, last_seen, status): a host's first event makes a draft, later ones move last_seen."""
@@ -90,48 +80,6 @@ def coverage_pct(rows: DataFrame, kinds: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def tm_nodes(assets: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, kind, basis): assets, entry points, boundaries and whatever the edges name beyond them."""
-    a = assets.select(F.col("entity_ref").alias("node"), F.lit("asset").alias("kind"), F.lit("observed").alias("basis"))
-    entry = assets.where("internet_exposed").select(F.concat(F.lit("entry:"), "entity_ref").alias("node"), F.lit("entry_point").alias("kind"), F.lit("inferred").alias("basis"))
-    zone = assets.where("environment is not null").select(F.concat(F.lit("zone:"), "environment").alias("node"), F.lit("boundary").alias("kind"), F.lit("assumed").alias("basis")).distinct()
-    e = links(edges, directed=True)
-    ext = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(a.select("node"), "node", "left_anti").select("node", F.lit("external").alias("kind"), F.lit("observed").alias("basis"))
-    return a.unionByName(entry).unionByName(zone).unionByName(ext)
-
-
-def tm_edges(assets: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, dst, relation): exposes, resides_in and access relations, once each and without loops."""
-    x = assets.where("internet_exposed").select(F.concat(F.lit("entry:"), "entity_ref").alias("src"), F.col("entity_ref").alias("dst"), F.lit("exposes").alias("relation"))
-    r = assets.where("environment is not null").select(F.col("entity_ref").alias("src"), F.concat(F.lit("zone:"), "environment").alias("dst"), F.lit("resides_in").alias("relation"))
-    a = links(edges.where(access_relation()), directed=True).select("src", "dst", "relation")
-    return x.unionByName(r).unionByName(a).where("src != dst").distinct()
-
-
-def tm_threats(assets: DataFrame, flows: DataFrame) -> DataFrame:
-    """(threat_id, node, category, severity, technique, mitigation) from the templates."""
-    def of(df, node, templates):
-        t = F.array(*[F.struct(F.lit(a).alias("category"), F.lit(b).alias("severity"), F.lit(c).alias("technique"), F.lit(d).alias("mitigation")) for a, b, c, d in templates])
-        return df.select(node.alias("node"), F.explode(t).alias("t")).select("node", "t.*")
-
-    exposed = of(assets.where("internet_exposed"), F.col("entity_ref"), THREATS["exposed"])
-    stores = of(assets.where(F.col("name").rlike("(?i)db|sql|store|file")), F.col("entity_ref"), THREATS["data_store"])
-    flow = of(flows.where(F.col("relation") != "exposes").where(F.col("relation") != "resides_in").select("src", "dst").distinct(), F.concat_ws(">", "src", "dst"), THREATS["flow"])
-    out = exposed.unionByName(stores).unionByName(flow).distinct()
-    return out.select(stable_id("thr-", "node", "category").alias("threat_id"), "*")
-
-
-def tm_controls(threats: DataFrame, controls: DataFrame) -> DataFrame:
-    return threats.join(controls, "mitigation").select("threat_id", "node", "mitigation", "control")
-
-
-def tm_drift(prev: DataFrame, new: DataFrame) -> DataFrame:
-    """(threat_id, change): added, removed, and new_risk or removed_risk for those of high severity or more."""
-    high = F.col("severity").isin("high", "critical")
-    a = new.join(prev.select("threat_id"), "threat_id", "left_anti").select("threat_id", F.when(high, "new_risk").otherwise("added").alias("change"))
-    return a.unionByName(prev.join(new.select("threat_id"), "threat_id", "left_anti").select("threat_id", F.when(high, "removed_risk").otherwise("removed").alias("change")))
-
-
 def enrich_chain(df: DataFrame, steps: list) -> DataFrame:
     """Enrichment steps, functions from DataFrame to DataFrame, in order."""
     for step in steps:

@@ -42,7 +42,7 @@ def row_rule(result: DataFrame, threshold: float, measure: str, keys: list[str]
     known = {"user": "user", "host": "host", "source_ip": "ip", "destination_ip": "ip", "src_ip": "ip", "dest_ip": "ip", "process": "process", "service": "service"}
     refs = [F.concat(F.lit(known[k] + ":"), F.col(k)) for k in keys if k in known]
     group = F.concat_ws(",", *[F.concat(F.lit(k + "="), F.coalesce(F.col(k), F.lit(""))) for k in keys]) if keys else F.lit("global")
-    out = result.where(F.col(measure) >= threshold).groupBy(group.alias("group_key")).agg(F.max(measure).alias(measure), F.count(F.lit(1)).alias("rows"), F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array(*refs))))).alias("entities") if refs else F.array().cast("array<string>").alias("entities"))
+    out = result.where(F.col(measure) >= threshold).groupBy(group.alias("group_key")).agg(F.max(measure).alias(measure), F.count(F.lit(1)).alias("rows"), F.array_distinct(F.flatten(F.collect_set(F.array_compact(F.array(*refs))))).alias("entities") if refs else F.array().cast("array<string>").alias("entities"))
     return out
 
 
@@ -260,7 +260,7 @@ def hunts(df: DataFrame) -> dict[str, tuple[Column, list[str], int, str, str, st
         "macos_launchagent_persistence": (source("os.darwin.unified") & text("%/Library/LaunchAgents%", name="file_path") & written, ["host", "user"], 1, "15m", "high", "T1543.001"),
         "net_beaconing": (source("net.firewall.generic") & eq("outcome", "success"), ["host", "destination_ip"], 60, "1h", "high", "T1071"),
         "net_port_scanning": (source("net.firewall.generic") & failed, ["source_ip"], 100, "10m", "medium", "T1595.001"),
-        "web_exploitation": (source("web.nginx.access") & text("%../%", "%union+select%", "%/etc/passwd%", "%%00%", "%<script%>", "%cmd.exe%"), ["source_ip", "host"], 1, "15m", "high", "T1190"),
+        "web_exploitation": (source("web.nginx.access") & text("%../%", "%union+select%", "%/etc/passwd%", r"%\%00%", "%<script%>", "%cmd.exe%"), ["source_ip", "host"], 1, "15m", "high", "T1190"),
         "web_scanning": (source("web.nginx.access") & not_found, ["source_ip"], 50, "10m", "medium", "T1595"),
         "win_lsass_access": (source("os.windows.sysmon") & text("%lsass.exe%", "%comsvcs.dll%") & text("%0x1010%"), ["host", "process"], 1, "15m", "critical", "T1003.001"),
         "win_rdp_lateral_movement": (source("os.windows.security") & eq("event_type", "authentication") & text("%4624%") & text("%10%"), ["user", "source_ip"], 3, "1h", "high", "T1021.001"),
@@ -335,7 +335,12 @@ def scenario_steps(mapped: DataFrame, runs: DataFrame, techniques: list[str], co
     m = mapped.select(F.col("host").alias("h"), F.col("technique").alias("q"), "timestamp", "id", "outcome")
     j = each.join(m, (F.col("host") == F.col("h")) & (F.col("technique") == F.col("q")) & (F.col("timestamp") >= F.col("started_at")) & (F.col("timestamp") <= now), "left")
     blocked = F.coalesce(F.lower("outcome").isin("deny", "denied", "block", "blocked", "failure", "failed", "fail"), F.lit(False))
-    g = j.groupBy("run_id", "host", "started_at", "technique").agg(F.count("id").alias("n"), F.count_if(F.col("id").isNotNull() & ~blocked).alias("ok"), F.slice(F.sort_array(F.collect_list("id")), 1, 20).alias("evidence"))
+    g = j.groupBy("run_id", "host", "started_at", "technique").agg(F.count("id").alias("n"), F.count_if(F.col("id").isNotNull() & ~blocked).alias("ok"))
+    # Twenty ids of each step are kept: ranked before they are gathered.
+    w = Window.partitionBy("run_id", "technique").orderBy("id")
+    ids = j.where("id is not null").select("run_id", "technique", "id").withColumn("rank", F.row_number().over(w)).where("rank <= 20")
+    ids = ids.groupBy("run_id", "technique").agg(F.sort_array(F.collect_list("id")).alias("evidence"))
+    g = g.join(ids, ["run_id", "technique"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
     g = g.join(coverage.select("host", "technique", F.lit(True).alias("seen")).distinct(), ["host", "technique"], "left")
     status = F.when(F.col("ok") > 0, "observed").when(F.col("n") > 0, "blocked").when(F.col("seen").isNull(), "unknown").when(F.col("started_at") > now - F.expr("interval 2 hours"), "expected").otherwise("missing")
     confidence = F.when(F.col("n") > 0, F.least(F.lit(0.95), 0.6 + 0.1 * (F.col("n") - 1))).when(status == "missing", 0.6).otherwise(0.0)

@@ -141,17 +141,62 @@ def feedback_stats(feedback: DataFrame, findings: DataFrame) -> DataFrame:
     return out.withColumn("fp_rate", F.round(F.col("false_positive") / F.col("total"), 4))
 
 
-def finding_context(findings: DataFrame, links: DataFrame, events: DataFrame, techniques: DataFrame, hits: DataFrame, related: DataFrame, n_events: int = 100) -> DataFrame:
-    """Per finding: its newest events, counts of what they name, techniques seen and the dominant tactic, indicator hits, related findings."""
-    e = links.join(events.select(F.col("id").alias("event_id"), "timestamp", "user", "host", "source_ip", "message"), "event_id")
+#: Buckets of a finding's entities, and the attributes of events that fall into them.
+BUCKETS = {"ip": "ips", "user": "users", "host": "hosts", "source": "sources", "process": "processes", "domain": "domains", "file": "files", "hash": "hashes"}
+_ATTRIBUTES = {"domain": ("domain", "destination_domain", "dns.query", "url"), "hash": ("hash", "sha256", "md5", "sha1")}
+_REFS = {"source_ip": "ip", "destination_ip": "ip", "sha256": "hash", "md5": "hash", "sha1": "hash"}
+#: Hosts whose gaps are told, and indicators, of a finding.
+CONTEXT_HOSTS, CONTEXT_INDICATORS = 3, 10
+
+
+def _first(df: DataFrame, key: str, column: str, n: int, name: str) -> DataFrame:
+    """(key, name): the first ``n`` distinct values of each key in order, ranked before they are gathered."""
+    w = Window.partitionBy(key).orderBy(column)
+    top = df.select(key, column).distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= n)
+    return top.groupBy(key).agg(F.sort_array(F.collect_list(column)).alias(name))
+
+
+def finding_context(findings: DataFrame, links: DataFrame, events: DataFrame, techniques: DataFrame, hits: DataFrame, related: DataFrame, coverage: DataFrame | None = None, n_events: int = 100) -> DataFrame:
+    """What an analyst, or a model, is told of each finding; lists are in order, and empty where there is nothing.
+
+    Its newest events; what it and they name, by kind (ips to hashes); the techniques seen in them and the dominant tactic, the finding's
+    own unless another is seen more often; indicators hit; related findings; and ``gaps``: "class on host" for the telemetry that
+    ``coverage`` (host, missing) lacks on the first few hosts.
+    """
+    have = [c for c in ("source", "user", "host", "ip", "source_ip", "destination_ip", "process", "file_path", "attributes") if c in events.columns]
+    e = links.select("finding_id", "event_id").distinct().join(events.select(F.col("id").alias("event_id"), "timestamp", *have), "event_id")
     w = Window.partitionBy("finding_id").orderBy(F.desc("timestamp"), "event_id")
-    ev = e.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n_events)
-    ev = ev.groupBy("finding_id").agg(F.sort_array(F.collect_list("event_id")).alias("event_ids"), *[F.count_distinct(x).alias(f"{x}s") for x in ("user", "host", "source_ip")])
-    t = links.join(techniques.select(F.col("id").alias("event_id"), "technique", "tactic"), "event_id").groupBy("finding_id", "tactic").agg(F.collect_set("technique").alias("t"), F.count(F.lit(1)).alias("c"))
-    t = t.groupBy("finding_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("t")))).alias("techniques"), F.max_by("tactic", F.struct("c", "tactic")).alias("dominant_tactic"))
-    h = links.join(hits.select(F.col("id").alias("event_id"), "indicator_id"), "event_id").groupBy("finding_id").agg(F.slice(F.sort_array(F.collect_set(F.col("indicator_id").cast("string"))), 1, 10).alias("indicators"))
+    e = e.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n_events).drop("n")
+    ref = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    own = {"ip": "ip", "source_ip": "ip", "destination_ip": "ip", "host": "host", "user": "user", "process": "process", "file_path": "file", "source": "source"}
+    named = [ref(kind, F.col(c)) for c, kind in own.items() if c in have]
+    if "attributes" in have:
+        named += [ref(kind, F.get_json_object("attributes", f"$['{k}']")) for kind, keys in _ATTRIBUTES.items() for k in keys]
+    refs = e.select("finding_id", F.explode(F.array(*named)).alias("r"))
+    columns = F.array(*[ref(own[c], F.col(c)) for c in ("user", "host", "source_ip", "destination_ip")])
+    kind = F.substring_index("entity", ":", 1)
+    listed = findings.select(F.col("id").alias("finding_id"), F.explode("entities").alias("entity")).where("instr(entity, ':') > 0")
+    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in _REFS.items() for x in kv])[kind], kind)
+    refs = refs.unionByName(findings.select(F.col("id").alias("finding_id"), F.explode(columns).alias("r"))).select("finding_id", "r.kind", "r.value")
+    refs = refs.unionByName(listed.select("finding_id", kind.alias("kind"), F.expr("substring(entity, instr(entity, ':') + 1)").alias("value")))
+    refs = refs.where("value is not null and value != ''").distinct()
+    buckets = refs.groupBy("finding_id").agg(*[F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("value")))).alias(n) for k, n in BUCKETS.items()])
+    ids = e.groupBy("finding_id").agg(F.sort_array(F.collect_list("event_id")).alias("event_ids"))
+    at = e.select("finding_id", "event_id")
+    seen = at.join(techniques.select(F.col("id").alias("event_id"), "technique", "tactic"), "event_id").groupBy("finding_id", "technique", "tactic").agg(F.count(F.lit(1)).alias("c"))
+    t = seen.groupBy("finding_id").agg(F.sort_array(F.collect_set("technique")).alias("techniques"))
+    # The finding's own tactic is one of the tactics, seen or not, and wins where no other is seen more often.
+    mine = findings.where("mitre_tactic is not null and mitre_tactic != ''").select(F.col("id").alias("finding_id"), F.col("mitre_tactic").alias("tactic"), F.lit(0).alias("c"), F.lit(1).alias("own"))
+    tactics = seen.where("tactic is not null and tactic != ''").select("finding_id", "tactic", "c", F.lit(0).alias("own")).unionByName(mine).groupBy("finding_id", "tactic").agg(F.sum("c").alias("c"), F.max("own").alias("own"))
+    k = tactics.groupBy("finding_id").agg(F.min(F.struct((-F.col("c")).alias("c"), (-F.col("own")).alias("own"), "tactic")).alias("k")).select("finding_id", F.col("k.tactic").alias("dominant_tactic"))
+    h = _first(at.join(hits.select(F.col("id").alias("event_id"), F.col("indicator_id").cast("string").alias("i")), "event_id"), "finding_id", "i", CONTEXT_INDICATORS, "indicators")
     r = related.groupBy("finding_id").agg(F.sort_array(F.collect_set("other_id")).alias("related"))
+    parts = [ids, buckets, t, k, h, r]
+    if coverage is not None:
+        hosts = refs.where("kind = 'host'").withColumn("n", F.row_number().over(Window.partitionBy("finding_id").orderBy("value"))).where(F.col("n") <= CONTEXT_HOSTS)
+        gap = hosts.join(coverage.select(F.col("host").alias("value"), "missing"), "value").select("finding_id", "value", F.explode("missing").alias("m")).select("finding_id", F.concat("m", F.lit(" on "), "value").alias("gap"))
+        parts.append(gap.groupBy("finding_id").agg(F.sort_array(F.collect_set("gap")).alias("gaps")))
     out = findings.select(F.col("id").alias("finding_id"), "title", "severity")
-    for x in (ev, t, h, r):
+    for x in parts:
         out = out.join(x, "finding_id", "left")
-    return out
+    return out.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c, kind in out.dtypes if kind.startswith("array")})

@@ -120,20 +120,46 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int = 4, states: tuple[str, .
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 4, states: tuple[str, ...] | None = None, n: int = 20) -> DataFrame:
-    """(a, b, hops, nodes, states): all shortest undirected paths of each pair, at most ``n``."""
-    e = links(edges, states).groupBy("src", "dst").agg(F.min("state").alias("state"))
-    walk = pairs.select("a", "b", F.col("a").alias("at"), F.array("a").alias("nodes"), F.array().cast("array<string>").alias("states"))
-    found = None
+    """(a, b, hops, nodes, states): the shortest undirected paths of each pair, the first ``n`` in order of their nodes.
+
+    Levels of nodes around each start are searched, not walks, so that a hub is met once.  From the ends back, the links between one level
+    and the next that lie on a shortest path make a graph of their own; the paths are unrolled from it, ``n`` beginnings of each pair at
+    a time, all of which lead to the end.  A pair of one node has no path.
+    """
+    e = _cut(links(edges, states).where("src != dst").groupBy("src", "dst").agg(F.min("state").alias("state")))
+    want = _cut(pairs.select("a", "b").where("a != b").distinct())
+    seen = want.select("a", F.col("a").alias("node"), F.lit(0).alias("level")).distinct()
+    frontier, open_, found = seen, want, None
     for d in range(1, hops + 1):
-        walk = walk.join(e, walk["at"] == e["src"]).where(~F.array_contains("nodes", F.col("dst"))).select("a", "b", F.col("dst").alias("at"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("states", F.col("state")).alias("states"))
-        walk = _cut(walk)
-        hit = walk.where("at = b").select("a", "b", F.lit(d).alias("hops"), "nodes", "states")
+        step = frontier.select("a", "node").join(e, F.col("node") == F.col("src")).select("a", F.col("dst").alias("node")).distinct()
+        frontier = _cut(step.join(seen, ["a", "node"], "left_anti").withColumn("level", F.lit(d)))
+        seen = seen.unionByName(frontier)
+        hit = _cut(open_.join(frontier.select("a", F.col("node").alias("b")), ["a", "b"]).withColumn("hops", F.lit(d)))
         found = hit if found is None else found.unionByName(hit)
-        walk = walk.join(hit.select("a", "b").distinct(), ["a", "b"], "left_anti")
-        if d < hops and walk.isEmpty():
+        open_ = _cut(open_.join(hit, ["a", "b"], "left_anti"))
+        frontier = frontier.join(open_.select("a").distinct(), "a", "left_semi")  # starts that have found all their ends are done
+        if frontier.isEmpty():
             break
-    w = Window.partitionBy("a", "b").orderBy("nodes")
-    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).drop("n")
+    back = found.select("a", "b", F.col("b").alias("node"), F.col("hops").alias("level"))
+    ways = []
+    for _ in range(d):
+        own = back.join(e, F.col("node") == F.col("dst")).select("a", "b", "src", "dst", "state", (F.col("level") - 1).alias("level"))
+        ways.append(_cut(own.join(seen.select("a", F.col("node").alias("src"), "level"), ["a", "src", "level"])))
+        back = ways[-1].where("level > 0").select("a", "b", F.col("src").alias("node"), "level").distinct()
+    dag = ways[0]
+    for way in ways[1:]:
+        dag = dag.unionByName(way)
+    dag = _cut(dag)
+    walk = found.select("a", "b", "hops", F.col("a").alias("at"), F.array("a").alias("nodes"), F.array().cast("array<string>").alias("states"))
+    done = None
+    first = Window.partitionBy("a", "b").orderBy("nodes")
+    for step in range(1, d + 1):
+        on = dag.where(F.col("level") == step - 1).select("a", "b", F.col("src").alias("at"), "dst", "state")
+        longer = walk.join(on, ["a", "b", "at"]).select("a", "b", "hops", F.col("dst").alias("at"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("states", F.col("state")).alias("states"))
+        walk = _cut(longer.withColumn("n", F.row_number().over(first)).where(F.col("n") <= n).drop("n"))
+        hit = walk.where(F.col("hops") == step).select("a", "b", "hops", "nodes", "states")
+        done = hit if done is None else done.unionByName(hit)
+    return done
 
 
 def _asset_sides(edges: DataFrame, assets: DataFrame) -> DataFrame:
@@ -171,19 +197,30 @@ def compromise_state(edges: DataFrame, assets: DataFrame, hops: int = 4, map_rel
 
 
 def potential_paths(edges: DataFrame, compromise: DataFrame, assets: DataFrame, hops: int = 4, n: int = 50) -> DataFrame:
-    """(source, target, hops, nodes, states): the shortest directed path from a compromised node to each critical asset; a path stops at a target."""
-    goal = assets.where("criticality = 'critical'").select(F.col("entity_ref").alias("target")).distinct()
-    e = links(edges, ("observed", "inferred", "potential"), directed=True).groupBy("src", "dst").agg(F.min("state").alias("state"))
-    walk = compromise.where(F.col("state").startswith("compromised")).select(F.col("node").alias("source"), F.col("node").alias("at"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("states"))
-    found = None
+    """(source, target, hops, nodes, states): the shortest directed path from a compromised node to each critical asset; a path stops at a target.
+
+    Of paths that are equally short, the first by source and nodes.  A node carries its two best ways from different sources, of which one
+    does not begin at the target, so that all sources are searched at once and a hub does not multiply walks.
+    """
+    goal = _cut(assets.where("criticality = 'critical'").select(F.col("entity_ref").alias("target")).distinct())
+    e = _cut(links(edges, ("observed", "inferred", "potential"), directed=True).where("src != dst").groupBy("src", "dst").agg(F.min("state").alias("state")))
+    none = F.array().cast("array<string>")
+    ways = compromise.where(F.col("state").startswith("compromised")).select("node", F.col("node").alias("source"), F.lit(0).alias("hops"), F.array("node").alias("nodes"), none.alias("states")).dropDuplicates(["node"])
+    known = frontier = _cut(ways)
+    order = Window.partitionBy("node").orderBy("hops", "source", "nodes", "states")
     for d in range(1, hops + 1):
-        walk = walk.join(e, walk["at"] == e["src"]).where(~F.array_contains("nodes", F.col("dst"))).select("source", F.col("dst").alias("at"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("states", F.col("state")).alias("states"))
-        # One way to each node from each source is enough for the shortest.
-        walk = _cut(walk.groupBy("source", "at").agg(F.min(F.struct("nodes", "states")).alias("p")).select("source", "at", "p.nodes", "p.states"))
-        hit = walk.join(goal, walk["at"] == goal["target"]).select("source", "target", F.lit(d).alias("hops"), "nodes", "states")
-        found = hit if found is None else found.unionByName(hit)
-        walk = walk.join(goal, walk["at"] == goal["target"], "left_anti")
-    best = found.groupBy("target").agg(F.min(F.struct("hops", "source", "nodes", "states")).alias("p"))
+        step = frontier.join(e, F.col("node") == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
+        step = step.select(F.col("dst").alias("node"), "source", F.lit(d).alias("hops"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("states", F.col("state")).alias("states"))
+        best = step.groupBy("node", "source", "hops").agg(F.min(F.struct("nodes", "states")).alias("p")).select("node", "source", "hops", "p.nodes", "p.states")
+        new = best.join(known, ["node", "source"], "left_anti")
+        # The ways that are known already stay; new ones fill up to two.
+        ranked = known.unionByName(new).withColumn("n", F.row_number().over(order)).where("n <= 2").drop("n")
+        known = _cut(ranked)
+        frontier = known.where(F.col("hops") == d).join(goal, F.col("node") == F.col("target"), "left_anti")
+        if frontier.isEmpty():
+            break
+    reached = known.where("hops > 0").join(goal, F.col("node") == F.col("target"))
+    best = reached.groupBy("target").agg(F.min(F.struct("hops", "source", "nodes", "states")).alias("p"))
     return best.select("p.source", "target", "p.hops", "p.nodes", "p.states").orderBy("hops", "target").limit(n)
 
 
@@ -204,14 +241,28 @@ def path_risk(paths: DataFrame, assets: DataFrame) -> DataFrame:
     return paths.join(dim, "target", "left").withColumn("risk", F.round(total * F.coalesce(factor[F.col("criticality")], F.lit(0.4)), 4))
 
 
-def snapshot(edges: DataFrame, roots: DataFrame, compromise: DataFrame, assets: DataFrame, depth: int = 2, nodes: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the subgraph around some roots, with compromise and asset columns."""
+#: Most nodes and edges of a snapshot.
+SNAPSHOT_NODES, SNAPSHOT_EDGES = 1000, 5000
+
+
+def snapshot(edges: DataFrame, roots: DataFrame, compromise: DataFrame, assets: DataFrame, depth: int = 2, nodes: int = SNAPSHOT_NODES, coverage: DataFrame | None = None, n_edges: int = SNAPSHOT_EDGES) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the subgraph around some roots: what a screen can show, with overlays.
+
+    Nodes, the nearest first, have their compromise state, asset columns and, from ``coverage`` (host, pct), how well they are watched.
+    Edges between them have their state, whether they cross a boundary, and the state of their end; where there are more than
+    ``n_edges``, those between near nodes come first, then the surer ones.
+    """
     n = _cut(bfs(edges, roots, depth).orderBy("depth", "node").limit(nodes))
-    dim = assets.select(F.col("entity_ref").alias("node"), "criticality", "environment")
-    out = n.join(compromise.select("node", F.col("state").alias("compromise")), "node", "left").join(dim, "node", "left")
-    e = links(edges, directed=True)
-    e = e.join(n.select(F.col("node").alias("src")), "src", "left_semi").join(n.select(F.col("node").alias("dst")), "dst", "left_semi")
-    return out, e
+    dim = assets.select(F.col("entity_ref").alias("node"), "criticality", "environment", "internet_exposed").dropDuplicates(["node"])
+    state = compromise.select("node", F.col("state").alias("compromise"))
+    out = n.join(state, "node", "left").join(dim, "node", "left")
+    if coverage is not None:
+        out = out.join(coverage.select(F.concat(F.lit("host:"), "host").alias("node"), F.col("pct").alias("coverage_pct")), "node", "left")
+    inside = lambda side: F.broadcast(n.select(F.col("node").alias(side), F.col("depth").alias(f"{side}_depth")))  # noqa: E731  a thousand rows at most
+    e = crosses_boundary(edges, assets).select("src", "dst", "relation", "state", "crosses").join(inside("src"), "src").join(inside("dst"), "dst")
+    sure = F.when(F.col("state") == "observed", 0).when(F.col("state") == "inferred", 1).when(F.col("state") == "potential", 2).otherwise(3)
+    e = e.orderBy(F.greatest("src_depth", "dst_depth"), F.least("src_depth", "dst_depth"), sure, "src", "dst", "relation").limit(n_edges).drop("src_depth", "dst_depth")
+    return out, e.join(state.withColumnRenamed("node", "dst"), "dst", "left").select("src", "dst", "relation", "state", "crosses", "compromise")
 
 
 def node_what_next(edges: DataFrame, steps: DataFrame, node: str) -> DataFrame:
@@ -230,8 +281,7 @@ def graph_brief(edges: DataFrame, compromise: DataFrame, hosts: list[str], n: in
 
 
 def entity_neighbors(edges: DataFrame, node: str) -> DataFrame:
-    """(node, paths): neighbours of neighbours with the number of ways to them."""
-    e = links(edges).select("src", "dst")
-    one = e.where(F.col("src") == node).select(F.col("dst").alias("mid"))
-    two = one.join(e, one["mid"] == e["src"]).select(F.col("dst").alias("node"))
-    return two.groupBy("node").agg(F.count(F.lit(1)).alias("paths"))
+    """(node, paths): neighbours of neighbours with the number of ways to them; links of the same ends are counted before they are joined."""
+    e = links(edges).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
+    one = e.where(F.col("src") == node).select(F.col("dst").alias("mid"), F.col("m").alias("w"))
+    return one.join(e, F.col("mid") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("m")).alias("paths"))

@@ -140,6 +140,9 @@ def related_findings(findings: DataFrame, n: int = 5) -> DataFrame:
     each = findings.select("id", "status", "last_seen", F.explode(refs).alias("e")).where("e.value is not null and e.value != ''")
     a = each.select(F.col("id").alias("finding_id"), "e")
     b = each.where("status in ('new', 'open', 'in_progress')").select(F.col("id").alias("other_id"), "last_seen", "e")
+    # Of each entity the newest ones are enough, one more for the finding itself: a hot host does not pair all its findings.
+    newest = Window.partitionBy("e").orderBy(F.desc("last_seen"), "other_id")
+    b = b.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= n + 1).drop("n")
     w = Window.partitionBy("finding_id").orderBy(F.desc("last_seen"), "other_id")
     return a.join(b, "e").where("finding_id != other_id").select("finding_id", "other_id", "last_seen").distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).select("finding_id", "other_id")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import filters, stats
-from . import basic, canonical, security, streams  # noqa: F401  registers
+from . import basic, canonical, security, streams, threats  # noqa: F401  registers
 from .registry import ORACLE, QUERIES, query
 
 

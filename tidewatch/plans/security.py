@@ -161,7 +161,7 @@ _DRESS = {
     "action": "CASE event_id % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'modify' ELSE 'read' END",
     "status_code": "CASE event_id % 8 WHEN 0 THEN '200' WHEN 1 THEN '403' WHEN 2 THEN 'none' ELSE '404' END",
     "message": "CASE event_id % 10 WHEN 0 THEN 'GET /../x' WHEN 1 THEN 'LSASS.exe 0x1010' WHEN 2 THEN 'comsvcs.dll 0x1410' WHEN 3 THEN 'logon 4624 type 10' WHEN 4 THEN 'SCHTASKS created' WHEN 5 THEN 'run -enc AA' "
-    "WHEN 6 THEN 'GET /index' WHEN 7 THEN 'IEX x' WHEN 8 THEN 'GET <script src>' ELSE 'UNION+select' END",
+    "WHEN 6 THEN CASE event_id % 4 WHEN 0 THEN 'GET /a%00b' ELSE 'GET /index 200' END WHEN 7 THEN 'IEX x' WHEN 8 THEN 'GET <script src>' ELSE 'UNION+select' END",
 }
 _dressed = lambda e: e.withColumns({c: F.expr(x.format(ntz="timestamp_ntz")) for c, x in _DRESS.items()})
 _HUNTS = (
@@ -172,7 +172,7 @@ _HUNTS = (
     ("macos_launchagent_persistence", "high", "'T1543.001'", "source_type = 'os.darwin.unified' AND file_path LIKE '%/Library/LaunchAgents%' AND action IN ('create', 'modify')", "host || '|' || \"user\"", 1, "15 minutes"),
     ("net_beaconing", "high", "'T1071'", "source_type = 'net.firewall.generic' AND outcome = 'success'", "host || '|' || destination_ip", 60, "1 hour"),
     ("net_port_scanning", "medium", "'T1595.001'", "source_type = 'net.firewall.generic' AND outcome = 'failure'", "source_ip", 100, "10 minutes"),
-    ("web_exploitation", "high", "'T1190'", "source_type = 'web.nginx.access' AND (contains(message, '../') OR message ILIKE '%union+select%' OR contains(message, '00') OR message LIKE '%<script%>')", "source_ip || '|' || host", 1, "15 minutes"),
+    ("web_exploitation", "high", "'T1190'", "source_type = 'web.nginx.access' AND (contains(message, '../') OR message ILIKE '%union+select%' OR contains(message, '%00') OR message LIKE '%<script%>')", "source_ip || '|' || host", 1, "15 minutes"),
     ("web_scanning", "medium", "'T1595'", "source_type = 'web.nginx.access' AND TRY_CAST(status_code AS DOUBLE) >= 404", "source_ip", 50, "10 minutes"),
     ("win_lsass_access", "critical", "'T1003.001'", "source_type = 'os.windows.sysmon' AND message ILIKE '%lsass.exe%' AND contains(message, '0x1010')", "host || '|' || process", 1, "15 minutes"),
     ("win_rdp_lateral_movement", "high", "'T1021.001'", "source_type = 'os.windows.security' AND event_type = 'authentication' AND contains(message, '4624') AND contains(message, '10')", "\"user\" || '|' || source_ip", 3, "1 hour"),
@@ -253,9 +253,31 @@ def _feedback(e):
     return fd.feedback_stats(late.unionByName(late.withColumn("label", F.lit("benign")).withColumn("created_at", F.lit(1))), f)
 
 
-@full("D24_finding_context", f"WITH {_FEV}, {_MAP} SELECT lk.finding_id, string_agg(DISTINCT technique, ',' ORDER BY technique) AS techniques FROM lk JOIN mp ON mp.id = event_id GROUP BY 1")
+# Hosts without telemetry of some classes, as A21 finds them.
+_MISSING = "CASE {h} WHEN 'h1' THEN 'net.dns,net.flow,os.linux.journal,os.linux.sudo' WHEN 'h2' THEN 'net.flow,os.windows.defender,os.windows.dns,os.windows.powershell,os.windows.security,os.windows.sysmon' WHEN 'h3' THEN 'net.dns,net.firewall,net.flow,net.ids' ELSE 'net.dns,net.flow,os.linux.sudo' END"
+_CONTEXT = f"""WITH {_FEV}, {_MAP}, {_MATCH},
+ ce AS (SELECT lk.finding_id, ev.* FROM lk JOIN ev ON ev.id = lk.event_id QUALIFY row_number() OVER (PARTITION BY lk.finding_id ORDER BY timestamp DESC, ev.id) <= 100),
+ rf AS (SELECT finding_id, 'ip' AS kind, source_ip AS v FROM ce UNION SELECT finding_id, 'ip', destination_ip FROM ce UNION SELECT finding_id, 'host', host FROM ce UNION SELECT finding_id, 'user', "user" FROM ce UNION SELECT finding_id, 'process', process FROM ce
+  UNION SELECT finding_id, 'source', source FROM ce UNION SELECT id, 'ip', source_ip FROM fi UNION SELECT id, 'ip', destination_ip FROM fi UNION SELECT id, 'host', host FROM fi UNION SELECT id, 'user', "user" FROM fi),
+ bu AS (SELECT finding_id, string_agg(v, ',' ORDER BY v) FILTER (kind = 'ip') AS ips, string_agg(v, ',' ORDER BY v) FILTER (kind = 'user') AS users, string_agg(v, ',' ORDER BY v) FILTER (kind = 'host') AS hosts,
+   string_agg(v, ',' ORDER BY v) FILTER (kind = 'process') AS processes, string_agg(v, ',' ORDER BY v) FILTER (kind = 'source') AS sources FROM rf GROUP BY 1),
+ te AS (SELECT ce.finding_id, technique, tactic, count(*) AS c FROM ce JOIN mp ON mp.id = ce.id GROUP BY ALL),
+ ta AS (SELECT finding_id, tactic, sum(c) AS c FROM te GROUP BY ALL UNION ALL SELECT id, 'credential_access', 0 FROM fi),
+ kc AS (SELECT finding_id, arg_max(tactic, {{'c': c, 'own': (tactic = 'credential_access')::INT, 'n': r}}) AS tactic FROM (SELECT finding_id, tactic, sum(c) AS c, -row_number() OVER (ORDER BY tactic) AS r FROM ta GROUP BY 1, 2) GROUP BY 1),
+ hh AS (SELECT finding_id, v AS host FROM rf WHERE kind = 'host' QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY v) <= 3),
+ ga AS (SELECT finding_id, string_agg(c || ' on ' || host, ',' ORDER BY c || ' on ' || host) AS gaps FROM (SELECT finding_id, host, unnest(string_split({_MISSING.format(h="host")}, ',')) AS c FROM hh) GROUP BY 1),
+ hi AS (SELECT finding_id, string_agg(i, ',' ORDER BY i) AS indicators FROM (SELECT DISTINCT ce.finding_id, indicator_id::VARCHAR AS i FROM ce JOIN mt ON mt.id = ce.id QUALIFY row_number() OVER (PARTITION BY ce.finding_id ORDER BY indicator_id::VARCHAR) <= 10) GROUP BY 1),
+ re AS (SELECT finding_id, string_agg(other_id, ',' ORDER BY other_id) AS related FROM (SELECT finding_id, other_id FROM (SELECT DISTINCT f.id AS finding_id, o.id AS other_id, o.last_seen FROM fi f JOIN fi o ON f.id <> o.id AND (f.host = o.host OR f."user" = o."user" OR f.source_ip IN (o.source_ip, o.destination_ip) OR f.destination_ip IN (o.source_ip, o.destination_ip))) QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY last_seen DESC, other_id) <= 5) GROUP BY 1)
+ SELECT fi.id AS finding_id, title, severity, coalesce((SELECT string_agg(ce.id, ',' ORDER BY ce.id) FROM ce WHERE ce.finding_id = fi.id), '') AS event_ids, ips, users, hosts, coalesce(sources, '') AS sources, coalesce(processes, '') AS processes, '' AS domains, '' AS files, '' AS hashes,
+  coalesce((SELECT string_agg(DISTINCT technique, ',' ORDER BY technique) FROM te WHERE te.finding_id = fi.id), '') AS techniques, kc.tactic AS dominant_tactic, coalesce(indicators, '') AS indicators, coalesce(related, '') AS related, coalesce(gaps, '') AS gaps
+ FROM fi LEFT JOIN bu ON bu.finding_id = fi.id LEFT JOIN kc ON kc.finding_id = fi.id LEFT JOIN hi ON hi.finding_id = fi.id LEFT JOIN re ON re.finding_id = fi.id LEFT JOIN ga ON ga.finding_id = fi.id"""
+
+
+@full("D24_finding_context", _CONTEXT)
 def _context(e, a_, m, n, x):
-    return fd.finding_context(_findings(e), _finding_events(e), e, d.attack_map(e, MAPPING), j.ti_match(e, n), j.related_findings(_findings(e))).where("techniques is not null").select("finding_id", F.array_join("techniques", ",").alias("techniques"))
+    cover = e.select("host").distinct().select("host", F.split(F.expr(_MISSING.format(h="host")), ",").alias("missing"))
+    out = fd.finding_context(_findings(e), _finding_events(e), e, d.attack_map(e, MAPPING), j.ti_match(e, n), j.related_findings(_findings(e)), cover)
+    return out.select(*[F.array_join(c, ",").alias(c) if kind.startswith("array") else c for c, kind in out.dtypes])
 
 
 # --- risk ------------------------------------------------------------------------------------------------------------------
@@ -347,20 +369,30 @@ def _chain(e: DataFrame) -> DataFrame:
 _PP = f"{_HH}, cc AS (SELECT DISTINCT hh.dst AS node FROM hh JOIN assets s ON s.entity_ref = hh.src JOIN assets d ON d.entity_ref = hh.dst WHERE (s.internet_exposed AND NOT d.internet_exposed) OR s.environment <> d.environment)"
 
 
-@graph("G14_potential_paths", "WITH RECURSIVE " + ",\n".join(_GV) + f""", {_PP}, w(source, at_, nodes, hops) AS (SELECT node, node, node, 0 FROM cc UNION ALL SELECT w.source, hh.dst, w.nodes || ',' || hh.dst, w.hops + 1 FROM w JOIN hh ON hh.src = w.at_ LEFT JOIN assets t ON t.entity_ref = w.at_ WHERE w.hops < 4 AND (w.hops = 0 OR coalesce(t.criticality, '') <> 'critical')),
- h AS (SELECT w.*, row_number() OVER (PARTITION BY at_ ORDER BY hops, source, nodes) AS n FROM w JOIN assets a ON a.entity_ref = w.at_ AND a.criticality = 'critical' WHERE hops > 0) SELECT source, at_ AS target, hops, nodes FROM h WHERE n = 1""")
+#: A critical target weighs 1, an inferred step 0.6.
+_POTENTIAL = "WITH RECURSIVE " + ",\n".join(_GV) + f""", {_PP}, w(source, at_, nodes, hops) AS (SELECT node, node, node, 0 FROM cc UNION ALL SELECT w.source, hh.dst, w.nodes || ',' || hh.dst, w.hops + 1 FROM w JOIN hh ON hh.src = w.at_ LEFT JOIN assets t ON t.entity_ref = w.at_ WHERE w.hops < 4 AND (w.hops = 0 OR coalesce(t.criticality, '') <> 'critical')),
+ h AS (SELECT w.*, row_number() OVER (PARTITION BY at_ ORDER BY hops, source, nodes) AS n FROM w JOIN assets a ON a.entity_ref = w.at_ AND a.criticality = 'critical' WHERE hops > 0), best AS (SELECT source, at_ AS target, hops, nodes FROM h WHERE n = 1)"""
+
+
+@graph("G14_potential_paths", _POTENTIAL + " SELECT * FROM best")
 def _potential(e, n, a_):
     c = _chain(e)
     return g.potential_paths(c, g.compromise_state(c, a_), a_).select("source", "target", "hops", F.array_join("nodes", ",").alias("nodes"))
 
 
-@graph("G15_path_risk")
+@graph("G15_path_risk", _POTENTIAL + " SELECT source, target, round(0.6 * hops, 4)::DOUBLE AS risk FROM best")
 def _risk(e, n, a_):
     c = _chain(e)
     return g.path_risk(g.potential_paths(c, g.compromise_state(c, a_), a_), a_).select("source", "target", "risk")
 
 
-graph("G16_snapshot", _BFS)(lambda e, n, a_: g.snapshot(e, _root(e, "host:h3"), g_comp(e, n, a_), a_)[0].select("node", "depth"))
+_SNAP = _BFS[: _BFS.index("SELECT node, min(depth)")].rstrip() + f""", {_CS.replace(_LK + ", ", "")}, sn AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1 ORDER BY 2, 1 LIMIT {{nodes}}),
+ cm AS (SELECT node, state FROM cs UNION ALL SELECT DISTINCT lk.dst, 'at_risk_potential' FROM lk JOIN cs ON cs.node = lk.src WHERE lk.status = 'observed' AND lk.dst NOT IN (SELECT node FROM cs)) """
+graph("G16_snapshot", _SNAP.format(nodes=1000) + "SELECT sn.node, depth, cm.state AS compromise, criticality, environment, coalesce(internet_exposed, false) AS internet_exposed, CASE WHEN starts_with(sn.node, 'host:') THEN length(sn.node) * 10.0 END::DOUBLE AS coverage_pct FROM sn LEFT JOIN cm USING (node) LEFT JOIN assets ON entity_ref = sn.node")(
+    lambda e, n, a_: g.snapshot(e, _root(e, "host:h3"), g_comp(e, n, a_), a_, coverage=n.where("type = 'host'").select(F.col("value").alias("host"), ((F.length("value") + 5) * 10.0).alias("pct")))[0].fillna(False, ["internet_exposed"]))
+graph("G16_snapshot_edges", _SNAP.format(nodes=60) + """SELECT src, dst, relation, status AS state, crosses, cm.state AS compromise FROM (
+  SELECT cb.* FROM cb JOIN sn a ON a.node = src JOIN sn b ON b.node = dst ORDER BY greatest(a.depth, b.depth), least(a.depth, b.depth), CASE status WHEN 'observed' THEN 0 WHEN 'inferred' THEN 1 WHEN 'potential' THEN 2 ELSE 3 END, src, dst, relation LIMIT 80)
+  LEFT JOIN cm ON cm.node = dst""")(lambda e, n, a_: g.snapshot(e, _root(e, "host:h3"), g_comp(e, n, a_), a_, nodes=60, n_edges=80)[1])
 graph("G18_node_what_next", f"WITH {_LK} SELECT DISTINCT 'edge' AS kind, dst AS what FROM lk WHERE src = 'host:h2'")(lambda e, n, a_: g.node_what_next(e, e.sparkSession.createDataFrame([], "host string, status string, technique string"), "host:h2"))
 graph("G19_graph_brief", f"WITH {_CS} SELECT src, dst, relation FROM lk WHERE 'host:h4' IN (src, dst) ORDER BY src, dst, relation LIMIT 25")(lambda e, n, a_: g.graph_brief(e, g_comp(e, n, a_), ["h4"]).select("src", "dst", "relation"))
 graph("G20_entity_neighbors", f"WITH {_LK}, b AS (SELECT src, dst FROM lk UNION ALL SELECT dst, src FROM lk) SELECT y.dst AS node, count(*) AS paths FROM b x JOIN b y ON x.dst = y.src WHERE x.src = 'host:h3' GROUP BY 1")(lambda e, n, a_: g.entity_neighbors(e, "host:h3"))
@@ -388,12 +420,6 @@ full("M2_suggest_criticality", f"SELECT name, kind, CASE WHEN kind = 'identity_p
         F.concat("name", F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("k") % len(_NAMES) + 1).cast("int"))).alias("name"), F.when(F.col("k") % 3 == 0, "server").when(F.col("k") % 3 == 1, "host").otherwise("identity_provider").alias("kind")
     ).select("name", "kind", a.suggest_criticality(F.col("name"), F.col("kind")).alias("criticality")))
 full("M4_merge_inventory", "SELECT entity_ref, CASE WHEN k % 2 = 0 THEN 'patched' ELSE criticality END AS version FROM assets")(lambda e, a_, m, n, x: a.merge_inventory(a_.select("entity_ref", F.col("criticality").alias("version")), a_.select("entity_ref", F.when(F.col("k") % 2 == 0, "patched").alias("version")), ["entity_ref"]))
-graph("M5_tm_nodes", f"WITH {_LK} SELECT entity_ref AS node, 'asset' AS kind, 'observed' AS basis FROM assets UNION ALL SELECT 'entry:' || entity_ref, 'entry_point', 'inferred' FROM assets WHERE internet_exposed UNION ALL SELECT DISTINCT 'zone:' || environment, 'boundary', 'assumed' FROM assets UNION ALL SELECT node, 'external', 'observed' FROM (SELECT src AS node FROM lk UNION SELECT dst FROM lk) WHERE node NOT IN (SELECT entity_ref FROM assets)")(lambda e, n, a_: a.tm_nodes(a_, e))
-_TE = f"{_LK}, te AS (SELECT 'entry:' || entity_ref AS src, entity_ref AS dst, 'exposes' AS relation FROM assets WHERE internet_exposed UNION SELECT entity_ref, 'zone:' || environment, 'resides_in' FROM assets UNION SELECT src, dst, relation FROM lk)"
-graph("M6_tm_edges", f"WITH {_TE} SELECT * FROM te")(lambda e, n, a_: a.tm_edges(a_, e))
-graph("M7_tm_threats", f"WITH {_TE} SELECT category, count(*) AS n FROM (SELECT unnest(['spoofing', 'tampering', 'denial_of_service', 'elevation_of_privilege']) AS category FROM assets WHERE internet_exposed UNION ALL SELECT 'information_disclosure' FROM (SELECT DISTINCT src, dst FROM te WHERE relation NOT IN ('exposes', 'resides_in'))) GROUP BY 1")(lambda e, n, a_: a.tm_threats(a_, a.tm_edges(a_, e)).groupBy("category").agg(F.count(F.lit(1)).alias("n")))
-graph("M8_tm_controls", f"WITH {_TE} SELECT 'segmentation' AS control, count(*) AS n FROM (SELECT DISTINCT src, dst FROM te WHERE relation NOT IN ('exposes', 'resides_in'))")(lambda e, n, a_: a.tm_controls(a.tm_threats(a_, a.tm_edges(a_, e)), e.sparkSession.createDataFrame([("M1041", "segmentation")], "mitigation string, control string")).groupBy("control").agg(F.count(F.lit(1)).alias("n")))
-graph("M9_tm_drift", "SELECT 'new_risk' AS change, 2 * count(*) AS n FROM assets WHERE internet_exposed UNION ALL SELECT 'added', 2 * count(*) FROM assets WHERE internet_exposed")(lambda e, n, a_: a.tm_drift((t := a.tm_threats(a_, a.tm_edges(a_, e))).where("category = 'information_disclosure'"), t).groupBy("change").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _classes(e):
