@@ -34,14 +34,16 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 
 # Possessive, and ending at the next "<" outside quotes: an unclosed tag is text, and costs no second look at the rest of the page.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# Each match takes a whole name, with or without a value: no name is looked at from each of its characters.
+_ATTRIBUTE = re.compile(r"([^\s=/\"'][^\s=/]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "items", "dropped", "depth", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.depth = 0 if parent is None else parent.depth + 1
         self.items: list = []  # text and child nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -59,46 +61,68 @@ def _marked(tag: str, attributes: str) -> bool:
     return re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)) is not None
 
 
+class _Open:
+    """The open elements, innermost last, by tag and the blocks among them: what an end tag closes is found without walking up."""
+
+    def __init__(self, root: Node):
+        self.path, self.blocks, self.tags = [root], [root], {root.tag: [root]}
+
+    def add(self, x: Node) -> None:
+        self.path.append(x)
+        self.tags.setdefault(x.tag, []).append(x)
+        if x.tag in BLOCKS:
+            self.blocks.append(x)
+
+    def close(self, x: Node) -> None:
+        """Ends ``x`` and all that is open in it."""
+        while len(self.path) > x.depth:
+            gone = self.path.pop()
+            self.tags[gone.tag].pop()
+            if gone.tag in BLOCKS:
+                self.blocks.pop()
+
+    def ended_by(self, tag: str) -> Node | None:
+        """The innermost element of that tag; an inline element's end tag does not reach out of a block."""
+        same = self.tags.get(tag)
+        x = same[-1] if same else None
+        return None if x is None or x.parent is None or tag not in BLOCKS and self.blocks[-1].depth > x.depth else x
+
+
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and misnested tags end where an enclosing element does."""
     root = Node("html", None)
-    at, pos, n = root, 0, len(page)
+    open_ = _Open(root)
+    pos, n = 0, len(page)
     while pos < n:
         m = _TOKEN.search(page, pos)
         if m is None:
-            at.items.append(page[pos:])
+            open_.path[-1].items.append(page[pos:])
             break
         if m.start() > pos:
-            at.items.append(page[pos : m.start()])
+            open_.path[-1].items.append(page[pos : m.start()])
         pos = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = at
-            while up is not None and up.tag != tag:
-                # An inline element's end tag does not reach out of a block.
-                up = None if up.tag in BLOCKS and tag not in BLOCKS else up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
+            ended = open_.ended_by(tag)
+            if ended is not None:
+                open_.close(ended)
             continue
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P:
-            up = at
-            while up is not None and up.tag != "p" and up.tag not in BLOCKS:
-                up = up.parent
-            if up is not None and up.tag == "p":
-                at = up.parent
-        if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and at.tag == tag:
-            at = at.parent
+        if tag in CLOSES_P and open_.blocks[-1].tag == "p":
+            open_.close(open_.blocks[-1])
+        if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and open_.path[-1].tag == tag:
+            open_.close(open_.path[-1])
+        at = open_.path[-1]
         node = Node(tag, at, _marked(tag, m[3]))
         at.items.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, pos)
+            end = re.compile(rf"</{tag}\b[^<>]*+>", re.IGNORECASE).search(page, pos)
             pos = end.end() if end else n
         elif tag not in VOID and not m[3].endswith("/"):
-            at = node
+            open_.add(node)
     return root
 
 
@@ -164,7 +188,7 @@ def main_text(page: str | None) -> str:
             blocks.append([])
         elif isinstance(x, str):
             blocks[-1].append(x)
-        elif x.dropped or _linked(x) and x is not best or x is not best and x.parent is best and x.density < threshold and x.link_chars > 0.5 * x.chars:
+        elif x.dropped or _linked(x) and x is not best or x is not best and x.density < threshold and x.link_chars > 0.5 * x.chars and x.tag in BLOCKS:
             if x.tag in BLOCKS:
                 blocks.append([])
         else:
