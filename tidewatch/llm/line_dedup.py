@@ -6,8 +6,9 @@ the smallest hashes of the shingles from each word's start (fewer characters at
 characters or more.  Every pair of sketch values is a band, so two lines meet if any two values agree; at a Jaccard similarity of
 0.8 that is 97 of 100 pairs, at 0.9 more than 99.  In a bucket each line is paired with the smallest one.  The lines of buckets that
 still lie in different components afterwards get a second signature from all their shingles, ``FINE_BANDS`` bands of ``FINE_ROWS``
-MinHash values, and a bucket for each two bands, which separates groups that the first ones mix; lines with equal sets are one there, and buckets are
-paired with one centre after another, the least changed line first, as long as that finds links (``stars``).  Pairs are confirmed by the
+MinHash values, and a bucket for each two bands, which separates groups that the first ones mix; lines with equal sets are one there, and each bucket is
+paired with one centre, the least changed line (``stars``).  Lines of buckets that are split even then are compared by an exact prefix-filter
+join.  Pairs are confirmed by the
 exact Jaccard similarity of their full shingle sets, and confirmed pairs are merged by distributed union-find.  The first line of a
 component, by document and line number, stays.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .prefix_join import candidate_pairs
 from .scratch import Scratch
 from .stars import link_buckets, split_buckets
 
@@ -26,8 +28,8 @@ BOTTOM = 4
 #: Words of so many characters are sketched from every start in them.
 LONG = 20
 PERCENT = 80
-#: The second signature.  Lines meet if two of its bands agree: of pairs at 0.8 that is 99 in 100; a given two bands agree at 0.6 in 5 of 100.
-FINE_BANDS, FINE_ROWS = 10, 3
+#: The second signature.  Lines meet if two of its bands agree: of pairs at 0.8 that is 99.7 in 100; a given two bands agree at 0.6 in 5 of 100.
+FINE_BANDS, FINE_ROWS = 12, 3
 
 
 def normalised(line: Column) -> Column:
@@ -37,7 +39,8 @@ def normalised(line: Column) -> Column:
 
 def sketched_hashes(norm: Column) -> Column:
     """Distinct hashes of the shingles that the sketch draws from, smallest first: from each word's start, and all within long words."""
-    grams = F.regexp_extract_all(norm, F.lit("(?s)(?:(?<![^ ])|(?=[^ ]{%d}))(?=([^ ].{0,%d}))" % (LONG, SHINGLE - 1)), 1)
+    # A match takes the rest of a word with it, or one character where a long word goes on.
+    grams = F.regexp_extract_all(norm, F.lit("(?s)(?=([^ ].{0,%d}))(?:[^ ]{1,%d}+(?![^ ])|[^ ])" % (SHINGLE - 1, LONG - 1)), 1)
     return F.sort_array(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g))))
 
 
@@ -72,10 +75,10 @@ def fine_keys(sets: DataFrame) -> DataFrame:
 
 
 def numbered_lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, no, norm, k, k2): every line that is not blank; k names the normalised line and k2 tells lines apart that share a k."""
+    """(doc, no, norm, k, k2): every line that is not blank; k names the normalised line and k2, by another seed, tells lines apart that share a k."""
     lines = documents.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("no", "line")).where("doc is not null")
     lines = lines.select("doc", "no", normalised(F.col("line")).alias("norm")).where("norm != ''")
-    return lines.withColumn("k", F.xxhash64("norm")).withColumn("k2", F.xxhash64("norm", F.lit(1)))
+    return lines.withColumn("k", F.xxhash64("norm")).withColumn("k2", F.xxhash64(F.lit(1), "norm"))
 
 
 def alike(pairs: DataFrame, norms: DataFrame) -> DataFrame:
@@ -104,11 +107,15 @@ def linked_lines(bucket: DataFrame, norms: DataFrame, scratch: Scratch) -> DataF
     rest = split_buckets(coarse, linked, scratch).select("k").distinct().join(norms, "k").where(F.length("norm") > SHINGLE)
     sets = scratch.save(rest.select("k", F.array_sort(F.array_distinct(shingle_hashes(F.col("norm")))).alias("s")))
     # Lines with the same set are one class, for which its smallest line goes on.
-    named = sets.select("k", F.xxhash64("s").alias("s1"), F.xxhash64("s", F.lit(1)).alias("s2"))
+    named = sets.select("k", F.xxhash64("s").alias("s1"), F.xxhash64(F.lit(1), "s").alias("s2"))
     classes = scratch.save(named.groupBy("s1", "s2").agg(F.min("k").alias("c")))
     linked = scratch.save(linked.unionByName(named.join(classes, ["s1", "s2"]).where("k != c").select("k", "c")))
     fine = scratch.save(fine_keys(sets.join(classes.select(F.col("c").alias("k")), "k", "left_semi")))
-    return link_buckets(fine, linked, lambda pairs: alike(pairs, norms), scratch)[0]
+    linked, left = link_buckets(fine, linked, lambda pairs: alike(pairs, norms), scratch, rounds=1)
+    # What shares a bucket with lines of other components even then is joined exactly: no pair in a bucket is given up.
+    rest = split_buckets(left, linked, scratch).select(F.col("k").alias("id"), "label").distinct()
+    exact = scratch.save(candidate_pairs(scratch.save(rest.join(sets.withColumnRenamed("k", "id"), "id")), PERCENT))
+    return linked.unionByName(alike(exact.select(F.col("b").alias("k"), F.col("a").alias("c")), norms))
 
 
 def duplicate_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,7 +137,7 @@ def duplicate_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str
     nos = need.groupBy(F.col("first.doc").alias("doc")).agg(F.sort_array(F.collect_set("first.no")).alias("nos")).select("doc", marked(F.col("nos")).alias("mark"))
     texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(nos, "doc")
     wanted = texts.select("mark", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(at(F.col("mark"), F.col("no")))
-    norms = wanted.select(normalised(F.col("line")).alias("norm")).select(F.xxhash64("norm").alias("k"), F.xxhash64("norm", F.lit(1)).alias("k2"), "norm")
+    norms = wanted.select(normalised(F.col("line")).alias("norm")).select(F.xxhash64("norm").alias("k"), F.xxhash64(F.lit(1), "norm").alias("k2"), "norm")
     norms = scratch.save(norms.join(need.select("k", "k2"), ["k", "k2"], "left_semi").dropDuplicates(["k"]).select("k", "norm"))
 
     linked = linked_lines(bucket, norms, scratch)

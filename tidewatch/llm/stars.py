@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .scratch import Scratch
 
-#: After two rounds, another one is taken as long as more than this share of the last one's pairs are links.
-WORTH = 0.005
-
-
 def split_buckets(members: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, k, label) of the buckets whose members (key, k) lie in different components of ``linked`` (k, c)."""
     label = connected_components(linked, scratch, "k", "c")
@@ -23,26 +19,25 @@ def split_buckets(members: DataFrame, linked: DataFrame, scratch: Scratch) -> Da
     return scratch.save(members.join(split, "key"))
 
 
-def link_buckets(members: DataFrame, linked: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, worth: float = WORTH) -> tuple[DataFrame, DataFrame]:
+def link_buckets(members: DataFrame, linked: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int) -> tuple[DataFrame, DataFrame]:
     """(``linked`` with the links that ``confirm`` finds among pairs (k, c), what is left of ``members`` (key, k) without the centres).
 
     In each round a bucket that is still split pairs its members with one centre.  A member's weight is with how many it shares
     buckets: the least changed one of a group has the most, so that one serves many buckets.  Later rounds take members in an
-    order of their own, the same in all buckets, so that buckets with the same members test the same pairs.
+    order of their own, the same in all buckets, so that buckets with the same members test the same pairs.  The caller sees to
+    what is left after ``rounds``.
     """
     size = scratch.save(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     shared = scratch.save(members.join(size, "key"))
     weight = scratch.save(shared.groupBy("k").agg(F.sum("size").alias("weight")))
     rest = shared.select("key", "k")
-    turn, tested, found = 0, 1, 1
-    while turn < 2 or found > worth * tested:
+    for turn in range(rounds):
         rest = scratch.save(split_buckets(rest, linked, scratch).join(weight, "k"))
         order = F.struct(F.xxhash64("k", F.lit(turn)), "k") if turn else F.struct("weight", "k")
         centre = scratch.save(rest.groupBy("key").agg(F.max_by(F.struct("k", "label"), order).alias("c")))
         rest = scratch.save(rest.join(centre, "key").where("k != c.k").select("key", "k", "label", "c"))
         pairs = scratch.save(rest.where("label != c.label").select(F.greatest("k", "c.k").alias("k"), F.least("k", "c.k").alias("c")).distinct())
         more = scratch.save(confirm(pairs))
-        turn, tested, found = turn + 1, pairs.count(), more.count()
         linked = scratch.save(linked.unionByName(more))
         rest = rest.select("key", "k")
     return linked, rest
