@@ -92,7 +92,8 @@ def _actors(spark, sf):
 
 
 q("J13_active_entities", f"SELECT id FROM ev WHERE \"user\" IN (SELECT \"user\" FROM ev WHERE timestamp > {_N} - INTERVAL 1 DAY)")(lambda e: j.active_entities(e, _now(e), 1).select("id"))
-q("J14_exclude_known", "SELECT DISTINCT \"user\" FROM ev WHERE source = 'error' AND \"user\" NOT IN (SELECT \"user\" FROM ev WHERE source = 'signup')")(lambda e: j.exclude_known(e.where("source = 'error'").select("user").distinct(), e.where("source = 'signup'").select("user").distinct(), ["user"]))
+q("J14_exclude_known", "SELECT DISTINCT \"user\", destination_ip FROM ev WHERE source = 'error' AND (\"user\", destination_ip) NOT IN (SELECT (\"user\", destination_ip) FROM ev WHERE source = 'signup')")(
+    lambda e: j.exclude_known(e.where("source = 'error'").select("user", "destination_ip").distinct(), e.where("source = 'signup'").select("user", "destination_ip").distinct(), ["user", "destination_ip"]))
 q("J15_prev_event", 'SELECT id, lag(id) OVER (PARTITION BY "user" ORDER BY timestamp, id) AS prev_id FROM ev')(lambda e: j.prev_event(e, "user", ["id"]).select("id", "prev_id"))
 
 # --- detections ------------------------------------------------------------------------------------------------------------
@@ -119,6 +120,17 @@ q("D7_login_baselines", f"""WITH act AS (SELECT DISTINCT "user" FROM ev WHERE ti
     lambda e: d.login_baselines(e, _now(e)).withColumn("mean", F.round("mean", 6)).withColumn("stddev", F.round("stddev", 6)))
 _BYTES = f"h AS (SELECT host AS entity_value, date_trunc('hour', timestamp) AS hour, sum(bytes)::DOUBLE AS x FROM ev WHERE timestamp >= {_N} - INTERVAL 30 DAY AND timestamp < {_N} GROUP BY 1, 2), bl AS (SELECT 'host' AS entity_type, entity_value, 'bytes_per_hour' AS feature, 30 AS window_days, avg(x) AS mean, coalesce(stddev_samp(x), 0) AS stddev, quantile_disc(x, 0.95) AS p95, count(*) AS sample_count FROM h GROUP BY 2)"
 q("D8_bytes_baselines", f"WITH {_BYTES} SELECT entity_type, entity_value, feature, window_days, round(mean, 4) AS mean, round(stddev, 4) AS stddev, p95, sample_count FROM bl")(lambda e: d.bytes_baselines(e, _now(e)).withColumn("mean", F.round("mean", 4)).withColumn("stddev", F.round("stddev", 4)))
+
+
+def _latest_hour(e):
+    """Each host's newest hour beside its baseline."""
+    past = e.where((F.col("timestamp") < _now(e)) & (F.col("timestamp") >= _now(e) - F.expr("interval 30 days")))
+    newest = d.hourly(past, "host", F.sum("bytes")).groupBy("entity_value").agg(F.max_by("x", "hour").alias("observed"))
+    observed = newest.select(F.lit("host").alias("entity_type"), "entity_value", F.lit("bytes_per_hour").alias("feature"), "observed")
+    return j.baseline_lookup(observed, d.bytes_baselines(e, _now(e))).select("entity_value", "observed", F.round("mean", 4).alias("mean"), "p95", "sample_count")
+
+
+q("J16_baseline_lookup", f"WITH {_BYTES}, o AS (SELECT entity_value, arg_max(x, hour) AS observed FROM h GROUP BY 1) SELECT entity_value, observed, round(mean, 4) AS mean, p95, sample_count FROM o JOIN bl USING (entity_value)")(_latest_hour)
 _Z = f"ob AS (SELECT entity_value, hour, x AS observed FROM h), zz AS (SELECT bl.entity_value, ob.hour, round((observed - mean) / stddev, 6) AS z FROM ob JOIN bl USING (entity_value) WHERE sample_count >= 20 AND (observed - mean) / stddev >= 2)"
 
 
@@ -225,10 +237,21 @@ def _findings(e):
     return fd.new_findings(groups, "brute", "Brute force", "high", "credential_access", "T1110")
 
 
-q("D20_findings_upsert", f"WITH {_FI} SELECT id, dedup_key, match_count * 2 AS match_count, last_seen, 35.0::DOUBLE AS risk_score FROM fi")(lambda e: fd.findings_upsert(_findings(e), _findings(e)).select("id", "dedup_key", "match_count", "last_seen", "risk_score"))
+def _part(e, rest: int, name: str, severity: str):
+    """Findings of a third of the failures, two of a user at least."""
+    groups = d.threshold_rule(e.where(F.col("event_id") % 3 == rest), _failed(), 2, "3650d", ["user"], _now(e))
+    return fd.new_findings(groups, "brute", name, severity, "credential_access", "T1110")
+
+
+_PART = "SELECT \"user\" AS u, count(*) AS n, min(timestamp) AS f, max(timestamp) AS l FROM ev WHERE event_type = 'authentication' AND outcome = 'failure' AND event_id % 3 = {} GROUP BY 1 HAVING count(*) >= 2"
+# Known findings and new ones: some on one side only, some on both with another severity.
+q("D20_findings_upsert", f"""WITH a AS ({_PART.format(0)}), b AS ({_PART.format(1)}) SELECT 'f-' || left(sha256('brute|' || coalesce(a.u, b.u)), 12) AS id, 'brute|' || coalesce(a.u, b.u) AS dedup_key, coalesce(a.n, 0) + coalesce(b.n, 0) AS match_count,
+ least(a.f, b.f) AS first_seen, greatest(a.l, b.l) AS last_seen, CASE WHEN b.u IS NULL THEN 35.0 ELSE 50.0 END::DOUBLE AS risk_score, CASE WHEN a.u IS NULL THEN 'critical' ELSE 'high' END AS severity FROM a FULL JOIN b ON a.u = b.u""")(
+    lambda e: fd.findings_upsert(_part(e, 0, "Brute force", "high"), _part(e, 1, "Brute force again", "critical")).select("id", "dedup_key", "match_count", "first_seen", "last_seen", "risk_score", "severity"))
 q("D21_query_table", f"WITH {_FI} SELECT id, title, match_count FROM fi WHERE severity = 'high' AND (title ILIKE '%U1%' OR host ILIKE '%u1%') AND risk_score >= 30 ORDER BY match_count DESC, id LIMIT 20")(lambda e: fd.query_table(_findings(e), {"severity": "high"}, {"title,host": "U1"}, {"risk_score": (30, None)}, sort="-match_count", limit=20).select("id", "title", "match_count"))
 q("D22_primary_entities", 'SELECT host, arg_min("user", (timestamp, id)) AS "user", arg_min(source_ip, (timestamp, id)) AS source_ip, arg_min(destination_ip, (timestamp, id)) AS destination_ip FROM ev GROUP BY host')(lambda e: fd.primary_entities(e, ["host"], ["timestamp", "id"]))
-q("D23_apply_suppression", f"WITH {_FI} SELECT id FROM fi WHERE detection_id <> 'other'")(lambda e: fd.apply_suppression(_findings(e), e.select(F.lit("other").alias("detection_id"))).select("id"))
+q("D23_apply_suppression", f"WITH {_FI} SELECT id, detection_id FROM fi")(
+    lambda e: fd.apply_suppression(_findings(e).unionByName(_findings(e).withColumns({"id": F.concat("id", F.lit("-2")), "detection_id": F.lit("noisy")})), e.select(F.lit("noisy").alias("detection_id"))).select("id", "detection_id"))
 _REL = "rl AS (SELECT DISTINCT f.id AS finding_id, o.id AS other_id, o.last_seen FROM fi f JOIN fi o ON f.id <> o.id AND (f.host = o.host OR f.\"user\" = o.\"user\" OR f.source_ip IN (o.source_ip, o.destination_ip) OR f.destination_ip IN (o.source_ip, o.destination_ip)) QUALIFY row_number() OVER (PARTITION BY f.id ORDER BY o.last_seen DESC, o.id) <= 5)"
 q("J12_related_findings", f"WITH {_FI}, r0 AS (SELECT DISTINCT f.id AS finding_id, o.id AS other_id, o.last_seen FROM fi f JOIN fi o ON f.id <> o.id AND (f.host = o.host OR f.\"user\" = o.\"user\" OR f.source_ip IN (o.source_ip, o.destination_ip) OR f.destination_ip IN (o.source_ip, o.destination_ip))) SELECT finding_id, other_id FROM r0 QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY last_seen DESC, other_id) <= 5")(lambda e: j.related_findings(_findings(e)))
 _FEV = f"""{_FI}, ne AS (SELECT DISTINCT fi.id AS finding_id, ev.id AS event_id, ev.timestamp AS t FROM fi JOIN ev ON ev.timestamp BETWEEN fi.last_seen - INTERVAL 1 HOUR AND fi.last_seen + INTERVAL 1 HOUR AND (ev."user" = fi."user" OR ev.host = fi.host OR ev.source_ip IN (fi.source_ip, fi.destination_ip) OR ev.destination_ip IN (fi.source_ip, fi.destination_ip))),
@@ -241,7 +264,18 @@ def _finding_events(e):
 
 q("J11_finding_events", f"WITH {_FEV} SELECT * FROM lk")(_finding_events)
 q("A17_finding_posture", f"WITH {_FI} SELECT 'severity' AS kind, severity AS name, count(*) AS count FROM fi GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM fi GROUP BY 2 UNION ALL SELECT 'open', '', count(*) FROM fi WHERE status = 'new' HAVING count(*) > 0")(lambda e: fd.finding_posture(_findings(e)))
-q("A18_finding_timeline", f"WITH {_FI} SELECT date_trunc('day', first_seen) AS bucket, count(*) AS total, 0 AS critical, count(*) AS high, 0 AS medium, 0 AS low FROM fi GROUP BY 1")(lambda e: fd.finding_timeline(_findings(e), 86400).withColumn("bucket", F.col("bucket").cast("timestamp_ntz")))
+
+
+def _three_rules(e):
+    """Findings of users, hosts and addresses, each rule with a severity of its own."""
+    rules = (("user", "high", 3), ("host", "medium", 5), ("source_ip", "critical", 2))
+    groups = [fd.new_findings(d.threshold_rule(e, _failed(), least, "3650d", [key], _now(e)), key, key, severity) for key, severity, least in rules]
+    return groups[0].unionByName(groups[1]).unionByName(groups[2])
+
+
+_RULE = "SELECT date_trunc('day', min(timestamp)) AS bucket, '{}' AS severity FROM ev WHERE event_type = 'authentication' AND outcome = 'failure' GROUP BY {} HAVING count(*) >= {}"
+q("A18_finding_timeline", f"WITH f AS ({_RULE.format('high', '"user"', 3)} UNION ALL {_RULE.format('medium', 'host', 5)} UNION ALL {_RULE.format('critical', 'source_ip', 2)}) SELECT bucket, count(*) AS total, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, 0 AS low FROM f GROUP BY 1")(
+    lambda e: fd.finding_timeline(_three_rules(e), 86400).withColumn("bucket", F.col("bucket").cast("timestamp_ntz")))
 q("A19_active_techniques", f"WITH {_FI} SELECT 'credential_access' AS mitre_tactic, 'T1110' AS mitre_technique, count(*) AS count FROM fi HAVING count(*) > 0")(lambda e: fd.active_techniques(_findings(e)))
 
 
@@ -316,7 +350,10 @@ full("I1_indicators", "WITH b AS (SELECT value, max(confidence * reliability) AS
     lambda e, a_, m, n, x: i.indicators(n.select("type", "value", "severity", "confidence", F.col("feed").alias("source"), "reliability", F.col("indicator_id").alias("seen"))).select("indicator_id", "confidence", "n_sources", "severity"))
 full("I2_indicator_confidence", "WITH b AS (SELECT value, max(confidence * reliability) AS b, count(DISTINCT feed) AS n FROM ind GROUP BY 1) SELECT value AS indicator_id, round(CASE WHEN n = 1 THEN b * 0.8 ELSE b END, 3) AS confidence FROM b")(lambda e, a_, m, n, x: i.indicator_confidence(n.select(F.col("value").alias("indicator_id"), F.col("feed").alias("source"), "confidence", "reliability")))
 full("I3_indicator_hits", f"WITH {_MATCH} SELECT indicator_id, count(DISTINCT mt.id) AS hit_count, max(timestamp) AS last_seen FROM mt JOIN ev USING (id) GROUP BY 1")(lambda e, a_, m, n, x: i.indicator_hits(j.ti_match(e, n), e))
-full("I4_cooccurrence", f"WITH {_MATCH}, f AS (SELECT id, min(indicator_id) AS first FROM mt GROUP BY 1) SELECT first, indicator_id AS other, count(DISTINCT id) AS events FROM mt JOIN f USING (id) WHERE indicator_id <> first GROUP BY 1, 2")(lambda e, a_, m, n, x: i.indicator_cooccurrence(j.ti_match(e, n)))
+# Indicators of addresses and of users: an event may hold one of each.
+_TWO = f"{_MATCH}, m2 AS (SELECT id, indicator_id FROM mt UNION SELECT id, indicator_id + 1000000 FROM ev JOIN ind ON \"user\" = 'u' || indicator_id)"
+full("I4_cooccurrence", f"WITH {_TWO}, f AS (SELECT id, min(indicator_id) AS first FROM m2 GROUP BY 1) SELECT first, indicator_id AS other, count(DISTINCT id) AS events FROM m2 JOIN f USING (id) WHERE indicator_id <> first GROUP BY 1, 2")(
+    lambda e, a_, m, n, x: i.indicator_cooccurrence(j.ti_match(e, n.unionByName(n.withColumns({"value": F.concat(F.lit("u"), "indicator_id"), "type": F.lit("user"), "indicator_id": F.col("indicator_id") + 1000000})))))
 full("I5_mark_events", f"WITH {_MATCH}, g AS (SELECT id, string_agg(DISTINCT indicator_id::VARCHAR, ',' ORDER BY indicator_id::VARCHAR) AS t, max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS s FROM mt GROUP BY 1) SELECT id, t AS threat_indicators, ['low', 'medium', 'high', 'critical'][s] AS threat_severity FROM ev LEFT JOIN g USING (id)")(
     lambda e, a_, m, n, x: i.mark_events(e, j.ti_match(e, n)).select("id", F.array_join(F.sort_array(F.transform("threat_indicators", lambda v: v.cast("string"))), ",").alias("threat_indicators"), "threat_severity"))
 full("I6_indicator_lookup", "SELECT DISTINCT v.value, indicator_id, confidence FROM (SELECT DISTINCT source_ip AS value FROM ev) v JOIN ind USING (value) QUALIFY row_number() OVER (PARTITION BY v.value ORDER BY confidence DESC, indicator_id) <= 3")(lambda e, a_, m, n, x: i.indicator_lookup(e.select(F.col("source_ip").alias("value")).distinct(), n, 3))
@@ -393,7 +430,9 @@ graph("G16_snapshot", _SNAP.format(nodes=1000) + "SELECT sn.node, depth, cm.stat
 graph("G16_snapshot_edges", _SNAP.format(nodes=60) + """SELECT src, dst, relation, status AS state, crosses, cm.state AS compromise FROM (
   SELECT cb.* FROM cb JOIN sn a ON a.node = src JOIN sn b ON b.node = dst ORDER BY greatest(a.depth, b.depth), least(a.depth, b.depth), CASE status WHEN 'observed' THEN 0 WHEN 'inferred' THEN 1 WHEN 'potential' THEN 2 ELSE 3 END, src, dst, relation LIMIT 80)
   LEFT JOIN cm ON cm.node = dst""")(lambda e, n, a_: g.snapshot(e, _root(e, "host:h3"), g_comp(e, n, a_), a_, nodes=60, n_edges=80)[1])
-graph("G18_node_what_next", f"WITH {_LK} SELECT DISTINCT 'edge' AS kind, dst AS what FROM lk WHERE src = 'host:h2'")(lambda e, n, a_: g.node_what_next(e, e.sparkSession.createDataFrame([], "host string, status string, technique string"), "host:h2"))
+# Each host's processes stand for the techniques of its runs.
+graph("G18_node_what_next", f"WITH {_LK} SELECT DISTINCT 'edge' AS kind, dst AS what FROM lk WHERE src = 'host:h2' UNION SELECT 'technique', 'T' || upper(to_value) FROM state WHERE from_type = 'host' AND from_value = 'h2' AND to_type = 'process' AND to_value <> 'p1'")(
+    lambda e, n, a_: g.node_what_next(e, e.where("from_type = 'host' and to_type = 'process'").select(F.col("from_value").alias("host"), F.when(F.col("to_value") != "p1", "expected").otherwise("observed").alias("status"), F.concat(F.lit("T"), F.upper("to_value")).alias("technique")), "host:h2"))
 graph("G19_graph_brief", f"WITH {_CS} SELECT src, dst, relation FROM lk WHERE 'host:h4' IN (src, dst) ORDER BY src, dst, relation LIMIT 25")(lambda e, n, a_: g.graph_brief(e, g_comp(e, n, a_), ["h4"]).select("src", "dst", "relation"))
 graph("G20_entity_neighbors", f"WITH {_LK}, b AS (SELECT src, dst FROM lk UNION ALL SELECT dst, src FROM lk) SELECT y.dst AS node, count(*) AS paths FROM b x JOIN b y ON x.dst = y.src WHERE x.src = 'host:h3' GROUP BY 1")(lambda e, n, a_: g.entity_neighbors(e, "host:h3"))
 
@@ -458,7 +497,9 @@ q("S11_regex", r"SELECT message, source AS verb, \"user\" AS who FROM ev".replac
 q("S14_provenance", "SELECT id, 'p' AS parser, json_extract_string(attributes, '$.k') AS k FROM ev")(lambda e: src.stamp_provenance(e, "p", "1", "c").select("id", F.get_json_object("attributes", "$.parser").alias("parser"), F.get_json_object("attributes", "$.k").alias("k")))
 q("S17_canonical", 'SELECT id, timestamp AS received_at, "user", host FROM ev')(lambda e: src.canonical_events(e.select("id", "timestamp", F.col("user").alias("username"), F.col("host").alias("hostname")), {"timestamp": "cast(timestamp as timestamp)"}).select("id", F.col("received_at").cast("timestamp_ntz").alias("received_at"), "user", "host"))
 q("S18_event_to_map", "SELECT id, host, json_extract_string(attributes, '$.k') AS k FROM ev")(lambda e: src.event_to_map(e).select("id", F.col("fields")["host"].alias("host"), F.col("fields")["attr.k"].alias("k")))
-q("S19_source_class", "SELECT id, 'generic' AS source_class FROM ev")(lambda e: e.select("id", src.source_class(e).alias("source_class")))
+_CLASS = "CASE event_id % 5 WHEN 0 THEN 'os.linux.sshd' WHEN 1 THEN 'NET.FLOW' WHEN 2 THEN 'no.such.class' WHEN 3 THEN 'os.windows.sysmon' END"
+q("S19_source_class", f"SELECT id, CASE WHEN event_id % 5 IN (1, 2) THEN 'generic' ELSE coalesce({_CLASS}, 'generic') END AS source_class FROM ev")(
+    lambda e: (x := e.withColumn("attributes", F.to_json(F.struct(F.expr(_CLASS).alias("source_class"))))).select("id", src.source_class(x).alias("source_class")))
 
 
 @query("S16_write_events", "SELECT id, host FROM ev")

@@ -21,9 +21,10 @@ KINDS = {x.split()[0]: x.split()[1] for x in SCHEMA.split(", ")}
 _CHAINS = {"message": ("message", "msg", "log"), "host": ("host", "hostname"), "severity": ("severity", "level", "severity_level"), "timestamp": ("timestamp", "@timestamp", "time"), "event_type": ("event_type", "type")}
 #: Source classes.
 CLASSES = (
-    "auditd journal sshd sudo cron syslog windows.security windows.system windows.application windows.sysmon windows.powershell macos.unified edr.process edr.file edr.network "
-    "net.firewall net.flow net.dns net.dhcp net.proxy net.ids net.vpn web.access web.error web.waf db.audit db.error mail.gateway cloud.audit cloud.identity cloud.network "
-    "container.runtime container.audit identity.directory identity.sso app.log app.audit generic"
+    "os.windows.security os.windows.sysmon os.windows.powershell os.windows.defender os.windows.dns os.windows.rdp os.windows.kerberos "
+    "os.macos.unified os.macos.launchd os.macos.endpoint os.linux.auditd os.linux.auth os.linux.sshd os.linux.sudo os.linux.journal os.linux.syslog "
+    "os.solaris.audit os.generic web.access web.error db.log identity.log application.generic "
+    "net.firewall net.ids net.dns net.dhcp net.flow net.vpn net.proxy cloud.audit cloud.flow cloud.iam container.runtime k8s.audit mainframe.smf mainframe.racf generic"
 ).split()
 
 
@@ -157,7 +158,7 @@ def event_to_map(df: DataFrame) -> DataFrame:
 
 def source_class(df: DataFrame) -> Column:
     """The event's own source_class where it is a known one, else generic."""
-    x = F.lower(F.get_json_object("attributes", "$['source_class']"))
+    x = F.get_json_object("attributes", "$['source_class']")
     return F.when(x.isin(*CLASSES), x).otherwise("generic")
 
 
