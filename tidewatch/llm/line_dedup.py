@@ -115,7 +115,9 @@ def linked_lines(bucket: DataFrame, norms: DataFrame, scratch: Scratch) -> DataF
     # What shares a bucket with lines of other components even then is joined exactly: no pair in a bucket is given up.
     rest = split_buckets(left, linked, scratch).select(F.col("k").alias("id"), "label").distinct()
     exact = scratch.save(candidate_pairs(scratch.save(rest.join(sets.withColumnRenamed("k", "id"), "id")), PERCENT))
-    return linked.unionByName(alike(exact.select(F.col("b").alias("k"), F.col("a").alias("c")), norms))
+    out = scratch.save(linked.unionByName(alike(exact.select(F.col("b").alias("k"), F.col("a").alias("c")), norms)))
+    scratch.drop(sets, classes, fine, exact)
+    return out
 
 
 def duplicate_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,6 +143,7 @@ def duplicate_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str
     norms = scratch.save(norms.join(need.select("k", "k2"), ["k", "k2"], "left_semi").dropDuplicates(["k"]).select("k", "norm"))
 
     linked = linked_lines(bucket, norms, scratch)
+    scratch.drop(bucket, norms)
     component = connected_components(linked, scratch, "k", "c").select(F.col("node").alias("k"), "component")
     company = component.join(need.select("k", "k2"), "k")
     # Lines with company: the component's first occurrence stays.

@@ -6,22 +6,17 @@ back.  The folder is ``spark.checkpoint.dir`` of the session; only where that is
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scratch import new_folder, removed
+
 
 class Scratch:
     """A folder of its own for one operator call; ``save`` writes and rereads, ``drop`` removes what is no longer read."""
 
     def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-            spark.sparkContext.setCheckpointDir(root)
         self.spark = spark
-        self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, name)
         self.n = 0
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -33,6 +28,7 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables of ``save`` that nothing reads any more."""
+        for df in tables:
+            removed(self.spark, df._scratch_path)

@@ -16,7 +16,9 @@ def split_buckets(members: DataFrame, linked: DataFrame, scratch: Scratch) -> Da
     members = members.join(label.select(F.col("node").alias("k"), "component"), "k", "left").select("key", "k", F.coalesce("component", "k").alias("label"))
     members = scratch.save(members)
     split = scratch.save(members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
-    return scratch.save(members.join(split, "key"))
+    out = scratch.save(members.join(split, "key"))
+    scratch.drop(members, split)
+    return out
 
 
 def link_buckets(members: DataFrame, linked: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -32,14 +34,17 @@ def link_buckets(members: DataFrame, linked: DataFrame, confirm: Callable[[DataF
     weight = scratch.save(shared.groupBy("k").agg(F.sum("size").alias("weight")))
     rest = shared.select("key", "k")
     for turn in range(rounds):
-        rest = scratch.save(split_buckets(rest, linked, scratch).join(weight, "k"))
+        still = split_buckets(rest, linked, scratch)
+        ranked = scratch.save(still.join(weight, "k"))
         order = F.struct(F.xxhash64("k", F.lit(turn)), "k") if turn else F.struct("weight", "k")
-        centre = scratch.save(rest.groupBy("key").agg(F.max_by(F.struct("k", "label"), order).alias("c")))
-        rest = scratch.save(rest.join(centre, "key").where("k != c.k").select("key", "k", "label", "c"))
-        pairs = scratch.save(rest.where("label != c.label").select(F.greatest("k", "c.k").alias("k"), F.least("k", "c.k").alias("c")).distinct())
+        centre = scratch.save(ranked.groupBy("key").agg(F.max_by(F.struct("k", "label"), order).alias("c")))
+        around = scratch.save(ranked.join(centre, "key").where("k != c.k").select("key", "k", "label", "c"))
+        scratch.drop(still, ranked, centre, size if turn == 0 else last, *([shared] if turn == 0 else []))
+        pairs = scratch.save(around.where("label != c.label").select(F.greatest("k", "c.k").alias("k"), F.least("k", "c.k").alias("c")).distinct())
         more = scratch.save(confirm(pairs))
         linked = scratch.save(linked.unionByName(more))
-        rest = rest.select("key", "k")
+        scratch.drop(pairs, more)
+        rest, last = around.select("key", "k"), around
     return linked, rest
 
 
