@@ -81,14 +81,15 @@ def tokens(*columns: str) -> Column:
 
 def text_search(df: DataFrame, terms: str, columns: tuple[str, ...] = ("message", "attributes")) -> DataFrame:
     """Rows that hold all terms as whole words; a term of several words holds as a phrase, and '*' alone matches all."""
-    there = [x for x in columns if x in df.columns]
-    tests = []
+    low = F.lower(F.concat_ws(" ", *[x for x in columns if x in df.columns]))
+    held, whole = [], []
     for term in terms.split():
         words = [w for w in re.split(r"[^\w]|_", term.lower()) if w]
         if words:
-            # Words joined by one space between borders, so that a phrase is a substring.
-            tests.append(F.concat(F.lit(" "), F.array_join(tokens(*there), " "), F.lit(" ")).contains(" " + " ".join(words) + " "))
-    return df.where(reduce(and_, tests, F.lit(True)))
+            # Plain substrings rule out most rows before a pattern is looked for.
+            held += [low.contains(w) for w in words]
+            whole.append(low.rlike(rf"(?<![\p{{L}}\p{{N}}]){r'[^\p{L}\p{N}]+'.join(words)}(?![\p{{L}}\p{{N}}])"))
+    return df.where(reduce(and_, [*held, *whole], F.lit(True)))
 
 
 def index_filter(df: DataFrame, value: str, negate: bool = False) -> DataFrame:

@@ -107,7 +107,7 @@ def links(edges: DataFrame, states: tuple[str, ...] | None = None, directed: boo
 
 def bfs(edges: DataFrame, roots: DataFrame, depth: int = 4, states: tuple[str, ...] | None = None, directed: bool = False) -> DataFrame:
     """(node, depth): the first level, up to ``depth``, at which each node is met from ``roots`` (node)."""
-    e = links(edges, states, directed).select("src", "dst").distinct()
+    e = _cut(links(edges, states, directed).select("src", "dst").distinct())  # each level reads it again
     seen = roots.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for d in range(1, depth + 1):

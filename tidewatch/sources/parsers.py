@@ -119,7 +119,10 @@ def cef(x: Column) -> Column:
 
     def body(part: Column) -> Column:
         ext = F.coalesce(F.get(part, F.lit(7)), F.lit(""))
-        m = _pairs(F.regexp_extract_all(ext, F.lit(_PAIR), 1), F.transform(F.regexp_extract_all(ext, F.lit(_PAIR), 2), lambda v: _unescaped(v)))
+        # The pairs are found once, and cut at their first equals sign.
+        key = lambda p: F.btrim(F.substring_index(p, "=", 1), F.lit(" \t\n\x0b\f\r"))
+        value = lambda p: _unescaped(F.substring(p, F.locate("=", p) + 1, F.length(p)))
+        m = let(F.regexp_extract_all(ext, F.lit(_PAIR), 0), lambda z: _pairs(F.transform(z, key), F.transform(z, value)))
         return let(m, lambda m: event(part, m))
 
     def event(part: Column, m: Column) -> Column:
