@@ -118,6 +118,9 @@ q("A24_distinct_values", "SELECT DISTINCT json_extract_string(attributes, '$.k')
 q("A25_field_catalog", "SELECT unnest(['event_id','id','timestamp','source','source_type','host','user','source_ip','destination_ip','process','event_type','outcome','severity','message','attributes','value','bytes','index']) AS name UNION SELECT DISTINCT unnest(json_keys(attributes)) FROM ev")(s.field_catalog)
 
 q("W1_streamstats", 'SELECT id, count(*) OVER w AS count, max(value) OVER w AS max_value FROM ev WINDOW w AS (PARTITION BY "user" ORDER BY timestamp, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)')(lambda e: s.streamstats(e, ["count", ("max", "value")], ["user"], ["timestamp", "id"], 5).select("id", "count", "max_value"))
+# Over all events, in ranges of their order: the running form, and the last five rows.
+q("W1_streamstats_all", "SELECT id, count(*) OVER w AS count, (sum(bytes) OVER w)::BIGINT AS sum_bytes, max(bytes) OVER w AS max_bytes, min(bytes) OVER l AS min_last FROM ev WINDOW w AS (ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING), l AS (ORDER BY timestamp, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")(
+    lambda e: s.streamstats(s.streamstats(e, ["count", ("sum", "bytes"), ("max", "bytes")], [], ["timestamp", "id"]), [("min", "bytes", "min_last")], [], ["timestamp", "id"], 5).select("id", "count", "sum_bytes", "max_bytes", "min_last"))
 q("W2_dedup", "SELECT host, source, id FROM ev QUALIFY row_number() OVER (PARTITION BY host, source ORDER BY timestamp, id) = 1")(lambda e: s.dedup(e.select("host", "source", "id", "timestamp"), ["host", "source"], ["timestamp", "id"]).select("host", "source", "id"))
 q("W3_top_n_per_key", "SELECT host, id, value FROM ev QUALIFY row_number() OVER (PARTITION BY host ORDER BY value DESC, id) <= 3")(lambda e: s.top_n_per_key(e.select("host", "id", "value"), ["host"], [F.desc("value"), "id"], 3))
 q("W4_rolling_counts", """SELECT id, (count(*) FILTER (outcome = 'failure') OVER w)::BIGINT AS failures, (count(*) FILTER (source = 'view') OVER w)::BIGINT AS views FROM ev WINDOW w AS (PARTITION BY "user" ORDER BY timestamp RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW)""")(
