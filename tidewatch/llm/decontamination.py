@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import kept
+
 WINDOW = 13
 #: Bytes of benchmark text in one automaton.  A larger benchmark is scanned for in several blocks, each with its own automaton.
 BLOCK_BYTES = 8 << 20
@@ -133,8 +135,8 @@ def contamination(
             out["spans"] = [[{"start": a, "end": b} for a, b in r[3]] for r in rows]
             yield out
 
-    kept = [F.col(c) for c in dict.fromkeys((id_col, *keep))]
-    src = documents.select(*kept, F.col(text_col).alias("__text"))
+    kept_columns = [F.col(c) for c in kept(id_col, keep, "n_words", "n_hit", "items", "spans", "contaminated")]
+    src = documents.select(*kept_columns, F.col(text_col).alias("__text"))
     schema = src.drop("__text").schema
     for name, kind in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("spans", T.ArrayType(_SPAN))):
         schema = schema.add(name, kind)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import kept
+
 # Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never part of the text; the first four hold raw text up to their own end tag.
@@ -210,7 +212,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
         for pdf in batches:
             yield pdf.drop(columns="__html").assign(text=[main_text(h) for h in pdf["__html"]])
 
-    src = pages.select(*[F.col(c) for c in dict.fromkeys((id_col, *keep))], F.col(html_col).alias("__html"))
+    src = pages.select(*[F.col(c) for c in kept(id_col, keep, "text")], F.col(html_col).alias("__html"))
     return src.mapInPandas(run, src.drop("__html").schema.add("text", T.StringType()))
 
 

@@ -398,7 +398,8 @@ def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", tex
     """For each row of ``documents``: id, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     Counts and the network come from all rows of ``training``.  Null and empty texts are one end token.  Rows stand for themselves,
-    so repeated or null ids are scored row by row; with no training rows every token is unseen and both scores are 0.
+    so repeated or null ids are scored row by row; with no training rows every token is
+    unseen: base_score is 0, and score is that of a coin for each token, log10(0.5).
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "language-model")

@@ -161,14 +161,14 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A null text stays null with no lines; an empty text has one empty line.  Blank lines stay, and rows with a null id keep all
     their lines.  Rows that share an id are one document at each line number: of repeated rows all keep the same
-    lines.  Other columns pass through unread, whatever their names.
+    lines.  Other columns pass through unread; one that is named like an output gives way to it.
     """
     gone = duplicate_lines(documents, id_col, text_col).select(F.col("doc").alias("__doc"), "gone").select("__doc", F.size("gone").alias("__n"), marked(F.col("gone")).alias("__gone"))
     out = documents.join(gone, F.col(id_col).cast("long") == F.col("__doc"), "left")
     lines = F.split(text_col, "\n")
     left = F.filter(lines, lambda _, i: ~at(F.col("__gone"), i))
     cut = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    columns = [cut.alias(c) if c == text_col else F.col(c) for c in documents.columns]
+    columns = [cut.alias(c) if c == text_col else F.col(c) for c in documents.columns if c not in ("n_lines", "n_removed")]
     return out.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("__n", F.lit(0)).cast("long").alias("n_removed"))
 
 

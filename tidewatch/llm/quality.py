@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .words import as_bytes, mix, slices, word_hashes
+from .words import as_bytes, kept, mix, slices, word_hashes
 
 #: Labelled rows that are learned from, at most: those with the smallest hash of their id.
 MAX_LABELLED = 20_000
@@ -117,7 +117,7 @@ def score(documents: DataFrame, weights: np.ndarray, id_col: str = "doc_id", tex
                 out.append(linear.sigmoid(linear.dots(shared.value, *features(texts[a:b]))))
             yield pdf.drop(columns="__text").assign(score=np.concatenate(out) if out else [])
 
-    src = documents.select(*[F.col(c) for c in dict.fromkeys((id_col, *keep))], F.col(text_col).alias("__text"))
+    src = documents.select(*[F.col(c) for c in kept(id_col, keep, "score")], F.col(text_col).alias("__text"))
     return src.mapInPandas(run, src.drop("__text").schema.add("score", "double"))
 
 

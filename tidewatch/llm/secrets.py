@@ -17,14 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import kept
+
 # Fixed patterns: the three kinds of base span, in the order in which equal starts are listed.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}", re.ASCII)
 _HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-#: Where a candidate of its own may start, and its least length.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~$.-]{16,}", re.ASCII)
+#: The least length of a candidate of its own, and what one is made of.
+LEAST = 16
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~$.-]{%d,}" % LEAST, re.ASCII)
 _CONTEXT = re.compile(r"secret|passw|passphrase|token|credential|api.?key|access.?key|private|auth|bearer|signature|salt|pwd", re.IGNORECASE | re.ASCII)
 #: Names with their "=" at the front of a candidate: what follows is the value.
 _NAME = re.compile(r"(?:[A-Za-z_~$.-][\w~$.-]*=(?!=))+", re.ASCII)
@@ -76,8 +79,19 @@ class Novelty:
         return max(0, len(self.compressor.compress(both)) - len(self.compressor.compress(around))) / len(candidate)
 
 
+def _uncovered(a: int, b: int, covered: list[list[int]], at: int) -> list[tuple[int, int]]:
+    """The parts of a..b outside ``covered``, sorted spans without overlaps of which those before ``at`` end before a."""
+    out = []
+    while at < len(covered) and covered[at][0] < b:
+        if covered[at][0] > a:
+            out.append((a, covered[at][0]))
+        a = max(a, covered[at][1])
+        at += 1
+    return [*out, (a, b)] if a < b else out
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Incompressible strings in a sensitive context that do not overlap a span in ``taken``."""
+    """Incompressible strings in a sensitive context; of one that runs into a span in ``taken``, the parts outside that are long enough."""
     out = []
     covered: list[list[int]] = []  # what the spans cover, without overlaps
     for x, _, y in sorted(taken):
@@ -89,17 +103,18 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty)
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
         name = _NAME.match(text, a, b)
-        if name and b - name.end() >= 16:
+        if name and b - name.end() >= LEAST:
             a = name.end()
-        s = text[a:b]
         while at < len(covered) and covered[at][1] <= a:
             at += 1
-        if at < len(covered) and covered[at][0] < b or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-            continue
-        if not _CONTEXT.search(text, max(0, a - SENSITIVE), a) or _entropy(s) < ENTROPY:
-            continue
-        if novelty.cost(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= NOVELTY:
-            out.append((a, 3, b))
+        for x, y in _uncovered(a, b, covered, at):
+            s = text[x:y]
+            if y - x < LEAST or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+                continue
+            if not _CONTEXT.search(text, max(0, x - SENSITIVE), x) or _entropy(s) < ENTROPY:
+                continue
+            if novelty.cost(text[max(0, x - AROUND) : x], s, text[y : y + AROUND]) >= NOVELTY:
+                out.append((x, 3, y))
     return out
 
 
@@ -131,7 +146,7 @@ def secret_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base + extra)])
             yield pdf.drop(columns="__text").assign(spans=out)
 
-    src = documents.select(*[F.col(c) for c in dict.fromkeys((id_col, *keep))], F.col(text_col).alias("__text"))
+    src = documents.select(*[F.col(c) for c in kept(id_col, keep, "spans")], F.col(text_col).alias("__text"))
     return src.mapInPandas(run, src.drop("__text").schema.add("spans", T.ArrayType(_SPAN)))
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import as_bytes, mix, slices, word_hashes
+from .words import as_bytes, kept, mix, slices, word_hashes
 
 BITS = 128
 #: Rows that one range of ids holds, about; the ranges only steer where rows go.
@@ -56,7 +56,7 @@ def fingerprint(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for pdf in batches:
             yield pdf.drop(columns="__text").assign(fingerprint=[f.tobytes().hex() for f in fingerprints([as_bytes(t) for t in pdf["__text"]])])
 
-    src = documents.select(*[F.col(c) for c in dict.fromkeys((id_col, *keep))], F.col(text_col).alias("__text"))
+    src = documents.select(*[F.col(c) for c in kept(id_col, keep, "fingerprint")], F.col(text_col).alias("__text"))
     return src.mapInPandas(run, src.drop("__text").schema.add("fingerprint", "string"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import linear
-from .words import as_bytes, mix, slices, word_hashes
+from .words import as_bytes, kept, mix, slices, word_hashes
 
 #: Labelled rows that are learned from, at most: those with the smallest hash of their id.
 MAX_LABELLED = 8_000
@@ -167,7 +167,7 @@ def score(documents: DataFrame, chain: Chain, id_col: str = "doc_id", text_col:
                 out[f"p_{name}"] = p[:, k]
             yield out
 
-    src = documents.select(*[F.col(c) for c in dict.fromkeys((id_col, *keep))], F.col(text_col).alias("__text"))
+    src = documents.select(*[F.col(c) for c in kept(id_col, keep, *(f"p_{c}" for c in chain.categories))], F.col(text_col).alias("__text"))
     schema = src.drop("__text").schema
     for name in chain.categories:
         schema = schema.add(f"p_{name}", T.DoubleType())

@@ -96,3 +96,8 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     for i in range(k):
         s = mix(s * np.uint64(0xD6E8FEB86659FD93) + h[i : len(h) - k + 1 + i])
     return np.unique(s)
+
+
+def kept(id_col: str, keep: tuple[str, ...], *outputs: str) -> list[str]:
+    """The columns of a row that pass through an operator, each once: one that is named like an output gives way to it."""
+    return [c for c in dict.fromkeys((id_col, *keep)) if c == id_col or c not in (*outputs, "__text", "__html")]
