@@ -20,18 +20,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _aside(docs: DataFrame, *own: str) -> tuple[DataFrame, tuple[str, ...], dict]:
+    """``docs`` with its columns but doc_id and ``own`` under names that no operator uses, those names, and each column back."""
+    names = {c: f"__kept{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", *own)}
+    rows = docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in names.items()])
+    return rows, tuple(names.values()), {c: F.col(names.get(c, c)).alias(c) for c in docs.columns}
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, learned from the labelled rows of ``documents``, does not reject."""
     chain = toxicity.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
-    scored = toxicity.score(docs, chain, keep=tuple(docs.columns))
-    return scored.where(F.col("p_toxic") < toxicity.THRESHOLD).select(docs.columns)
+    rows, names, back = _aside(docs)
+    return toxicity.score(rows, chain, keep=names).where(F.col("p_toxic") < toxicity.THRESHOLD).select(*back.values())
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that stand elsewhere; a document that loses all its text goes, one that had none stays."""
-    out = line_dedup.dedup_lines(docs)
-    left = out.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    return left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+    rows, _, back = _aside(docs, "text")
+    left = line_dedup.dedup_lines(rows).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    length = F.when(F.col("n_removed") == 0, back["n_chars"]).otherwise(F.length("text").cast("long"))
+    return left.select(*(back | {"n_chars": length.alias("n_chars")}).values())
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +50,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by ``benchmark``."""
-    out = decontamination.contamination(docs, _table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return out.where("not contaminated").select(docs.columns)
+    rows, names, back = _aside(docs)
+    return decontamination.contamination(rows, _table(spark, sf_dir, "benchmark"), keep=names).where("not contaminated").select(*back.values())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
