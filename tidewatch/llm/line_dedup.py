@@ -33,8 +33,12 @@ FINE_BANDS, FINE_ROWS = 12, 3
 
 
 def normalised(line: Column) -> Column:
-    """Lower-cased, trimmed, with each run of white space as one space; runs that are one space already are not touched."""
-    return F.trim(F.regexp_replace(F.lower(line), r"\s{2,}|[^\S ]", " "))
+    """Lower-cased, trimmed, with each run of white space as one space; the pattern is run only where there is such a run or another space."""
+    low = F.lower(line)
+    odd = low.contains("  ")
+    for space in "\t\n\x0b\f\r":
+        odd = odd | low.contains(space)
+    return F.trim(F.when(odd, F.regexp_replace(low, r"\s{2,}|[^\S ]", " ")).otherwise(low))
 
 
 def sketched_hashes(norm: Column) -> Column:
