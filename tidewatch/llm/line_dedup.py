@@ -108,7 +108,8 @@ def linked_lines(bucket: DataFrame, norms: DataFrame, scratch: Scratch) -> DataF
     """(k, c): confirmed links between the lines of ``bucket`` (key, k, c), whose first centres are c."""
     linked = scratch.save(alike(bucket.select("k", "c").distinct(), norms))
     coarse = bucket.select("key", "k").unionByName(bucket.select("key", F.col("c").alias("k")).distinct())
-    rest = split_buckets(coarse, linked, scratch).select("k").distinct().join(norms, "k").where(F.length("norm") > SHINGLE)
+    rest, linked = split_buckets(coarse, linked, scratch)
+    rest = rest.select("k").distinct().join(norms, "k").where(F.length("norm") > SHINGLE)
     sets = scratch.save(rest.select("k", F.array_sort(F.array_distinct(shingle_hashes(F.col("norm")))).alias("s")))
     # Lines with the same set are one class, for which its smallest line goes on.
     named = sets.select("k", F.xxhash64("s").alias("s1"), F.xxhash64(F.lit(1), "s").alias("s2"))
@@ -117,7 +118,8 @@ def linked_lines(bucket: DataFrame, norms: DataFrame, scratch: Scratch) -> DataF
     fine = scratch.save(fine_keys(sets.join(classes.select(F.col("c").alias("k")), "k", "left_semi")))
     linked, left = link_buckets(fine, linked, lambda pairs: alike(pairs, norms), scratch, rounds=1)
     # What shares a bucket with lines of other components even then is joined exactly: no pair in a bucket is given up.
-    rest = split_buckets(left, linked, scratch).select(F.col("k").alias("id"), "label").distinct()
+    rest, linked = split_buckets(left, linked, scratch)
+    rest = rest.select(F.col("k").alias("id"), "label").distinct()
     exact = scratch.save(candidate_pairs(scratch.save(rest.join(sets.withColumnRenamed("k", "id"), "id")), PERCENT))
     out = scratch.save(linked.unionByName(alike(exact.select(F.col("b").alias("k"), F.col("a").alias("c")), norms)))
     scratch.drop(sets, classes, fine, exact)

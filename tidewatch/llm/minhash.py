@@ -5,7 +5,7 @@ empty bin takes the value of a filled one chosen by its own fixed random order o
 Bands of the signature are buckets.  In a bucket only the edges of a star are candidates, so pairs grow with the members and
 not with their square; every candidate is confirmed on the full shingle sets.  Where the members of a bucket still lie in
 different components afterwards, they get a finer signature: buckets of its pairs of bands separate groups that the first ones mix,
-and take ROUNDS centres.  Documents of fine buckets that are split even then are compared by
+and take a centre each.  Documents of fine buckets that are split even then are compared by
 an exact prefix-filter join: no pair in them is given up.
 """
 
@@ -27,7 +27,7 @@ BANDS, ROWS = 26, 5
 #: The finer signature.  Documents meet if two of its bands agree: of pairs at 0.8 that is 99 in 100; a given two bands agree at 0.6 in 5 of 100.
 FINE_BANDS, FINE_ROWS = 10, 3
 #: Centres of a fine bucket before its documents go to the exact join.
-ROUNDS = 2
+ROUNDS = 1
 
 _BINS = BANDS * ROWS
 _ORDER = np.argsort(np.random.default_rng(77).random((_BINS, _BINS)), axis=1)
@@ -139,11 +139,13 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         return _verified(pairs, sets, percent)
 
     linked = scratch.save(confirm(buckets.where("k != c").select("k", "c").distinct()))
-    split = split_buckets(buckets.select("key", "k"), linked, scratch).select(F.col("k").alias("id")).distinct()
+    split, linked = split_buckets(buckets.select("key", "k"), linked, scratch)
+    split = split.select(F.col("k").alias("id")).distinct()
     fine = scratch.save(sets.select("id", "s").join(split, "id").mapInPandas(_fine, "k long, key long"))
     linked, rest = link_buckets(fine, linked, confirm, scratch, ROUNDS)
     # What still shares a bucket with documents of other components is resolved exactly.
-    left = split_buckets(rest, linked, scratch).select(F.col("k").alias("id"), "label").distinct()
+    left, linked = split_buckets(rest, linked, scratch)
+    left = left.select(F.col("k").alias("id"), "label").distinct()
     exact = scratch.save(candidate_pairs(scratch.save(left.join(sets.select("id", "s"), "id")), percent))
     linked = linked.unionByName(confirm(exact.select(F.col("b").alias("k"), F.col("a").alias("c"))))
     links = known.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).unionByName(linked.select(F.col("c").alias("a"), F.col("k").alias("b")))

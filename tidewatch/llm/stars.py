@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .scratch import Scratch
 
-def split_buckets(members: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, k, label) of the buckets whose members (key, k) lie in different components of ``linked`` (k, c)."""
-    label = connected_components(linked, scratch, "k", "c")
-    members = members.join(label.select(F.col("node").alias("k"), "component"), "k", "left").select("key", "k", F.coalesce("component", "k").alias("label"))
+def split_buckets(members: DataFrame, linked: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(key, k, label) of the buckets whose members (key, k) lie in different components of ``linked`` (k, c), and the components as stars (k, c).
+
+    The stars connect what ``linked`` connects, so that it need not be looked at again.
+    """
+    label = connected_components(linked, scratch, "k", "c").select(F.col("node").alias("k"), "component")
+    members = members.join(label, "k", "left").select("key", "k", F.coalesce("component", "k").alias("label"))
     members = scratch.save(members)
     split = scratch.save(members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
     out = scratch.save(members.join(split, "key"))
     scratch.drop(members, split)
-    return out
+    return out, label.where("k != component").withColumnRenamed("component", "c")
 
 
 def link_buckets(members: DataFrame, linked: DataFrame, confirm: Callable[[DataFrame], DataFrame], scratch: Scratch, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(``linked`` with the links that ``confirm`` finds among pairs (k, c), what is left of ``members`` (key, k) without the centres).
+    """(links (k, c) that connect what ``linked`` does and what ``confirm`` finds among pairs, what is left of ``members`` without the centres).
 
     In each round a bucket that is still split pairs its members with one centre.  A member's weight is with how many it shares
     buckets: the least changed one of a group has the most, so that one serves many buckets.  Later rounds take members in an
@@ -34,7 +37,7 @@ def link_buckets(members: DataFrame, linked: DataFrame, confirm: Callable[[DataF
     weight = scratch.save(shared.groupBy("k").agg(F.sum("size").alias("weight")))
     rest = shared.select("key", "k")
     for turn in range(rounds):
-        still = split_buckets(rest, linked, scratch)
+        still, linked = split_buckets(rest, linked, scratch)
         ranked = scratch.save(still.join(weight, "k"))
         order = F.struct(F.xxhash64("k", F.lit(turn)), "k") if turn else F.struct("weight", "k")
         centre = scratch.save(ranked.groupBy("key").agg(F.max_by(F.struct("k", "label"), order).alias("c")))
