@@ -134,3 +134,46 @@ def test_stages_keep_clashing_columns(spark, data):
         if name != "minhash_near_dedup":
             out = stage(spark, docs, data)
             assert out.columns == docs.columns and out.where("p_toxic != 'mine' or contaminated != 'too' or n_removed != 'three'").count() == 0 and out.count() > 0
+
+
+def brute_fingerprint(text):
+    """Signed votes of weighted words and word pairs, one bit at a time."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from tidewatch.llm.words import mix, word_hashes
+
+    words = [w for w in "".join(c.lower() if c.isascii() else c for c in text or "").replace("\x0b", " ").replace("\x0c", " ").split(" ") for w in w.split("\n") if w]
+    h = [int(word_hashes([w.encode()])[0][0]) for w in words]
+    pair = lambda a, b: int(mix(np.array([a], np.uint64) * np.uint64(31) + np.array([b], np.uint64))[0])
+    terms = Counter([*h, *(pair(a, b) for a, b in zip(h, h[1:], strict=False))])
+    votes = [0.0] * 128
+    for t, n in terms.items():
+        halves = [int(mix(np.array([t ^ x], np.uint64))[0]).to_bytes(8, "little") for x in (0, 0x5DEECE66D)]
+        for i, byte in enumerate(b"".join(halves)):
+            for k in range(8):
+                votes[8 * i + k] += (1 + math.log(n)) * (1 if byte >> (7 - k) & 1 else -1)
+    return "".join(f"{sum(1 << (7 - k) for k in range(8) if votes[8 * i + k] > 1e-4):02x}" for i in range(16)), min(map(abs, votes), default=0)
+
+
+def test_fingerprints_match_brute_force(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"W{rng.randrange(40)}é" for _ in range(n)) for n in (1, 2, 7, 60, 301)] + ["", None, " \n ", "a a a a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12)
+    got = {r.doc_id: r.fingerprint for r in simhash.fingerprint(df).collect()}
+    for i, t in enumerate(texts):
+        want, least = brute_fingerprint(t)
+        assert least < 1e-3 or got[i] == want, t  # votes that cancel out may fall either way
+
+
+def test_long_texts_and_empty_partitions(spark):
+    long = " ".join(f"word{i % 7919}" for i in range(400_000))
+    df = spark.createDataFrame([(1, long), (2, long + " more"), (3, "short text")], "doc_id long, text string").repartition(24)
+    bench = spark.createDataFrame([(9, " ".join(f"word{i}" for i in range(20)))], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontamination.contamination(df, bench).collect()}
+    assert rows[1].n_words == 400_000 and rows[1].items == ["9"] and rows[3].items == []
+    near = {r.id: r for r in simhash.with_next(df).collect()}
+    assert near[2].near_next == 1.0 and near[2].n_chars == len(long) + 5 and len(near) == 3
+    assert {r.doc_id: r.n_assign for r in secrets.digest(df).collect()} == {1: 0, 2: 0, 3: 0}
