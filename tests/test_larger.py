@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidewatch.operators import detect as d
 from tidewatch.plans.queries import ORACLE
 from tidewatch.streaming import jobs as st
 from tidewatch.streaming import keyed
@@ -42,6 +43,15 @@ def test_novelty_of_many_pairs(spark, tmp_path):
     assert len({k for k, _ in want}) > keyed.BUCKETS >= table_rows(spark, str(tmp_path))
 
 
+def test_scenario_keeps_all_evidence(spark):
+    now = datetime(2031, 3, 4, 12)
+    rows = [(f"{n:03}", "h1", now - timedelta(minutes=60 - n), "failure", "T1") for n in range(45)]
+    mapped = spark.createDataFrame(rows, "id string, host string, timestamp timestamp_ntz, outcome string, technique string")
+    runs = d.scenario_runs(mapped, {"id": "s", "trigger": "T1"}, F.lit(now).cast("timestamp_ntz"))
+    got = d.scenario_steps(mapped, runs, ["T1"], mapped.select("host", "technique"), F.lit(now).cast("timestamp_ntz")).first()
+    assert got.evidence == [r[0] for r in rows] and got.status == "blocked"
+
+
 def test_context_sql_takes_ten_different_indicators():
     """Ten different indicators, however often the first ones are hit."""
     con = duckdb.connect()
