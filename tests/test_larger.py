@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewatch.operators import detect as d
-from tidewatch.operators import intel
+from tidewatch.operators import intel, sequences
+from tidewatch.plans import streams
 from tidewatch.plans.queries import ORACLE
 from tidewatch.streaming import jobs as st
 from tidewatch.streaming import keyed
@@ -85,3 +86,27 @@ def test_indicators_of_equal_values_are_one_group(spark):
     assert marks == {i: (ns, max((severity[n] for n in ns), key=intel.SEVERITIES.index)) if ns else (None, None) for i, ns in hit.items()}
     _, members = intel.indicator_groups(ind)
     assert members.count() < 15
+
+
+def test_sequences_of_many_keys(spark, tmp_path):
+    """The state of a sequence stream is a table for each bucket of keys; chains are those of the batch form."""
+    rng = random.Random(5)
+    rows = [[(f"{b}{n:04}", 60 * b + rng.randrange(60), f"u{rng.randrange(700)}", rng.choice("ab")) for n in range(1200)] for b in range(3)]
+    steps = [("a", F.col("kind") == "a"), ("b", F.col("kind") == "b")]
+    got = sorted((r.key, *r.ids) for r in run(spark, str(tmp_path), rows, lambda x: st.stream_sequence(x, "user", steps, "5h", late="1 hour")))
+    want = sorted((r.key, *r.ids) for r in sequences.sequence_rule(spark.read.parquet(f"{tmp_path}/in"), "user", steps, "5h").collect())
+    assert got == want and len(want) > 300
+    assert 0 < table_rows(spark, str(tmp_path)) <= keyed.BUCKETS
+    states = keyed.sequence_states(spark, f"{tmp_path}/cp", "r", "5h")
+    assert states.count() > 50 and {r.step for r in states.collect()} == {1}
+
+
+def test_landed_slices_use_every_core(spark, tmp_path):
+    """A slice has a file for each core where it has rows enough, and a batch is still one slice."""
+    df = spark.range(0, 400_000).select("id", F.lit("x").alias("v"))
+    sdf = streams.landed(spark, df, (F.col("id") % streams.SLICES).cast("int"), str(tmp_path))
+    files = list((tmp_path / "in").glob("*.parquet"))
+    assert len(files) == streams.SLICES * spark.sparkContext.defaultParallelism > streams.SLICES * streams.FILES
+    sizes = []
+    sdf.writeStream.foreachBatch(lambda b, n: sizes.append((b.count(), b.select(F.col("id") % streams.SLICES).distinct().count()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sizes == [(100_000, 1)] * streams.SLICES
