@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -178,3 +179,16 @@ def test_long_texts_and_empty_partitions(spark):
     near = {r.id: r for r in simhash.with_next(df).collect()}
     assert near[2].near_next == 1.0 and near[2].n_chars == len(long) + 5 and len(near) == 3
     assert {r.doc_id: r.n_assign for r in secrets.digest(df).collect()} == {1: 0, 2: 0, 3: 0}
+
+
+def test_only_the_text_goes_through_python(spark):
+    """Kept columns, a copy of the text among them, are neither sent to Python nor given back by it."""
+    texts = ["one two three four five", "", None, "six one two three"] * 3
+    df = spark.createDataFrame([(n, t, t, [n]) for n, t in enumerate(texts)], "doc_id long, text string, __kept0 string, __kept1 array<long>").repartition(2)
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    chain = toxicity.Chain(["a", "toxic"], [np.ones((1 << 18) + 3, np.float32)] * 2, 1 << 18)
+    keep = ("__kept0", "__kept1")
+    for out in (toxicity.score(df, chain, keep=keep).where("p_toxic < 2"), decontamination.contamination(df, bench, keep=keep).where("not contaminated or contaminated")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInPandas" not in plan and plan.count("ArrowEvalPython") == 1
+        assert {(r.doc_id, r["__kept0"], r["__kept1"][0]) for r in out.collect()} == {(n, t, n) for n, t in enumerate(texts)}

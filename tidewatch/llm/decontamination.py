@@ -7,8 +7,10 @@ end and the automaton finds it at word borders only.  Spaces counted before a ma
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,27 +122,21 @@ def contamination(
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
     shared = documents.sparkSession.sparkContext.broadcast(blocks)
 
-    def run(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         only = build(shared.value[0], window) if len(shared.value) == 1 else None
-        for pdf in batches:
-            texts = list(pdf["__text"])
+        for texts in map(list, batches):
             if only is not None:
                 rows = [scan(only, t, True) for t in texts]
             else:
                 rows = _merged(shared.value, texts, window)
-            out = pdf.drop(columns="__text")
-            out["n_words"] = [r[0] for r in rows]
-            out["n_hit"] = [r[1] for r in rows]
-            out["items"] = [sorted(map(str, r[2])) for r in rows]
-            out["spans"] = [[{"start": a, "end": b} for a, b in r[3]] for r in rows]
-            yield out
-
-    kept_columns = [F.col(c) for c in kept(id_col, keep, "n_words", "n_hit", "items", "spans", "contaminated")]
-    src = documents.select(*kept_columns, F.col(text_col).alias("__text"))
-    schema = src.drop("__text").schema
-    for name, kind in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("spans", T.ArrayType(_SPAN))):
-        schema = schema.add(name, kind)
-    return src.mapInPandas(run, schema).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+            spans = [[{"start": a, "end": b} for a, b in r[3]] for r in rows]
+            yield pd.DataFrame({"n_words": [r[0] for r in rows], "n_hit": [r[1] for r in rows], "items": [sorted(map(str, r[2])) for r in rows], "spans": spans})
+
+    # Python gets the text alone and gives back what it found; as one that may differ from call to call, it is run once for a row.
+    found = F.pandas_udf(run, T.StructType().add("n_words", T.LongType()).add("n_hit", T.LongType()).add("items", T.ArrayType(T.StringType())).add("spans", T.ArrayType(_SPAN))).asNondeterministic()
+    src = [F.col(c) for c in kept(id_col, keep, "n_words", "n_hit", "items", "spans", "contaminated")]
+    out = documents.select(*src, found(F.col(text_col)).alias("__found")).select("*", "__found.*").drop("__found")
+    return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 
 def _merged(blocks, texts, window):

@@ -7,6 +7,8 @@ weights at zero, so a long clean text collects no noise.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +26,8 @@ EPOCHS = 2
 #: A document is rejected from this probability of the last category.
 THRESHOLD = 0.5
 GRAM = 5
+#: Texts that are scored together.
+TOGETHER = 256
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -156,22 +160,25 @@ def fit(documents: DataFrame, labels: DataFrame, categories: dict[str, str], id_
 
 
 def score(documents: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, ``keep`` and one ``p_<category>`` per category for each row; a null text counts as empty."""
-    shared = documents.sparkSession.sparkContext.broadcast(chain)
+    """``id_col``, ``keep`` and one ``p_<category>`` per category for each row; a null text counts as empty.
 
-    def run(batches):
-        for pdf in batches:
-            p = shared.value.probabilities([_letters(t) for t in pdf["__text"]])
-            out = pdf.drop(columns="__text")
-            for k, name in enumerate(shared.value.categories):
-                out[f"p_{name}"] = p[:, k]
-            yield out
-
-    src = documents.select(*[F.col(c) for c in kept(id_col, keep, *(f"p_{c}" for c in chain.categories))], F.col(text_col).alias("__text"))
-    schema = src.drop("__text").schema
-    for name in chain.categories:
-        schema = schema.add(f"p_{name}", T.DoubleType())
-    return src.mapInPandas(run, schema)
+    Python gets the text alone and gives back the probabilities: kept columns, a text among them, stay where they are.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(chain)
+    names = [f"p_{c}" for c in chain.categories]
+    src = [F.col(c) for c in kept(id_col, keep, *names)]
+    if not names:
+        return documents.select(*src)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            parts = [shared.value.probabilities([_letters(t) for t in texts.iloc[a : a + TOGETHER]]) for a in range(0, len(texts), TOGETHER)]
+            yield pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, len(names))), columns=names)
+
+    kind = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+    # As one that may differ from call to call, it is run once for a row, and not for a filter again.
+    p = F.pandas_udf(run, kind).asNondeterministic()
+    return documents.select(*src, p(F.col(text_col)).alias("__p")).select("*", "__p.*").drop("__p")
 
 
 #: The categories that the given labels hold: writing of low quality first, toxic second.
