@@ -192,3 +192,13 @@ def test_only_the_text_goes_through_python(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "MapInPandas" not in plan and plan.count("ArrowEvalPython") == 1
         assert {(r.doc_id, r["__kept0"], r["__kept1"][0]) for r in out.collect()} == {(n, t, n) for n, t in enumerate(texts)}
+
+
+def test_no_table_of_line_dedup_holds_shingles(spark, monkeypatch):
+    """A line's shingle set takes several times its room: it is made where it is wanted, and no table between steps keeps it."""
+    tables, save = [], line_dedup.Scratch.save
+    monkeypatch.setattr(line_dedup.Scratch, "save", lambda self, df: tables.append(set(df.columns)) or save(self, df))
+    base = "the quick brown fox jumps over the lazy dog while the small cat looks on from the old wall number "
+    df = spark.createDataFrame([(n, base + str(n)) for n in range(6)] + [(9, "a line of its own that nobody else has written")], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup_lines(df).where("n_removed > 0").collect()} == {1, 2, 3, 4, 5}
+    assert {"k", "key"} in tables and not any("s" in columns for columns in tables)

@@ -54,6 +54,11 @@ def shingle_hashes(norm: Column) -> Column:
     return F.transform(grams, lambda g: F.xxhash64(g))
 
 
+def with_set(lines: DataFrame) -> DataFrame:
+    """``lines`` with s, the sorted set of a line's shingle hashes, instead of norm."""
+    return lines.withColumn("s", F.array_sort(F.array_distinct(shingle_hashes(F.col("norm"))))).drop("norm")
+
+
 def band_keys(sketch: Column) -> Column:
     """A key for each pair of sketch values; a line with one shingle has that alone."""
     pairs = [F.xxhash64(F.get(sketch, F.lit(i)), F.get(sketch, F.lit(j))) for i in range(BOTTOM) for j in range(i + 1, BOTTOM)]
@@ -108,21 +113,29 @@ def linked_lines(bucket: DataFrame, norms: DataFrame, scratch: Scratch) -> DataF
     """(k, c): confirmed links between the lines of ``bucket`` (key, k, c), whose first centres are c."""
     linked = scratch.save(alike(bucket.select("k", "c").distinct(), norms))
     coarse = bucket.select("key", "k").unionByName(bucket.select("key", F.col("c").alias("k")).distinct())
+    scratch.sweep()
     rest, linked = split_buckets(coarse, linked, scratch)
-    rest = rest.select("k").distinct().join(norms, "k").where(F.length("norm") > SHINGLE)
-    sets = scratch.save(rest.select("k", F.array_sort(F.array_distinct(shingle_hashes(F.col("norm")))).alias("s")))
-    # Lines with the same set are one class, for which its smallest line goes on.
-    named = sets.select("k", F.xxhash64("s").alias("s1"), F.xxhash64(F.lit(1), "s").alias("s2"))
+    lines = scratch.save(rest.select("k").distinct().join(norms, "k").where(F.length("norm") > SHINGLE))
+    # Lines with the same set are one class, for which its smallest line goes on.  A set takes several times the room of its line: it is
+    # made where it is wanted and not kept.
+    named = scratch.save(with_set(lines).select("k", F.xxhash64("s").alias("s1"), F.xxhash64(F.lit(1), "s").alias("s2")))
     classes = scratch.save(named.groupBy("s1", "s2").agg(F.min("k").alias("c")))
     linked = scratch.save(linked.unionByName(named.join(classes, ["s1", "s2"]).where("k != c").select("k", "c")))
-    fine = scratch.save(fine_keys(sets.join(classes.select(F.col("c").alias("k")), "k", "left_semi")))
+    # Dealt out by line before its set is made, so that no shuffle carries shingles.
+    ours = lines.join(classes.select(F.col("c").alias("k")), "k", "left_semi").repartition("k")
+    fine = scratch.save(fine_keys(with_set(ours)))
+    scratch.sweep(classes, named)
     linked, left = link_buckets(fine, linked, lambda pairs: alike(pairs, norms), scratch, rounds=1)
+    scratch.sweep(fine)
     # What shares a bucket with lines of other components even then is joined exactly: no pair in a bucket is given up.
     rest, linked = split_buckets(left, linked, scratch)
     rest = rest.select(F.col("k").alias("id"), "label").distinct()
-    exact = scratch.save(candidate_pairs(scratch.save(rest.join(sets.withColumnRenamed("k", "id"), "id")), PERCENT))
+    rest = scratch.save(rest.join(lines.withColumnRenamed("k", "id"), "id"))
+    scratch.sweep(lines)
+    exact = scratch.save(candidate_pairs(with_set(rest), PERCENT))
+    scratch.sweep(rest)
     out = scratch.save(linked.unionByName(alike(exact.select(F.col("b").alias("k"), F.col("a").alias("c")), norms)))
-    scratch.drop(sets, classes, fine, exact)
+    scratch.sweep(exact)
     return out
 
 
@@ -138,18 +151,21 @@ def duplicate_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str
     member = sketched.where("sketch is not null").select("k", F.explode(band_keys(F.col("sketch"))).alias("key"))
     centre = scratch.save(member.groupBy("key").agg(F.min("k").alias("c"), F.max("k").alias("hi")).where("c < hi").select("key", "c"))
     bucket = scratch.save(member.join(centre, "key").where("k != c").select("key", "k", "c").distinct())
+    scratch.sweep(centre)
 
     # The lines in buckets, one copy of each; of lines that share a k the one with the smallest k2 stands for it.
     need = bucket.select("k").union(bucket.select("c")).distinct().join(first.groupBy("k").agg(F.min(F.struct("k2", "first")).alias("x")), "k")
     need = scratch.save(need.select("k", "x.k2", "x.first"))
+    scratch.sweep()
     nos = need.groupBy(F.col("first.doc").alias("doc")).agg(F.sort_array(F.collect_set("first.no")).alias("nos")).select("doc", marked(F.col("nos")).alias("mark"))
     texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(nos, "doc")
     wanted = texts.select("mark", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(at(F.col("mark"), F.col("no")))
     norms = wanted.select(normalised(F.col("line")).alias("norm")).select(F.xxhash64("norm").alias("k"), F.xxhash64(F.lit(1), "norm").alias("k2"), "norm")
     norms = scratch.save(norms.join(need.select("k", "k2"), ["k", "k2"], "left_semi").dropDuplicates(["k"]).select("k", "norm"))
+    scratch.sweep()
 
     linked = linked_lines(bucket, norms, scratch)
-    scratch.drop(bucket, norms)
+    scratch.sweep(bucket, norms)
     component = connected_components(linked, scratch, "k", "c").select(F.col("node").alias("k"), "component")
     company = component.join(need.select("k", "k2"), "k")
     # Lines with company: the component's first occurrence stays.

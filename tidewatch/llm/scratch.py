@@ -32,3 +32,8 @@ class Scratch:
         """Deletes tables of ``save`` that nothing reads any more."""
         for df in tables:
             removed(self.spark, df._scratch_path)
+
+    def sweep(self, *tables: DataFrame) -> None:
+        """``drop``, and the shuffle files of the steps that have ended go as well: Spark deletes them once the driver's garbage is collected."""
+        self.drop(*tables)
+        self.spark._jvm.System.gc()
