@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .prefix_join import candidate_pairs
+from .prefix_join import exact_links
 from .scratch import Scratch
 from .stars import link_buckets, split_buckets
 
@@ -132,10 +132,8 @@ def linked_lines(bucket: DataFrame, norms: DataFrame, scratch: Scratch) -> DataF
     rest = rest.select(F.col("k").alias("id"), "label").distinct()
     rest = scratch.save(rest.join(lines.withColumnRenamed("k", "id"), "id"))
     scratch.sweep(lines)
-    exact = scratch.save(candidate_pairs(with_set(rest), PERCENT))
+    out = scratch.save(linked.unionByName(exact_links(with_set(rest), PERCENT, lambda pairs: alike(pairs, norms), scratch)))
     scratch.sweep(rest)
-    out = scratch.save(linked.unionByName(alike(exact.select(F.col("b").alias("k"), F.col("a").alias("c")), norms)))
-    scratch.sweep(exact)
     return out
 
 
