@@ -1,8 +1,8 @@
-"""Crowds of near copies: what is compared in the exact step does not grow with their pairs."""
+"""Crowds of near copies, of which not all pairs are compared, and tokens that are remembered."""
 
 import random
 
-from tidewatch.llm import prefix_join
+from tidewatch.llm import packing, prefix_join
 from tidewatch.llm.components import connected_components
 from tidewatch.llm.scratch import Scratch
 
@@ -46,3 +46,23 @@ def test_stars_link_a_crowd_before_all_pairs_of_it(spark):
 def test_nothing_left_gives_no_links(spark):
     none = spark.createDataFrame([], "id long, label long, s array<long>")
     assert prefix_join.exact_links(none, 80, lambda pairs: pairs, Scratch(spark, "crowd")).count() == 0
+
+
+class Memory(dict):
+    """A dictionary that is not gone through."""
+
+    def __iter__(self):
+        raise AssertionError("gone through")
+
+    keys = __iter__
+
+
+def test_tokens_are_looked_up_without_going_through_what_is_remembered():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["one two, three's (four) ünder 12x", "two, five; six ünder", ""]
+    want, tokens = packing.Tokens(path)(texts), packing.Tokens(path)
+    assert tokens(texts[:1]) == want[:1]
+    tokens.known, tokens.before = Memory({b"two,": tokens.known[b"two,"]}), Memory(tokens.known)
+    assert tokens(texts) == want

@@ -99,9 +99,10 @@ class Tokens:
     def _learn(self, chunks: set[bytes]) -> None:
         if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known
-        for c in chunks & self.before.keys():
-            self.known[c] = self.before[c]
-        new = list(chunks - self.before.keys())
+        # One by one: the difference of a set and a dictionary's keys goes through all of the keys.
+        known, before = self.known, self.before
+        known.update([(c, before[c]) for c in chunks if c in before])
+        new = [c for c in chunks if c not in before]
         split, odd, units = [], [], set()
         for c, (word, tail, other) in zip(new, _PLAIN.findall(b"\n".join(new)), strict=True):
             if other:
@@ -112,12 +113,9 @@ class Tokens:
                 units.add(tail)
             else:
                 units.add(c)
-        units -= self.known.keys()
-        for u in units & self.before.keys():
-            self.known[u] = self.before[u]
-        self._units(list(units - self.before.keys()))
+        known.update([(u, before[u]) for u in units if u in before and u not in known])
+        self._units([u for u in units if u not in known])
         self._odd(odd)
-        known = self.known
         known.update([(c, known[word] + known[tail]) for c, word, tail in split])
 
     def __call__(self, texts: list) -> list[bytes]:
