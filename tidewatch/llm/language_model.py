@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -74,8 +75,8 @@ class Vocabulary:
         self.input[n] = self.inputs + self.tail
 
     def ids(self, texts: list[bytes], named: bool = False):
-        """(each text's ids with its end, if ``named`` the others' (text, word, count)); words outside the vocabulary have the id n."""
-        out, others = [], []
+        """(each text's ids with its end, if ``named`` the others' texts, words and counts in order of the texts); words outside the vocabulary have the id n."""
+        out, others, owner, times = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in slices(texts):
             words, which, first = distinct_words(texts[a:b])
             known = np.fromiter((self.id.get(w, self.n) for w in words), np.int32, len(words))
@@ -87,8 +88,10 @@ class Vocabulary:
             rare = np.flatnonzero(known[which] == self.n) if len(words) else which
             text = np.searchsorted(first, rare, side="right") - 1
             pair, count = np.unique(text * len(words) + which[rare], return_counts=True)
-            others += [(a + k // len(words), words[k % len(words)], c) for k, c in zip(pair.tolist(), count.tolist(), strict=True)]
-        return out, others
+            others += [words[k] for k in (pair % max(1, len(words))).tolist()]
+            owner.append(a + pair // max(1, len(words)))
+            times.append(count)
+        return out, (np.concatenate(owner), others, np.concatenate(times))
 
 
 class Network:
@@ -126,10 +129,11 @@ class Network:
         k = HIDDEN
         rz = h @ self.p["u"]
         rz += x[:, : 2 * k]
-        rz *= 0.5
-        np.tanh(rz, out=rz)  # the logistic function by its relation to tanh
-        rz *= 0.5
-        rz += 0.5
+        np.maximum(rz, -60, out=rz)  # far beyond what is met; keeps the exponential finite
+        np.negative(rz, out=rz)
+        np.exp(rz, out=rz)
+        rz += 1
+        np.reciprocal(rz, out=rz)
         r, z = rz[:, :k], rz[:, k:]
         n = np.tanh(x[:, 2 * k :] + (r * h) @ self.p["un"])
         return n + z * (h - n), r, z, n
@@ -137,37 +141,67 @@ class Network:
     def states(self, tokens: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
         """States before each token of a (steps, lanes) window and the one after it.  ``fresh`` marks where a text begins."""
         x = self.p["e"][self.v.input[tokens]]
-        hs, parts = np.empty((*tokens.shape, HIDDEN), np.float32), []
+        hs = np.empty((*tokens.shape, HIDDEN), np.float32)
+        parts = np.empty((3, *hs.shape), np.float32) if keep else None
         for t in range(len(tokens)):
             if fresh[t].any():
                 h = h * ~fresh[t][:, None]
             hs[t] = h
             h, r, z, n = self.step(x[t], h)
             if keep:
-                parts.append((r, z, n))
+                parts[0, t], parts[1, t], parts[2, t] = r, z, n
         return hs, h, parts
 
+    def logits(self, hs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the classes' logits, 60 at most, so that their exponentials stay finite; the states with a one behind each, for the biases)."""
+        one = np.empty((len(hs), HIDDEN + 1), np.float32)
+        one[:, :HIDDEN], one[:, HIDDEN] = hs, 1
+        weights = np.vstack((self.p["wc"], self.p["bc"]))
+        out = one @ weights
+        # States are within -1 and 1, so that weights that cannot reach the bound need no look at each logit.
+        if np.abs(self.p["wc"]).sum(axis=0).max(initial=0) + self.p["bc"].max(initial=0) > 60:
+            np.minimum(out, 60, out=out)
+        return out, one
+
     def log_p(self, hs: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """log p of each token given the state before it (the tail's words up to their own count)."""
         v = self.v
-        logits = hs @ self.p["wc"]
-        logits += self.p["bc"]
-        np.minimum(logits, 60, out=logits)  # as in training
+        logits, one = self.logits(hs)
         cls = v.cls[tokens]
         out = logits[np.arange(len(tokens)), cls] + v.inside[tokens]
-        out -= np.log(np.exp(logits, out=logits).sum(axis=1))
-        for a, k in self._by_class(cls):
+        out -= np.log(np.exp(logits, out=logits) @ np.ones(v.classes, np.float32))
+        order, classes = self._by_class(cls)
+        one, tok, add = one[order], tokens[order], np.empty(len(order), np.float32)
+        weights, far = self.words()
+        for a, b, k in classes:
             i, j = v.first[k], v.first[k + 1]
-            g = hs[a] @ self.p["ww"][i:j].T + self.p["bw"][i:j]
-            g -= g.max(axis=1, keepdims=True)
-            out[a] += g[np.arange(len(a)), tokens[a] - i] - np.log(np.exp(g).sum(axis=1))
+            q = self.within(one[a:b], weights[i:j], far)
+            add[a:b] = np.log(q[np.arange(b - a), tok[a:b] - i] / (q @ np.ones(j - i, np.float32)))
+        out[order] += add
         return out
 
+    def words(self) -> tuple[np.ndarray, bool]:
+        """(the predicted words' weights with their bias behind, whether states can bring a logit farther than 40 from its bias)."""
+        ww = self.p["ww"]
+        return np.hstack((ww, self.p["bw"][:, None])), bool(np.abs(ww).sum(axis=1).max(initial=0) > 40)
+
+    @staticmethod
+    def within(one: np.ndarray, weights: np.ndarray, far: bool) -> np.ndarray:
+        """The words of a class given states with a one behind each, not summing up to 1 yet."""
+        q = one @ weights.T
+        q -= q.max(axis=1, keepdims=True) if far else weights[:, -1].max()  # either way the greatest exponential is far from 0 and finite
+        return np.exp(q, out=q)
+
     def _by_class(self, cls):
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(self.v.classes + 1))
-        for k in np.flatnonzero(self.v.small & (np.diff(edge) > 0)):
-            yield order[edge[k] : edge[k + 1]], k
+        """(tokens in order of those small classes that hold several words, where each class begins and ends among them and its number)."""
+        v = self.v
+        order = np.argsort(cls.astype(np.uint16) if v.classes < 1 << 16 else cls, kind="stable")  # short numbers are sorted by radix
+        edge = np.searchsorted(cls[order], np.arange(v.classes + 1))
+        # A word that is a class of its own is certain in it, whatever the weights, and has no gradient there.
+        several = np.flatnonzero(v.small & (np.diff(v.first) > 1) & (np.diff(edge) > 0))
+        at = np.concatenate(([0], np.cumsum(np.diff(edge)[several])))
+        order = np.concatenate([order[:0], *(order[edge[k] : edge[k + 1]] for k in several)])
+        return order, list(zip(at[:-1].tolist(), at[1:].tolist(), several.tolist(), strict=True))
 
     def gradient(self, tokens: np.ndarray, fresh: np.ndarray, live: np.ndarray, h0: np.ndarray):
         """(gradient of the window's mean loss, state after it).  Nothing flows back beyond the window."""
@@ -177,27 +211,29 @@ class Network:
         scale = np.float32(1 / max(1, on.sum()))
         grad = np.zeros_like(self.flat)
         g = self.views(grad)
-        p = flat_h @ self.p["wc"]
-        p += self.p["bc"]
-        np.minimum(p, 60, out=p)  # far beyond what is met; keeps the exponential finite
+        p, one = self.logits(flat_h)
         np.exp(p, out=p)
         cls, weight = v.cls[tok], on * scale
-        p *= (weight / p.sum(axis=1))[:, None]
+        p *= (weight / (p @ np.ones(v.classes, np.float32)))[:, None]
         p[np.arange(len(tok)), cls] -= weight
-        g["wc"][:], g["bc"][:] = flat_h.T @ p, p.sum(axis=0)
+        both = one.T @ p
+        g["wc"][:], g["bc"][:] = both[:-1], both[-1]
         dh_out = p @ self.p["wc"].T
-        for a, c in self._by_class(np.where(on, cls, v.tail)):
+        order, classes = self._by_class(np.where(on, cls, v.tail))
+        one, words, back = one[order], tok[order], np.empty((len(order), k), np.float32)
+        weights, far = self.words()
+        for a, b, c in classes:
             i, j = v.first[c], v.first[c + 1]
-            q = flat_h[a] @ self.p["ww"][i:j].T + self.p["bw"][i:j]
-            q = np.exp(q - q.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(a)), tok[a] - i] -= 1
-            q *= scale
-            g["ww"][i:j], g["bw"][i:j] = q.T @ flat_h[a], q.sum(axis=0)
-            dh_out[a] += q @ self.p["ww"][i:j]
+            q = self.within(one[a:b], weights[i:j], far)
+            q *= (scale / (q @ np.ones(j - i, np.float32)))[:, None]
+            q[np.arange(b - a), words[a:b] - i] -= scale
+            both = q.T @ one[a:b]
+            g["ww"][i:j], g["bw"][i:j] = both[:, :-1], both[:, -1]
+            np.matmul(q, self.p["ww"][i:j], out=back[a:b])
+        dh_out[order] += back
         dh_out = dh_out.reshape(hs.shape)
         # All that needs no gradient is worked out for the whole window at once; the loop back in time does the rest.
-        r, z, n = (np.stack(x) for x in zip(*parts, strict=True))
+        r, z, n = parts
         to_n, to_r, to_z = (1 - z) * (1 - n * n), hs * r * (1 - r), (hs - n) * z * (1 - z)
         dx = np.empty((*tokens.shape, 3 * k), np.float32)
         dh = np.zeros_like(h0)
@@ -216,10 +252,11 @@ class Network:
         flat_dx = dx.reshape(-1, 3 * k)
         g["un"][:] = (r * hs).reshape(-1, k).T @ flat_dx[:, 2 * k :]
         g["u"][:] = flat_h.T @ flat_dx[:, : 2 * k]
-        order = np.argsort(v.input[tok], kind="stable")
-        at = v.input[tok][order]
+        at = v.input[tok]
+        order = np.argsort(at.astype(np.uint16) if len(self.p["e"]) < 1 << 16 else at, kind="stable")
+        at = at[order]
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        g["e"][at[first]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], first)
+        g["e"][at[first]] = np.add.reduceat(flat_dx[order], first)
         return grad, after
 
 
@@ -250,6 +287,15 @@ class Lanes:
         self.offset = np.cumsum(self.length) - self.length
         self.steps = int(self.length[0]) if order else 0
 
+    def windows(self, size: int) -> Iterator[tuple[int, int]]:
+        """(first step, steps) of all windows: ``size`` steps, and more behind most lanes' ends, where a window of few lanes holds few tokens."""
+        t = 0
+        while t < self.steps:
+            live = int(np.searchsorted(-self.length, -t, side="left"))
+            steps = size * max(1, len(self.length) // (8 * live))
+            yield t, steps
+            t += steps
+
     def window(self, t: int, size: int):
         """(tokens, fresh, live, owner) of shape (steps, lanes) from step ``t`` on, for the lanes that reach it."""
         k = int(np.searchsorted(-self.length, -t, side="left"))
@@ -264,22 +310,31 @@ class Adam:
 
     def __init__(self, net: Network):
         self.net, self.i = net, 0
-        self.m, self.s = np.zeros_like(net.flat), np.zeros_like(net.flat)
+        self.m, self.s, self.a = np.zeros_like(net.flat), np.zeros_like(net.flat), np.zeros_like(net.flat)
 
     def update(self, g: np.ndarray, pace: float) -> None:
         self.i += 1
         g *= min(1.0, 1.0 / (float(np.sqrt(g @ g)) + 1e-6))
-        self.m += 0.1 * (g - self.m)
-        self.s += 0.01 * (g * g - self.s)
-        self.net.flat -= pace * (self.m / (1 - 0.9**self.i)) / (np.sqrt(self.s / (1 - 0.99**self.i)) + 1e-4)
+        a = self.a  # in place: parameters are many, and new arrays cost as much as the sums
+        self.m *= 0.9
+        self.m += np.multiply(g, 0.1, out=a)
+        self.s *= 0.99
+        g *= g
+        self.s += np.multiply(g, 0.01, out=a)
+        np.sqrt(self.s, out=a)
+        a *= 1 / math.sqrt(1 - 0.99**self.i)
+        a += 1e-4
+        np.divide(self.m, a, out=a)
+        a *= pace / (1 - 0.9**self.i)
+        self.net.flat -= a
 
 
 def learn(adam: Adam, texts: list[np.ndarray], rate: float, n: int = LANES) -> None:
     """One pass over texts by windows, at a falling pace; the state, not the gradient, crosses from window to window."""
     dealt = Lanes(texts, n)
     h = np.zeros((len(dealt.length), HIDDEN), np.float32)
-    for t in range(0, dealt.steps, WINDOW):
-        tokens, fresh, live, _ = dealt.window(t, WINDOW)
+    for t, size in dealt.windows(WINDOW):
+        tokens, fresh, live, _ = dealt.window(t, size)
         g, h = adam.net.gradient(tokens, fresh, live, h[: tokens.shape[1]])
         adam.update(g, rate * (1 - 0.9 * t / dealt.steps))
 
@@ -289,8 +344,8 @@ def score_texts(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     dealt = Lanes(texts, SCORE_LANES)
     out = np.zeros(len(texts))
     h = np.zeros((len(dealt.length), HIDDEN), np.float32)
-    for t in range(0, dealt.steps, 32):
-        tokens, fresh, on, who = dealt.window(t, 32)
+    for t, size in dealt.windows(32):
+        tokens, fresh, on, who = dealt.window(t, size)
         hs, h, _ = net.states(tokens, fresh, h[: tokens.shape[1]])
         out += np.bincount(who[on], net.log_p(hs[on], tokens[on]), minlength=len(texts))
     return out
@@ -417,10 +472,11 @@ def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", tex
         for pdf in batches:
             raw = [as_bytes(t) for t in pdf["text"]]
             for a, b in slices(raw, SCORE_TOGETHER):
-                texts, others = v.ids(raw[a:b], named=True)
-                rare: list[list] = [[] for _ in texts]
-                for t, w, n in others:
-                    rare[t].append({"w": w.decode("utf-8", "surrogatepass"), "n": n})
+                texts, (owner, rare, times) = v.ids(raw[a:b], named=True)
+                # Words hold no space, so that one string takes those of a text.
+                edge, times = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist(), times.astype(np.int32)
+                rare = [b" ".join(rare[i:j]).decode("utf-8", "surrogatepass") if i < j else None for i, j in zip(edge, edge[1:], strict=False)]
+                times = [times[i:j] for i, j in zip(edge, edge[1:], strict=False)]
                 yield pd.DataFrame(
                     {
                         "row": pdf["row"].to_numpy()[a:b],
@@ -430,15 +486,17 @@ def score(documents: DataFrame, training: DataFrame, id_col: str = "doc_id", tex
                         "base": [float(log_c[t].sum()) for t in texts],
                         "net": score_texts(net, texts),
                         "rare": rare,
+                        "times": times,
                     }
                 )
 
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    scored = scratch.save(rows.mapInPandas(run, f"row long, id {kind}, n_tokens long, n_top long, base double, net double, rare array<struct<w:string,n:long>>"))
-    each = scored.select("row", F.explode("rare").alias("x")).select("row", "x.w", "x.n").join(counts, "w", "left")
+    scored = scratch.save(rows.mapInPandas(run, f"row long, id {kind}, n_tokens long, n_top long, base double, net double, rare string, times array<int>"))
+    each = scored.where("rare is not null").select("row", F.explode_outer(F.arrays_zip(F.split("rare", " ").alias("w"), F.col("times").alias("n"))).alias("x"))
+    each = each.select("row", "x.w", "x.n").join(counts, "w", "left")
     rare = each.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("s"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"))
-    out = scored.drop("rare").join(rare, "row", "left").fillna(0, ["s", "k"])
+    out = scored.drop("rare", "times").join(rare, "row", "left").fillna(0, ["s", "k"])
     return out.select(
         F.col("id").alias(id_col),
         "n_tokens",

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -76,7 +77,9 @@ def distinct_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndar
     values, or the words themselves are compared.
     """
     h, first, starts, ends, a = word_hashes(texts)
-    _, at, which = np.unique(h, return_index=True, return_inverse=True)
+    which, distinct = pd.factorize(h)  # by a hash table, where numpy's unique sorts
+    at = np.empty(len(distinct), np.int64)
+    at[which[::-1]] = np.arange(len(h) - 1, -1, -1)
     mark = np.concatenate(([np.uint64(0)], np.cumsum(_OTHER[a])))
     mark = mark[ends] - mark[starts]
     if (mark != mark[at][which]).any() or (ends - starts != (ends - starts)[at][which]).any():
