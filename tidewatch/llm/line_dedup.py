@@ -55,8 +55,8 @@ def shingle_hashes(norm: Column) -> Column:
 
 
 def with_set(lines: DataFrame) -> DataFrame:
-    """``lines`` with s, the sorted set of a line's shingle hashes, instead of norm."""
-    return lines.withColumn("s", F.array_sort(F.array_distinct(shingle_hashes(F.col("norm"))))).drop("norm")
+    """``lines`` with s, the set of a line's shingle hashes, instead of norm."""
+    return lines.withColumn("s", F.array_distinct(shingle_hashes(F.col("norm")))).drop("norm")
 
 
 def band_keys(sketch: Column) -> Column:
@@ -67,32 +67,60 @@ def band_keys(sketch: Column) -> Column:
     return F.when(there == 1, F.array(F.get(sketch, F.lit(0)))).otherwise(F.array_compact(F.array(*kept)))
 
 
-def fine_keys(sets: DataFrame) -> DataFrame:
-    """(k, key): a key for each two bands of the second signature of the rows (k, s).
+def signatures(lines: DataFrame) -> DataFrame:
+    """(k, n, s1, s2, v, w) of (k, norm): what is ever asked of a line's shingle set but its elements, from one look at each of them.
 
-    One permutation serves all rows: a hash's remainder picks its bin, whose least hash counts; a band is some bins, an empty one left out.
+    n is its size, s1 and s2 name it.  v is the second signature: one permutation serves all rows, a hash's remainder picks its bin, whose
+    least hash counts; a band is some bins, null where they are empty.  w is a bitmap, a word for each band: an element sets one bit.
     """
     bins = FINE_BANDS * FINE_ROWS
-    single = sets.select("k", F.explode("s").alias("h")).select("k", "h", F.pmod("h", F.lit(bins)).alias("bin"))
-    least = single.groupBy("k", "bin").agg(F.min("h").alias("h"))
-    band = least.groupBy("k", F.pmod("bin", F.lit(FINE_BANDS)).alias("band")).agg(F.bit_xor(F.xxhash64("bin", "h")).alias("v"))
-    bands = band.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("band", "v"))).alias("b"))
+    # Dealt out by line before its set is made, so that no shuffle carries shingles.  An inner explode would have the optimizer ask for the
+    # size of each set first, in a filter that makes the set once more.
+    sets = with_set(lines.where(F.length("norm") > SHINGLE).repartition("k"))
+    single = sets.select("k", F.explode_outer("s").alias("h")).select("k", "h", F.pmod("h", F.lit(bins)).alias("bin"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))")
+    x1, x2 = F.xxhash64("h"), F.xxhash64(F.lit(1), "h")
+    least = single.groupBy("k", "bin").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("n"), F.bit_xor(x1).alias("s1"), F.bit_xor(x2).alias("s2"), F.bit_or(bit).alias("w"))
+    band = least.groupBy("k", F.pmod("bin", F.lit(FINE_BANDS)).alias("band")).agg(
+        F.bit_xor(F.xxhash64("bin", "h")).alias("v"), F.sum("n").alias("n"), F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2"), F.bit_or("w").alias("w")
+    )
+    of = lambda c: [F.max(F.when(F.col("band") == i, F.col(c))) for i in range(FINE_BANDS)]
+    v, w = F.array(*of("v")), F.array(*[F.coalesce(x, F.lit(0).cast("long")) for x in of("w")])
+    return band.groupBy("k").agg(F.sum("n").alias("n"), F.bit_xor("s1").alias("s1"), F.bit_xor("s2").alias("s2"), v.alias("v"), w.alias("w"))
+
+
+def fine_keys(signed: DataFrame) -> DataFrame:
+    """(k, key): a key for each two bands of the rows (k, v) of ``signatures``, empty ones left out."""
+    bands = signed.select("k", F.array_compact("v").alias("b"))
     pairs = [F.xxhash64(F.get("b", F.lit(i)), F.get("b", F.lit(j))) for i in range(FINE_BANDS) for j in range(i + 1, FINE_BANDS)]
     there = [j for i in range(FINE_BANDS) for j in range(i + 1, FINE_BANDS)]
     kept = F.array_compact(F.array(*[F.when(F.size("b") > j, p) for p, j in zip(pairs, there, strict=True)]))
-    return bands.select("k", F.explode(F.when(F.size("b") == 1, F.array(F.xxhash64(F.get("b", F.lit(0))))).otherwise(kept)).alias("key"))
+    return bands.select("k", F.explode_outer(F.when(F.size("b") == 1, F.array(F.xxhash64(F.get("b", F.lit(0))))).otherwise(kept)).alias("key"))
 
 
 def numbered_lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, no, norm, k, k2): every line that is not blank; k names the normalised line and k2, by another seed, tells lines apart that share a k."""
-    lines = documents.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("no", "line")).where("doc is not null")
-    lines = lines.select("doc", "no", normalised(F.col("line")).alias("norm")).where("norm != ''")
+    lines = documents.select(F.col(id_col).cast("long").alias("doc"), F.posexplode_outer(F.split(text_col, "\n")).alias("no", "line")).where("doc is not null")
+    # Asked of the line, as a filter on its normal form would have that made twice.
+    lines = lines.where(F.btrim("line", F.lit(" \t\n\x0b\f\r")) != "").select("doc", "no", normalised(F.col("line")).alias("norm"))
     return lines.withColumn("k", F.xxhash64("norm")).withColumn("k2", F.xxhash64(F.lit(1), "norm"))
 
 
-def alike(pairs: DataFrame, norms: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (k, c) that may be alike enough by their sets' sizes and bitmaps; no pair that is alike is left out.
+
+    Two bitmaps differ in no more bits than the sets have elements apart, which bounds what the sets share.
+    """
+    own = signed.select("k", "n", "w")
+    both = pairs.join(own, "k").join(own.toDF("c", "nc", "wc"), "c")
+    apart = sum((F.bit_count(F.get("w", F.lit(i)).bitwiseXOR(F.get("wc", F.lit(i)))) for i in range(FINE_BANDS)), F.lit(0))
+    total = F.col("n") + F.col("nc")
+    return both.where((100 * F.least("n", "nc") >= PERCENT * F.greatest("n", "nc")) & ((100 + PERCENT) * (total - apart) >= 2 * PERCENT * total)).select("k", "c")
+
+
+def alike(pairs: DataFrame, norms: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs (k, c) whose shingle sets are alike enough."""
-    both = pairs.join(norms.withColumnRenamed("norm", "nk"), "k").join(norms.select(F.col("k").alias("c"), F.col("norm").alias("nc")), "c")
+    both = possible(pairs, signed).join(norms.withColumnRenamed("norm", "nk"), "k").join(norms.select(F.col("k").alias("c"), F.col("norm").alias("nc")), "c")
     # Bound to a name by the lambda, each set is made once.
     sets = F.array(F.struct(shingle_hashes(F.col("nk")).alias("k"), shingle_hashes(F.col("nc")).alias("c")))
     enough = F.transform(sets, lambda s: 100 * F.size(F.array_intersect(s["k"], s["c"])) >= PERCENT * F.size(F.array_union(s["k"], s["c"])))
@@ -111,29 +139,28 @@ def at(mark: Column, no: Column) -> Column:
 
 def linked_lines(bucket: DataFrame, norms: DataFrame, scratch: Scratch) -> DataFrame:
     """(k, c): confirmed links between the lines of ``bucket`` (key, k, c), whose first centres are c."""
-    linked = scratch.save(alike(bucket.select("k", "c").distinct(), norms))
+    signed = scratch.save(signatures(norms))
+    confirm = lambda pairs: alike(pairs, norms, signed)
+    linked = scratch.save(confirm(bucket.select("k", "c").distinct()))
     coarse = bucket.select("key", "k").unionByName(bucket.select("key", F.col("c").alias("k")).distinct())
     scratch.sweep()
     rest, linked = split_buckets(coarse, linked, scratch)
-    lines = scratch.save(rest.select("k").distinct().join(norms, "k").where(F.length("norm") > SHINGLE))
-    # Lines with the same set are one class, for which its smallest line goes on.  A set takes several times the room of its line: it is
-    # made where it is wanted and not kept.
-    named = scratch.save(with_set(lines).select("k", F.xxhash64("s").alias("s1"), F.xxhash64(F.lit(1), "s").alias("s2")))
+    # Lines with the same set are one class, for which its smallest line goes on.
+    named = scratch.save(rest.select("k").distinct().join(signed.select("k", "s1", "s2"), "k"))
     classes = scratch.save(named.groupBy("s1", "s2").agg(F.min("k").alias("c")))
     linked = scratch.save(linked.unionByName(named.join(classes, ["s1", "s2"]).where("k != c").select("k", "c")))
-    # Dealt out by line before its set is made, so that no shuffle carries shingles.
-    ours = lines.join(classes.select(F.col("c").alias("k")), "k", "left_semi").repartition("k")
-    fine = scratch.save(fine_keys(with_set(ours)))
+    fine = scratch.save(fine_keys(signed.select("k", "v").join(classes.select(F.col("c").alias("k")), "k", "left_semi")))
     scratch.sweep(classes, named)
-    linked, left = link_buckets(fine, linked, lambda pairs: alike(pairs, norms), scratch, rounds=1)
+    linked, left = link_buckets(fine, linked, confirm, scratch, rounds=1)
     scratch.sweep(fine)
     # What shares a bucket with lines of other components even then is joined exactly: no pair in a bucket is given up.
     rest, linked = split_buckets(left, linked, scratch)
     rest = rest.select(F.col("k").alias("id"), "label").distinct()
-    rest = scratch.save(rest.join(lines.withColumnRenamed("k", "id"), "id"))
-    scratch.sweep(lines)
-    out = scratch.save(linked.unionByName(exact_links(with_set(rest), PERCENT, lambda pairs: alike(pairs, norms), scratch)))
-    scratch.sweep(rest)
+    # A set takes several times the room of its line: it is made where it is wanted and not kept.
+    rest = scratch.save(rest.join(norms.withColumnRenamed("k", "id"), "id"))
+    scratch.sweep()
+    out = scratch.save(linked.unionByName(exact_links(with_set(rest), PERCENT, confirm, scratch)))
+    scratch.sweep(rest, signed)
     return out
 
 
@@ -157,7 +184,7 @@ def duplicate_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str
     scratch.sweep()
     nos = need.groupBy(F.col("first.doc").alias("doc")).agg(F.sort_array(F.collect_set("first.no")).alias("nos")).select("doc", marked(F.col("nos")).alias("mark"))
     texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(nos, "doc")
-    wanted = texts.select("mark", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(at(F.col("mark"), F.col("no")))
+    wanted = texts.select("mark", F.posexplode_outer(F.split("text", "\n")).alias("no", "line")).where(at(F.col("mark"), F.col("no")))
     norms = wanted.select(normalised(F.col("line")).alias("norm")).select(F.xxhash64("norm").alias("k"), F.xxhash64(F.lit(1), "norm").alias("k2"), "norm")
     norms = scratch.save(norms.join(need.select("k", "k2"), ["k", "k2"], "left_semi").dropDuplicates(["k"]).select("k", "norm"))
     scratch.sweep()

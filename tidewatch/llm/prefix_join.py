@@ -25,7 +25,8 @@ CENTRES = 8
 
 def fronts(sets: DataFrame, percent: int) -> DataFrame:
     """(id, label, n, short, at, g, blocks): the rare elements g of the rows (id, label, s), by which sets that are alike enough must meet."""
-    single = sets.select("id", "label", F.explode("s").alias("g"))
+    # An inner explode would have a set that is worked out made twice, for a filter on its size; the null of an empty set goes.
+    single = sets.select("id", "label", F.explode_outer("s").alias("g")).where("g is not null")
     common = single.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
     ordered = single.join(common, "g").groupBy("id", "label").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("o")).withColumn("n", F.size("o"))
     # Of a pair, the smaller set shares within its n - ceil(2pn / (100 + p)) + 1 first elements, the larger within n - ceil(pn / 100) + 1.
