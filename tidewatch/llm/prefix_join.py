@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -28,12 +28,15 @@ def fronts(sets: DataFrame, percent: int) -> DataFrame:
     # An inner explode would have a set that is worked out made twice, for a filter on its size; the null of an empty set goes.
     single = sets.select("id", "label", F.explode_outer("s").alias("g")).where("g is not null")
     common = single.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    ordered = single.join(common, "g").groupBy("id", "label").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("o")).withColumn("n", F.size("o"))
+    # Merged: what is exploded is sized by the far smaller table that it comes from, by which Spark would broadcast it.
+    both = single.join(common.hint("merge"), "g")
+    own = Window.partitionBy("id", "label")
+    ordered = both.select("id", "label", "g", "f", F.count(F.lit(1)).over(own).cast("int").alias("n"), (F.row_number().over(own.orderBy("f", "g")) - 1).alias("at"))
     # Of a pair, the smaller set shares within its n - ceil(2pn / (100 + p)) + 1 first elements, the larger within n - ceil(pn / 100) + 1.
     p = percent
     ordered = ordered.withColumn("short", F.expr(f"n - cast(ceil({2 * p} * n / {100 + p}D - 1e-9) as int) + 1")).withColumn("long", F.expr(f"n - cast(ceil({p} * n / 100D - 1e-9) as int) + 1"))
-    front = ordered.select("id", "label", "n", "short", F.posexplode(F.slice("o", F.lit(1), F.col("long"))).alias("at", "e")).where("e.f > 1")
-    return front.select("id", "label", "n", "short", "at", "e.g", F.expr(f"cast(e.f div {BLOCK} as int) + 1").alias("blocks"))
+    front = ordered.where("at < long and f > 1")
+    return front.select("id", "label", "n", "short", "at", "g", F.expr(f"cast(f div {BLOCK} as int) + 1").alias("blocks"))
 
 
 def star_pairs(front: DataFrame, percent: int) -> DataFrame:
@@ -43,7 +46,7 @@ def star_pairs(front: DataFrame, percent: int) -> DataFrame:
     """
     spread = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(CENTRES)).alias("part")
     centre = front.groupBy("g", spread).agg(F.min(F.struct(F.xxhash64(F.lit(2), "id").alias("h"), F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("at").alias("i"))).alias("c"))
-    both = front.join(centre.select("g", "c.*"), "g").where(
+    both = front.join(centre.select("g", "c.*").hint("merge"), "g").where(
         f"label != lx and 100 * least(n, nx) >= {percent} * greatest(n, nx) and {100 + percent} * least(n - at, nx - i) >= {percent} * (n + nx)"
     )
     return both.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
@@ -55,7 +58,7 @@ def front_pairs(front: DataFrame, percent: int) -> DataFrame:
     # Each set as the larger one goes to one block, as the smaller one to all blocks of its element.
     larger = front.select(F.col("id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("at").alias("j"), "g", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"))
     smaller = front.where("at < short").select(F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("at").alias("i"), "g", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
-    both = smaller.join(larger, ["g", "block"]).where(
+    both = smaller.join(larger.hint("merge"), ["g", "block"]).where(
         f"lx != ly and (nx < ny or nx = ny and x < y) and 100 * nx >= {p} * ny and {100 + p} * least(nx - i, ny - j) >= {p} * (nx + ny)"
     )
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
